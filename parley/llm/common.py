@@ -68,7 +68,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def row_slices(offs: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+def row_slices(offs: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes, so that scratch arrays stay bounded; one longer row stands alone."""
     out, at, n = [], 0, len(offs) - 1
     while at < n:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import join_small, row_slices, text_bytes
+from parley.llm.common import join_small, materialize, row_slices, text_bytes
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -126,7 +126,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` plus the struct ``_q`` with base counts, measures, ``base_failed`` and ``kept``."""
     scored = with_measures(docs)
-    fences = thresholds(sketches(scored.select("lang", "source", "_q")))
+    fences = materialize(thresholds(materialize(sketches(scored.select("lang", "source", "_q")), "sketch")), "fences")
     fences = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*[c for c in fences.columns if c not in ("lang", "source")]).alias("_f"))
     keyed = scored.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
     out = join_small(keyed, fences, ["_lang", "_source"])
