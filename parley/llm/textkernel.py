@@ -40,7 +40,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size, base = max(n, 1 << 16), _BASE[which]
         inverse = pow(base, -1, 1 << 64)
         got = tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, b, U))]) for b in (base, inverse))
-        if size <= 16 << 20:
+        if size <= 2 << 20:
             _POWERS[which] = got
     return got
 
