@@ -9,9 +9,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,17 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray,
     return text_bytes(batch.column(batch.schema.get_field_index(name)))
 
 
+def release() -> None:
+    """Give back what the last batch freed: Python workers live on, and their unused
+    heap counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    release()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -78,6 +89,14 @@ def row_slices(offs: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     return out
 
 
+def portions(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most`` bytes of text, for functions that keep arrays of a whole batch."""
+    for batch in batches:
+        _, offs = text_column(batch)
+        for a, b in row_slices(offs, most):
+            yield batch.slice(a, b - a)
+
+
 #: Fast and small; blobs live only in shuffles and shared tables.
 _CODEC = pa.Codec("zstd", compression_level=1)
 

@@ -21,6 +21,8 @@ empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,15 +37,13 @@ SAMPLE, SAMPLE_WORDS, STEPS = 4000, 4096, 30
 CAPS = {"low": 0.03, "toxic": 0.01}
 
 
-def _rows_of(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _rows_of(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By slice: words of each row, then distinct (row, word hash) pairs."""
-    out = []
     data, offs = text_bytes(text)
     for a, b in row_slices(offs):
         d, o = tk.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
         starts, ends, rows = tk.words(d, o)
-        out.append((tk.word_counts(rows, b - a), rows, tk.Rolling(d).of(starts, ends)))
-    return out
+        yield tk.word_counts(rows, b - a), rows, tk.Rolling(d).of(starts, ends)
 
 
 def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

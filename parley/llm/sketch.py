@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parley.llm.common import BLOBS, pack, unpack
+from parley.llm.common import BLOBS, pack, portions, unpack
 from parley.llm.textkernel import U, mix
 
 DEPTH, MOST_BITS, SLAB_BITS = 2, 28, 20
@@ -59,7 +59,7 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits:
     """Merge the partial sketches of all batches; returns DEPTH bit arrays."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             if batch.num_rows:
                 yield partial(keys_of(batch), bits)
 

@@ -33,7 +33,7 @@ from parley.llm import textkernel as tk
 from parley.llm.common import row_slices, text_bytes
 
 MARK, NONE, FAR = 0x2581, 0xFFFF, 1 << 30
-UNITS = 1 << 16
+UNITS = 1 << 15
 
 
 def bpe_split(text: str, rank: dict[str, int]) -> list[tuple[str, str]]:
@@ -179,7 +179,7 @@ def _finite(lex: Lexicon, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if got is None:
             got = _PAIRS[k] = lex.stable(k >> 16, k & 0xFFFF)
         out[i] = got
-    if len(_PAIRS) > 4_000_000:
+    if len(_PAIRS) > 400_000:
         _PAIRS.clear()
     return out[inverse]
 
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, model: bytes, decode: bool = False) -> DataFrame:
     def run(text: pa.Array) -> pa.Array:
         data, offs = text_bytes(text)
         id_parts, off_parts, text_parts, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], 0
-        for a, b in row_slices(offs, 2 << 20):
+        for a, b in row_slices(offs):
             ids, cut = encode_batch(lex.value, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             id_parts.append(ids)
             off_parts.append(cut[1:] + at)

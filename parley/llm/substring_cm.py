@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from parley.llm import sketch as cm
 from parley.llm import textkernel as tk
-from parley.llm.common import BLOBS, blob_batch, row_slices, text_bytes, text_column, unpack_all
+from parley.llm.common import BLOBS, blob_batch, portions, row_slices, text_bytes, text_column, unpack_all
 
 GRAM = 10
 
@@ -86,7 +86,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = 20) -> DataFrame:
     sketch = spark.sparkContext.broadcast(cm.build(narrow, keys_of, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, block = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)

@@ -172,7 +172,7 @@ class Network:
     def logits(self, t: Text) -> np.ndarray:
         """The worst window's logit of each row."""
         x = self.inputs(t)
-        parts = [self.forward(x, t.windows[a : a + 4096], t.mask[a : a + 4096]) for a in range(0, len(t.windows), 4096)]
+        parts = [self.forward(x, t.windows[a : a + 2048], t.mask[a : a + 2048]) for a in range(0, len(t.windows), 2048)]
         out = np.full(t.n, -np.inf)
         np.maximum.at(out, t.win_row, np.concatenate(parts))
         return out
@@ -267,7 +267,7 @@ def with_score(docs: DataFrame, net: Network | float) -> DataFrame:
         if isinstance(net, float):
             return pa.array(np.full(len(text), net))
         data, offs = text_bytes(text)
-        parts = [net.score(Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs, 2 << 20)]
+        parts = [net.score(Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs)]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
     return docs.withColumn("_score", F.arrow_udf(run, "double")(F.col("text")))
