@@ -5,12 +5,17 @@ result as Parquet and reads it back as the next stage's documents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import mixing, prob_minhash, quality, sp_wfst, substring_cm
 from parley.llm.common import materialize
 
+#: Rows of whole documents that go to a Python worker at once: the stages share long-lived
+#: workers, and small batches keep each stage's buffers within a small executor.
+BATCH_ROWS = "1000"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -45,12 +50,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", F.size("_e.ids").cast("long").alias("n_ids"), F.col("_e.ids").alias("ids"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("mix_sources", mix_sources),
-    ("sentencepiece", encode),
+    ("quality_rules", in_small_batches(quality_rules)),
+    ("near_dedup", in_small_batches(near_dedup)),
+    ("substring_dedup", in_small_batches(substring_dedup)),
+    ("mix_sources", in_small_batches(mix_sources)),
+    ("sentencepiece", in_small_batches(encode)),
 ]
 
 #: No SQL expresses MinHash classes, fitted rates or transducers; tests compare with brute force.
