@@ -133,7 +133,7 @@ def test_cover_tree(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 6))
     x = [(i, [float(v) for v in base[i % 12] + rng.standard_normal(6) * 0.1], i % 3 if i % 7 else None) for i in range(150)]
-    odd = [(900, None, 1), (901, [0.0] * 6, 1), (902, [float("nan")] * 6, 1), (903, [1.0, None, 0, 0, 0, 0], 1), (904, [], 1), (905, [1.0, 2.0], 1), (906, x[1][1], 1), (907, x[1][1], 1)]
+    odd = [(900, None, 1), (901, [0.0] * 6, 1), (902, [float("nan")] * 6, 1), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (904, [], 1), (905, [1.0, 2.0], 1), (906, x[1][1], 1), (907, x[1][1], 1)]
     df = spark.createDataFrame([*x, *odd], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: r.n_links for r in cover_tree.link_vectors(df).collect()}
     rows = {r.vec_id: (np.array(r.embedding, float), r.label) for r in df.collect() if r.label is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
