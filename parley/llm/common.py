@@ -154,14 +154,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = materialize(small.distinct(), "cc")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if now == seen or (now[0] == now[2] and not links.alias("x").join(links.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").limit(1).count()):
+        # stars: no node has two targets, and no target has one; otherwise go on until nothing moves
+        ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.xxhash64("a", "b").alias("h")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).cast("long").alias("h")))))
+        each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+        uneven, n, mark = each.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)")), F.sum("out"), F.sum("h")).first()
+        if not uneven or (n, mark) == seen:
             break
-        seen = now
+        seen = (n, mark)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -227,8 +227,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pmh-pairs")
         if not pairs.limit(1).count():
             break
-        links = materialize(links.unionByName(verify(pairs, sets)), "pmh-links")
+        found = materialize(verify(pairs, sets), "pmh-links")
         done = done.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if not found.limit(1).count():
+            continue
+        links = links.unionByName(found)
         label = materialize(connected_components(links), "pmh-label")
     out = member if label is None else member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = out.select("doc_id", (F.col("rep") if label is None else F.coalesce("component", "rep")).alias("class_id"))
