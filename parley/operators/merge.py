@@ -96,7 +96,7 @@ def membership_changes(current: DataFrame, incoming: DataFrame, run_ts: Column)
     state = both.where(now).select(*keys, *(F.col(f"inc.{c}").alias(c) for c in rest), F.coalesce("cur.joined_ts", "inc.joined_ts").alias("joined_ts")).select(current.columns)
     op = F.when(~was, "join").when(~now, "leave").when(~F.col("cur.rank").eqNullSafe(F.col("inc.rank")), "role_change")
     history = both.withColumn("op", op).where("op is not null").select(
-        *keys, "op", F.when(now, F.col("inc.rank")).alias("rank"), F.when(was, F.col("cur.rank")).alias("old_rank"), run_ts.alias("observed_at"), F.lit("snapshot").alias("source")
+        *keys, "op", F.when(now, F.col("inc.rank")).alias("rank"), F.when(was, F.col("cur.rank")).alias("old_rank"), F.when(~was, F.coalesce("inc.joined_ts", run_ts)).otherwise(run_ts).alias("observed_at"), F.lit("snapshot").alias("source")
     )
     return state, history
 
@@ -121,6 +121,25 @@ def contact_changes(current: DataFrame, incoming: DataFrame, run_ts: Column, sou
     return others.unionByName(state), history
 
 
+def add_contacts(current: DataFrame, incoming: DataFrame, run_ts: Column, source: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Import that never deletes (vCards, pins): new names replace this source's rows and are
+    logged; numbers that were pinned by hand are left to the hand."""
+    new = last_wins(incoming.where("phone_jid is not null and trim(name) <> ''"), ["phone_jid"], order).select("phone_jid", "name")
+    if source != "manual":
+        new = new.join(current.where("source = 'manual'").select("phone_jid"), "phone_jid", "left_anti")
+    same = current.where(F.col("source") == source).select("phone_jid", "name")
+    new = new.join(same, ["phone_jid", "name"], "left_anti").select("phone_jid", "name", F.lit(source).alias("source"), run_ts.alias("updated_at"))
+    history = new.select("phone_jid", "name", "source", F.lit("set").alias("op"), F.col("updated_at").alias("observed_at"))
+    return replace(current, new, ["phone_jid", "source"]), history
+
+
+def unpin(current: DataFrame, phones: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Without the manual rows of these numbers; other sources then name them again."""
+    gone = current.where("source = 'manual'").join(phones.select("phone_jid").distinct(), "phone_jid", "left_semi")
+    history = gone.select("phone_jid", F.lit(None).cast("string").alias("name"), "source", F.lit("remove").alias("op"), run_ts.alias("observed_at"))
+    return current.join(gone.select("phone_jid", "source"), ["phone_jid", "source"], "left_anti"), history
+
+
 def effective_contacts(contacts: DataFrame) -> DataFrame:
     """One name for each phone: manual, then vcard, then address book."""
     rank = F.when(F.col("source") == "manual", 0).when(F.col("source") == "vcard", 1).otherwise(2)
