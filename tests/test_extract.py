@@ -67,12 +67,12 @@ def ts(text):
 
 def keep(tables):
     """Cut the plans between versions, as a stored version does."""
-    return {k: t.sparkSession.createDataFrame(t.collect(), t.schema) for k, t in tables.items()}
+    return {k: t.sparkSession.createDataFrame(t.toArrow(), t.schema) for k, t in tables.items()}
 
 
 @pytest.fixture(scope="module")
 def source(spark):
-    return ex.Source(spark, {name: spark.createDataFrame(rows, ddl) for name, (ddl, rows) in TABLES.items()})
+    return ex.Source(spark, keep({name: spark.createDataFrame(rows, ddl) for name, (ddl, rows) in TABLES.items()}))
 
 
 @pytest.fixture(scope="module")
