@@ -76,8 +76,9 @@ def pieces(size: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
 
 
 def collapse(keys: np.ndarray, size: np.ndarray, at: np.ndarray, raw: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs with equal bytes: mask of each group's one in the smallest document,
-    and mask of those in a larger document. Equality is by the bytes themselves."""
+    """Runs with equal bytes: mask of all those in the group's smallest document (a repeat
+    inside it may still start in a smaller document elsewhere), and mask of those in a
+    larger document. Equality is by the bytes themselves."""
     order = np.lexsort((doc, size, keys))
     lead = np.ones(len(order), bool)
     lead[1:] = (keys[order][1:] != keys[order][:-1]) | (size[order][1:] != size[order][:-1])
@@ -89,7 +90,8 @@ def collapse(keys: np.ndarray, size: np.ndarray, at: np.ndarray, raw: np.ndarray
         some = other[part]
         differs = raw[ranges(at[some], size[some])] != raw[ranges(at[rep[some]], size[some])]
         same[some] = ~np.logical_or.reduceat(differs, np.cumsum(size[some]) - size[some])
-    return ~same, same & (doc != doc[rep])
+    later = same & (doc != doc[rep])
+    return ~later, later
 
 
 class SuffixLevels:

@@ -66,6 +66,26 @@ def test_byte_dedup(docs, empty):
         assert got[i].n_spans == sum(g and not p for g, p in zip(gone, [False, *gone]))
 
 
+def test_byte_dedup_of_repeats_in_one_document(spark):
+    rng = np.random.default_rng(5)
+    p, *other = (" ".join("w%d" % x for x in rng.integers(0, 10**6, 60)) for _ in range(5))
+    twice = [(1, p + other[0] + p + other[1] + p), (2, other[2] + p + other[3] + p)]
+    docs = spark.createDataFrame([(0, p), *twice], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # every document in its own batch
+    try:
+        got = {r.doc_id: bytes(r._s.kept).decode() for r in suffix_index.drop_repeated_bytes(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    seen = {p[k : k + 50] for k in range(len(p) - 49)}
+    assert got.pop(0) == p
+    for i, t in twice:
+        mine = [t[k : k + 50] for k in range(len(t) - 49)]
+        gone = {k + j for k, x in enumerate(mine) if x in seen for j in range(50)}
+        assert got[i] == "".join(x for k, x in enumerate(t) if k not in gone)
+        seen |= set(mine)
+
+
 def test_window_dedup(docs, empty):
     got = {r.doc_id: r._s for r in substring_cm.drop_repeated_windows(docs).collect()}
     assert substring_cm.drop_repeated_windows(empty).count() == 0
