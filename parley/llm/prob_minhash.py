@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash (operator 7).
 
-A document is a weighted set of 5-word shingles, a shingle that occurs c times
-weighing 1 + ln c. Every shingle is a Poisson process whose arrivals fall on
-random registers; a register keeps the shingle that arrives first, so two
-documents share a register with their probability Jaccard. Arrivals later than
+A document is the set of its 5-word shingles, each of weight 1 however often it
+occurs. Every shingle is a Poisson process whose arrivals fall on random
+registers; a register keeps the shingle that arrives first, so two documents
+share a register with the Jaccard of their sets, the similarity that candidates
+are verified by. Arrivals later than
 the slowest register cannot win, which ends each process early; documents of a
 batch run together, vectorised.
 
@@ -102,9 +103,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data_all, offs_all = text_column(batch)
         for a, b in row_slices(offs_all):
             data, offs = data_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a]
-            row, key, count = shingles(data, offs)
+            row, key, _ = shingles(data, offs)
             size = np.bincount(row, minlength=b - a)
-            band = bands(signatures(row, key, 1 + np.log(count), b - a))
+            band = bands(signatures(row, key, np.ones(len(key)), b - a))
             band_list = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(size.astype(np.int64)), band_list], ["doc_id", "size", "bands"])
 

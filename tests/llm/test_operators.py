@@ -127,6 +127,19 @@ def test_near_duplicates(docs, empty):
     assert prob_minhash.keep_one(docs).count() == len(set(root.values())) + 3 + 1
 
 
+def test_band_nomination_ignores_counts():
+    import pyarrow as pa
+
+    once = " ".join("w%d" % i for i in range(40))
+    often = " ".join([once, *[" ".join(once.split()[:14])] * 500])
+    again = " ".join([once, *[" ".join(once.split()[:14])] * 2])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": [often, again]})
+    (out,) = prob_minhash._sketch(iter([batch]))
+    assert out.column("size").to_pylist()[0] == out.column("size").to_pylist()[1]
+    a, b = out.column("bands").to_pylist()
+    assert a == b  # equal shingle sets share every band
+
+
 def test_katz(spark, docs, empty):
     assert katz.train_and_score(empty).count() == 0
     got = {r.doc_id: r for r in katz.train_and_score(docs).collect()}
