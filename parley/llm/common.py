@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where
     if where := spark.sparkContext.getCheckpointDir():
         return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = tempfile.mkdtemp(prefix="parley-")
     spark.sparkContext.setCheckpointDir(where)
     return where
@@ -52,6 +54,24 @@ def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "l
     return df.join(small, list(on), how)
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name`` with as many underscores appended as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def block_of(n: int) -> Column:
+    """A document's block: by doc_id, and by its text where that is null, so that no block is hot."""
+    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int")
+
+
+def text_tag() -> Column:
+    """31 bits that tell texts under one doc_id apart."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3)), F.lit((1 << 31) - 1)).cast("int")
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets (one more than rows) of a string column; null is empty."""
     return text_bytes(batch.column(batch.schema.get_field_index(name)))
@@ -141,30 +161,32 @@ def unpack_all(table: pa.Table, *dtypes: str) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, d) for d in dtypes]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, component): the smallest node reachable.
 
-    Alternating large-star and small-star steps: every step is one grouping, the
-    links shrink towards stars, and each step's links are cut off in the shared
-    folder. A hot centre has its neighbours' minimum pre-aggregated before the
+    Alternating large-star and small-star steps until nothing moves: every step is one
+    grouping, the links shrink towards stars, and each step's links are cut off in the
+    shared folder. A hot centre has its neighbours' minimum pre-aggregated before the
     shuffle. Duplicate links, self links and both directions are fine."""
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = materialize(links, "cc")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = materialize(small.distinct(), "cc")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
         # stars: no node has two targets, and no target has one; otherwise go on until nothing moves
-        ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.xxhash64("a", "b").alias("h")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).cast("long").alias("h")))))
-        each = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+        out = F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"), F.xxhash64("a", "b").alias("h"))
+        into = F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).cast("long").alias("h"))
+        each = links.select(F.inline(F.array(out, into))).groupBy("node")
+        each = each.agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
         uneven, n, mark = each.agg(F.count_if(F.expr("out > 1 or (out > 0 and into > 0)")), F.sum("out"), F.sum("h")).first()
         if not uneven or (n, mark) == seen:
             break
         seen = (n, mark)
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    ends = links.select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return nodes.unionByName(ends).groupBy("node").agg(F.min("component").alias("component"))

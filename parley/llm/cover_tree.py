@@ -17,7 +17,9 @@ over all tasks.
 Cases: a null label, or a vector that is null, empty, zero or holds null or
 non-finite numbers, links with nothing; vectors of different lengths never link;
 ties are kept (cosine >= threshold); repeated rows link with each other like any
-two vectors; an empty table gives an empty result; extra columns are not read.
+two vectors; different vectors under one vec_id are different points, each row with its
+own links; a null vec_id links with nothing; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -140,11 +142,24 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", "embedding").where("vec_id is not null").where(F.coalesce(sound, F.lit(False)))
+    sound = F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False))
     keys = ["label", "h1", "h2"]
-    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
-    points = rows.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    rows = every.where(sound).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), "embedding"))
+    points = rows.groupBy(*keys).agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
     points = materialize(points.withColumn("dim", F.size("embedding")), "ct-points")
+    # a point's number is its least vec_id; where several points share that, all but one get numbers below all ids
+    twins = points.groupBy("low").agg(F.min(F.struct(*keys)).alias("one"), F.count("*").alias("n")).where("n > 1").select("low", "one")
+    twins = materialize(twins, "ct-twins")
+    several = twins.limit(1).count() > 0
+    rep = F.col("low")
+    if several:
+        points = points.join(twins, "low", "left")
+        own = -F.lit(1 << 62) - F.pmod(F.xxhash64("low", *keys), F.lit(1 << 61))
+        rep = F.when(F.struct(*keys) > F.col("one"), own).otherwise(F.col("low"))
+    points = points.select(*keys, "low", "weight", "embedding", "dim", rep.alias("rep"))
+    label_type = points.schema["label"].dataType.simpleString()
 
     pivots: dict[int, np.ndarray] = {}
     sample = points.select("dim", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
@@ -166,7 +181,7 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "dim", "rep", "weight", "embedding")), pa.array(cell), pa.array(dist)], ["label", "dim", "rep", "weight", "embedding", "cell", "dist"])
 
     sizes = points.groupBy("label", "dim").agg(F.ceil(F.count("*") / CELL).cast("int").alias("want"))
-    placed = points.join(sizes, ["label", "dim"]).select("label", "dim", "rep", "weight", "embedding", "want").mapInArrow(assign, "label int, dim int, rep long, weight long, embedding array<double>, cell int, dist double")
+    placed = points.join(sizes, ["label", "dim"]).select("label", "dim", "rep", "weight", "embedding", "want").mapInArrow(assign, f"label {label_type}, dim int, rep long, weight long, embedding array<double>, cell int, dist double")
     placed = materialize(placed, "ct-cells")
     crowd = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("slices"))
     placed = placed.join(crowd, ["label", "dim", "cell"]).withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
@@ -199,6 +214,12 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = materialize(work.groupBy("task").applyInArrow(compare, FOUND), "ct-found")
     counts = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     label = connected_components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    classes = points.join(counts, "rep", "left").join(label, "rep", "left").select(*keys, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.select("vec_id", *keys).join(classes, keys).select("vec_id", "n_links", "component_id")
-    return vectors.select("vec_id").join(linked.distinct(), "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    classes = points.join(counts, "rep", "left").join(label, "rep", "left")
+    classes = classes.select(*keys, "low", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    if several:  # the least vec_id of a component's points, not the least number
+        least = classes.groupBy("component_id").agg(F.min("low").alias("least"))
+        classes = classes.join(least, "component_id").withColumn("component_id", F.col("least"))
+    linked = rows.select("vec_id", *keys).join(classes.select(*keys, "n_links", "component_id"), keys)
+    linked = linked.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
+    alone = every.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)

@@ -1,13 +1,11 @@
 """Katz backoff language model (operator 3).
 
-Tokens are lower-cased (A-Z) words and one end token for each text. Counts are
-exact over all training texts:
+Tokens are lower-cased (A-Z) words and one end token for each text. Counts are exact
+over all training texts, and no word or pair is left out:
 
-* ``unigrams``: every word with its count, a table partitioned by hash bucket;
-* ``bigrams``: counts of (history, event) pairs, a table partitioned by bucket.
-  Histories and events are the VOCABULARY most frequent words; every other word is
-  the class ``oov``, inside which a word has its unigram share, so the model is a
-  proper distribution over all words and has no closed vocabulary.
+* ``unigrams``: every word with its count, in a table partitioned by hash bucket;
+* ``bigrams``: the count of every (history, event) pair, in a table partitioned by
+  history (a frequent history is divided by event into SUB buckets).
 
 Both levels are Good-Turing discounted (counts to 5; absolute discounting where
 the counts of counts do not allow it), and each history's backoff weight is
@@ -17,14 +15,15 @@ too large to be discounted gives up a small share, so nothing has probability 0.
 recursively: bigram, else weight times unigram, else weight times the unseen mass,
 which is shared by as many unseen types as Chao's estimate names.
 
-Scoring joins each text's pairs with the bigram table by bucket, and rare words with
-the unigram table; the pairs and words that are most frequent are in small tables
-of fixed size (VOCABULARY rows each) that are broadcast, which also takes the hot
-keys out of the shuffle.
+The CACHE most frequent words and pairs are broadcast: tables of fixed size that keep hot
+keys out of the shuffle and change no result. A word in the cache has a small number as
+its code, any other its 63-bit hash. Pairs outside the cache meet the bigram table by
+bucket; what has to back off to a word outside the cache goes on to the unigram table.
 
 Cases: null text is empty (one end token); a null ``doc_id`` is not learned from and
-not held out; rows that share a ``doc_id`` are scored together and each gets the mean;
-an empty table gives an empty result; extra columns are not read.
+not held out where the caller's ``learn`` is null for it; every row is scored by itself,
+whatever doc_ids repeat; an empty table gives an empty result; extra columns are not read.
+Words are told apart by 64-bit hashes of their bytes (see ``textkernel.span_hash``).
 """
 
 from __future__ import annotations
@@ -40,14 +39,14 @@ from pyspark.sql import functions as F
 from parley.llm import textkernel as tk
 from parley.llm.common import BLOBS, blob_batch, materialize, pack, row_slices, text_column, unpack, unpack_all
 
-VOCABULARY, TOP_COUNT, SUB = 1 << 17, 5, 8
+CACHE, TOP_COUNT, SUB, PARTS = 1 << 17, 5, 8, 64
 #: Share of the Witten-Bell estimate that every history leaves to unseen events at least.
 FLOOR = 0.25
 END = int(tk.mix(np.array([20_24], tk.U))[0])
-EVENT_BITS = 20
+#: The code of a text's beginning, and the bit of codes that are hashes.
+BEGIN, RARE = tk.U(0), tk.U(1 << 63)
 #: Partial scores travel as integers of this unit.
 UNIT = 1e7
-NO_ID = -(1 << 63)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +55,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = tk.words(data, offs)
     n = len(offs) - 1
     out = np.full(len(rows) + n, END, tk.U)
-    out[np.arange(len(rows)) + rows] = tk.Rolling(data).of(starts, ends)
+    out[np.arange(len(rows)) + rows] = tk.span_hash(data, starts, ends)
     return out, np.repeat(np.arange(n), tk.word_counts(rows, n) + 1)
 
 
@@ -118,24 +117,56 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
         yield slice(a, b), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
+def pair_key(history: np.ndarray, event: np.ndarray) -> np.ndarray:
+    return tk.mix(tk.mix(history) + event)
+
+
+class Pairs:
+    """A table of pairs with counts that is searched by pair."""
+
+    def __init__(self, history: np.ndarray, event: np.ndarray, count: np.ndarray) -> None:
+        key = pair_key(history, event)
+        order = np.argsort(key)
+        self.key, self.history, self.event, self.count = key[order], history[order], event[order], count[order]
+
+    def find(self, history: np.ndarray, event: np.ndarray) -> np.ndarray:
+        """Counts, 0 where a pair is absent."""
+        if not len(self.key):
+            return np.zeros(len(history), np.int64)
+        at = np.minimum(np.searchsorted(self.key, pair_key(history, event)), len(self.key) - 1)
+        return np.where((self.history[at] == history) & (self.event[at] == event), self.count[at], 0)
+
+
+def weights(c: np.ndarray, cut: np.ndarray, seen: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weight and factor of the seen events, from a history's count, the discounted
+    sum of its pair counts, the unigram mass of its events and their number.
+
+    A history with large counts only has nothing discounted: it keeps a share for what it
+    has not been followed by."""
+    kept = np.minimum(cut, c * (1 - FLOOR * types / np.maximum(c + types, 1)))
+    rest = 1 - seen
+    open_ = rest > 1e-9
+    alpha = np.where(open_, (1 - kept / np.maximum(c, 1)) / np.where(open_, rest, 1), 0)
+    return alpha, np.where(open_, kept, c) / np.maximum(cut, 1e-300)
+
+
 def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``learn`` is a boolean column: which texts are training texts (default: all)."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size >> 24)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learn"))
+    learns = F.coalesce(learn if learn is not None else F.lit(True), F.lit(False)).alias("learn")
+    training = docs.select("text", learns).where("learn")
 
     def word_bucket(h: np.ndarray) -> np.ndarray:
-        return ((h >> tk.U(33)) % tk.U(buckets)).astype(np.int64)
+        return (((h | RARE) >> tk.U(30)) % tk.U(buckets)).astype(np.int64)
 
     # 1. exact unigram counts
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = batch.column(2).to_numpy(zero_copy_only=False)
-            got = [t[mine[at][r]] for at, data, offs in _slices(batch) for t, r in [tokens(data, offs)]]
+            got = [tokens(data, offs)[0] for _, data, offs in _slices(batch)]
             if got:
                 (h,), n = _totals(np.concatenate(got), weight=np.ones(sum(map(len, got)), np.int64))
                 yield blob_batch(word_bucket(h), (h, n.astype(np.uint32)), buckets)
@@ -143,185 +174,237 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
     def add_words(table: pa.Table) -> pa.Table:
         h, n = unpack_all(table, "u8", "u4")
         (h,), n = _totals(h, weight=n.astype(np.int64))
-        return pa.table({"bucket": pa.array(np.full(len(h), table.column("bucket")[0].as_py(), np.int32)), "word": pa.array(h.view(np.int64)), "c": pa.array(n)})
+        b = table.column("bucket")[0].as_py()
+        return pa.table({"part": pa.array(np.full(len(h), b % PARTS, np.int32)), "bucket": pa.array(np.full(len(h), b, np.int32)), "word": pa.array(h.view(np.int64)), "c": pa.array(n)})
 
-    unigrams = materialize(rows.mapInArrow(count_words, BLOBS).groupBy("bucket").applyInArrow(add_words, "bucket int, word long, c long"), "katz-unigrams", ["bucket"])
+    unigrams = training.mapInArrow(count_words, BLOBS).groupBy("bucket").applyInArrow(add_words, "part int, bucket int, word long, c long")
+    unigrams = materialize(unigrams, "katz-unigrams", ["part"])
     stats = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count_if(F.col("c") == r) for r in range(1, TOP_COUNT + 2))).first()
     uni = Unigram(stats[0], stats[1], {r: stats[r + 1] for r in range(1, TOP_COUNT + 2)})
-    top = unigrams.orderBy(F.desc("c"), "word").limit(VOCABULARY).select("word", "c").toArrow()
+    top = unigrams.orderBy(F.desc("c"), "word").limit(CACHE).select("word", "c").toArrow()
     words = top.column("word").to_numpy().view(tk.U)
     order = np.argsort(words)
     words, counts = words[order], top.column("c").to_numpy()[order]
-    p_event = np.concatenate([[max(1e-300, 1 - uni.p(counts).sum())], uni.p(counts)])  # event 0: oov
-    begin = len(words) + 1
-    vocab = sc.broadcast((words, counts))
+    n_top = len(words) + 1
+    vocab = sc.broadcast((words, np.concatenate([[0], counts]), np.concatenate([[0.0], uni.p(counts)])))
 
-    def ids_of(h: np.ndarray) -> np.ndarray:
-        words, _ = vocab.value
+    def codes_of(h: np.ndarray) -> np.ndarray:
+        words = vocab.value[0]
         if not len(words):
-            return np.zeros(len(h), np.int64)
+            return h | RARE
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        return np.where(words[at] == h, at + 1, 0)
+        return np.where(words[at] == h, (at + 1).astype(tk.U), h | RARE)
 
     def pairs_of(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        event = ids_of(h)
-        history = np.empty_like(event)
-        history[1:] = event[:-1]
-        first = np.ones(len(r), bool)
-        first[1:] = r[1:] != r[:-1]
-        history[first] = begin
-        return event, history << EVENT_BITS | event
-
-    def pair_bucket(key: np.ndarray) -> np.ndarray:
-        sub = tk.mix((key & ((1 << EVENT_BITS) - 1)).astype(tk.U)) & tk.U(SUB - 1)
-        return ((tk.mix((key >> EVENT_BITS).astype(tk.U) * tk.U(SUB) + sub) >> tk.U(33)) % tk.U(buckets)).astype(np.int64)
+        event = codes_of(h)
+        history = np.full_like(event, BEGIN)
+        same = r[1:] == r[:-1]
+        history[1:][same] = event[:-1][same]
+        return history, event
+
+    def pair_bucket(history: np.ndarray, event: np.ndarray) -> np.ndarray:
+        sub = np.where(history < RARE, tk.mix(event) & tk.U(SUB - 1), tk.U(0))
+        return ((tk.mix(tk.mix(history) + sub) >> tk.U(33)) % tk.U(buckets)).astype(np.int64)
 
     # 2. exact bigram counts
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = batch.column(2).to_numpy(zero_copy_only=False)
-            got = [pairs_of(t, r)[1][mine[at][r]] for at, data, offs in _slices(batch) for t, r in [tokens(data, offs)]]
+            got = [pairs_of(*tokens(data, offs)) for _, data, offs in _slices(batch)]
             if got:
-                (key,), n = _totals(np.concatenate(got), weight=np.ones(sum(map(len, got)), np.int64))
-                yield blob_batch(pair_bucket(key), (key, n.astype(np.uint32)), buckets)
+                history, event = (np.concatenate(x) for x in zip(*got))
+                (history, event), n = _totals(history, event, weight=np.ones(len(event), np.int64))
+                yield blob_batch(pair_bucket(history, event), (history, event, n.astype(np.uint32)), buckets)
 
     def add_pairs(table: pa.Table) -> pa.Table:
-        key, n = unpack_all(table, "i8", "u4")
-        (key,), n = _totals(key, weight=n.astype(np.int64))
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": pa.array([len(key)], pa.int32()), "blob": pa.array([pack(key, n)], pa.binary())})
+        history, event, n = unpack_all(table, "u8", "u8", "u4")
+        (history, event), n = _totals(history, event, weight=n.astype(np.int64))
+        b = table.column("bucket")[0].as_py()
+        return pa.table({"part": pa.array([b % PARTS], pa.int32()), "bucket": pa.array([b], pa.int32()), "n": pa.array([len(event)], pa.int32()), "blob": pa.array([pack(history, event, n)], pa.binary())})
 
-    bigrams = materialize(rows.mapInArrow(count_pairs, BLOBS).groupBy("bucket").applyInArrow(add_pairs, BLOBS), "katz-bigrams", ["bucket"])
+    bigrams = training.mapInArrow(count_pairs, BLOBS).groupBy("bucket").applyInArrow(add_pairs, f"part int, {BLOBS}")
+    bigrams = materialize(bigrams, "katz-bigrams", ["part"]).select("bucket", "n", "blob")
 
-    def count_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.bincount(np.minimum(unpack(blob, n, "i8", "i8")[1], TOP_COUNT + 2), minlength=TOP_COUNT + 3)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(c)], ["r", "n"])
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if n:
+                    yield unpack(blob, n, "u8", "u8", "i8")
 
-    table = bigrams.select("n", "blob")
-    d2 = discounts({x.r: x.n for x in table.mapInArrow(count_counts, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
-    small = sc.broadcast(p_event)
+    def count_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, c in blobs(batches):
+            n = np.bincount(np.minimum(c, TOP_COUNT + 2), minlength=TOP_COUNT + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["r", "n"])
 
-    # 3. backoff weights: each of a history's few sub-buckets gives one row
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, c = unpack(blob, n, "i8", "i8")
-                first = np.flatnonzero(np.diff(key >> EVENT_BITS, prepend=-1))
-                if len(first):
-                    seen = small.value[key & ((1 << EVENT_BITS) - 1)]
-                    cut = c * d2[np.where(c <= TOP_COUNT, c, 0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[first] >> EVENT_BITS), *(pa.array(np.add.reduceat(x, first)) for x in (c, cut, seen, np.ones(n, np.int64)))], ["h", "c", "cut", "seen", "types"])
-
-    got = table.mapInArrow(masses, "h long, c long, cut double, seen double, types long").groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "cut", "seen", "types"))).toArrow()
-    h_count, alpha, scale = np.zeros(begin + 1), np.ones(begin + 1), np.ones(begin + 1)
-    at, c, cut, seen, types = (got.column(x).to_numpy() for x in ("h", "c", "cut", "seen", "types"))
-    # a history with large counts only has nothing discounted: keep a share for what it has not been followed by
-    kept = np.minimum(cut, c * (1 - FLOOR * types / (c + types)))
-    rest = 1 - seen
-    h_count[at] = c
-    open_ = rest > 1e-9
-    alpha[at] = np.where(open_, (1 - kept / np.maximum(c, 1)) / np.where(open_, rest, 1), 0)
-    scale[at] = np.where(open_, kept, c) / np.maximum(cut, 1e-300)  # every event was seen: nothing to back off to
+    d2 = discounts({x.r: x.n for x in bigrams.mapInArrow(count_counts, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
+
+    def discounted(c: np.ndarray) -> np.ndarray:
+        return c * d2[np.where(c <= TOP_COUNT, c, 0)]
+
+    def masses_of(history: np.ndarray, event: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        """By history, in order: count, discounted count, unigram mass of cached events, types."""
+        first = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if len(history) else np.zeros(0, np.int64)
+        p = np.where(event < RARE, vocab.value[2][np.where(event < RARE, event, BEGIN).astype(np.int64)], 0.0)
+        return [history[first], *(np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (c, discounted(c), p, np.ones(len(c), np.int64)))]
 
-    # 4. the hottest pairs, a table of fixed size
+    # 3. backoff weights. Unigram masses of events outside the cache come from their own buckets.
+    SEEN = f"{BLOBS}, h long, p double"
+
+    def rare_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for history, event, _ in blobs(batches):
+            pick = event >= RARE
+            yield blob_batch(word_bucket(event[pick]), (event[pick], history[pick]), buckets)
+
+    def pack_words(table: pa.Table) -> pa.Table:
+        return pa.table({"bucket": table.column("bucket")[:1], "n": pa.array([table.num_rows], pa.int32()), "blob": pa.array([pack(table.column("word").to_numpy(), table.column("c").to_numpy())], pa.binary())})
+
+    def counts_in(right: pa.Table, event: np.ndarray) -> np.ndarray:
+        word, c = unpack_all(right, "u8", "i8")
+        word = word | RARE
+        order = np.argsort(word)
+        word, c = word[order], c[order]
+        if not len(word):
+            return np.zeros(len(event), np.int64)
+        at = np.minimum(np.searchsorted(word, event), len(word) - 1)
+        return np.where(word[at] == event, c[at], 0)
+
+    def rare_masses(left: pa.Table, right: pa.Table) -> pa.Table:
+        event, history = unpack_all(left, "u8", "u8")
+        (history,), p = _totals(history, weight=uni.p(counts_in(right, event)))
+        hot = history < RARE
+        out = blob_batch(pair_bucket(history[~hot], history[~hot]), (history[~hot], p[~hot]), buckets)
+        rows = out.append_column("h", pa.nulls(out.num_rows, pa.int64())).append_column("p", pa.nulls(out.num_rows, pa.float64()))
+        none = pa.nulls(int(hot.sum()), pa.int32())
+        more = pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), pa.array(history[hot].astype(np.int64)), pa.array(p[hot])], ["bucket", "n", "blob", "h", "p"])
+        return pa.Table.from_batches([rows, more])
+
+    word_table = unigrams.groupBy("bucket").applyInArrow(pack_words, BLOBS)
+    seen = bigrams.mapInArrow(rare_events, BLOBS).groupBy("bucket").cogroup(word_table.groupBy("bucket")).applyInArrow(rare_masses, SEEN)
+    seen = materialize(seen, "katz-seen")
+
+    def top_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for history, event, c in blobs(batches):
+            pick = history < RARE
+            h, *sums = masses_of(history[pick], event[pick], c[pick])
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *map(pa.array, sums)], ["h", "c", "cut", "seen", "types"])
+
+    # at most one row for each cached word and the beginning
+    got = bigrams.mapInArrow(top_masses, "h long, c long, cut double, seen double, types long").groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "cut", "seen", "types"))).toArrow()
+    far = seen.where("h is not null").groupBy("h").agg(F.sum("p").alias("p")).toArrow()
+    mass = {x: np.zeros(n_top) for x in ("c", "cut", "seen", "types")}
+    for x, values in mass.items():
+        values[got.column("h").to_numpy()] = got.column(x).to_numpy()
+    mass["seen"][far.column("h").to_numpy()] += far.column("p").to_numpy()
+    alpha, scale = weights(**mass)
+
+    # 4. the hottest pairs of cached words, a table of fixed size
     def hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, c = unpack(blob, n, "i8", "i8")
-                pick = np.lexsort((key, -c))[: VOCABULARY]
-                yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(c[pick])], ["k", "c"])
-
-    hot = table.mapInArrow(hottest, "k long, c long").orderBy(F.desc("c"), "k").limit(VOCABULARY).toArrow()
-    hot_keys, hot_counts = hot.column("k").to_numpy(), hot.column("c").to_numpy()
-    order = np.argsort(hot_keys)
-    model = sc.broadcast((h_count, alpha, scale, hot_keys[order], hot_counts[order]))
-
-    def log_p(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        h_count, alpha, scale, _, _ = model.value
-        h, e = key >> EVENT_BITS, key & ((1 << EVENT_BITS) - 1)
-        direct = scale[h] * d2[np.where(count <= TOP_COUNT, count, 0)] * count / np.maximum(h_count[h], 1)
-        return np.log10(np.where(count > 0, direct, np.maximum(alpha[h] * small.value[e], 1e-300)))
-
-    def lookup(keys: np.ndarray, table_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table_keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table_keys, keys), len(table_keys) - 1)
-        hit = table_keys[at] == keys
-        return np.where(hit, values[at], 0), hit
-
-    # 5. score: hot pairs and vocabulary words in place, the rest by bucket
-    PARTS = "bucket int, n int, blob binary, doc_id long, rows int, n_tokens long, n_known long, base long, score long"
-
-    def rest_batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        none = pa.nulls(b.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([*b.columns, none, none.cast(pa.int32()), none, none, none, none], ["bucket", "n", "blob", "doc_id", "rows", "n_tokens", "n_known", "base", "score"])
+        for history, event, c in blobs(batches):
+            pick = np.flatnonzero((history < RARE) & (event < RARE))
+            pick = pick[np.argsort(-c[pick], kind="stable")[:CACHE]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[pick].astype(np.int64)) for x in (history, event, c)], ["h", "e", "c"])
+
+    hot = bigrams.mapInArrow(hottest, "h long, e long, c long").orderBy(F.desc("c"), "h", "e").limit(CACHE).toArrow()
+    cached = Pairs(*(hot.column(x).to_numpy().astype(tk.U) for x in "he"), hot.column("c").to_numpy())
+    model = sc.broadcast((mass["c"], alpha, scale, cached))
+
+    # 5. score: cached pairs and words in place, the rest by bucket
+    PIECES = "bucket int, n int, blob binary, row long, doc_id long, n_tokens long, n_known long, base long, score long"
+    NAMES = ["bucket", "n", "blob", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
 
     def fixed(x: np.ndarray) -> np.ndarray:
         return np.rint(x * UNIT).astype(np.int64)
 
+    def only_blobs(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 6], NAMES)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            pair_parts, word_parts = [], []
+            row_ids, pair_parts, word_parts = batch.column(0).to_numpy(), [], []
             for at, data, offs in _slices(batch):
+                n, mine = len(offs) - 1, row_ids[at]
                 h, r = tokens(data, offs)
-                n = len(offs) - 1
-                event, key = pairs_of(h, r)
-                c, hit = lookup(key, *model.value[3:])
-                known = event > 0
-                in_vocab = vocab.value[1][event[known] - 1] if known.any() else np.zeros(0)
-                base = np.bincount(r[known], weights=uni.base(in_vocab), minlength=n)
-                done = np.bincount(r[hit], weights=log_p(key[hit], c[hit]), minlength=n)
-                columns = [ids[at], np.ones(n, np.int32), tk.word_counts(r, n), np.bincount(r[known], minlength=n), fixed(base), fixed(done)]
+                history, event = pairs_of(h, r)
+                h_count, _, scale, cached = model.value
+                c = cached.find(history, event)
+                hit, near = np.flatnonzero(c), event < RARE
+                of = history[hit].astype(np.int64)
+                p = np.log10(scale[of] * discounted(c[hit]) / np.maximum(h_count[of], 1))
+                base = uni.base(vocab.value[1][event[near].astype(np.int64)])
+                columns = [mine, batch.column(1)[at], tk.word_counts(r, n), np.bincount(r[near], minlength=n), fixed(np.bincount(r[near], weights=base, minlength=n)), fixed(np.bincount(r[hit], weights=p, minlength=n))]
                 nil = pa.nulls(n, pa.int32())
-                yield pa.RecordBatch.from_arrays([nil, nil, pa.nulls(n, pa.binary()), *map(pa.array, columns)], ["bucket", "n", "blob", "doc_id", "rows", "n_tokens", "n_known", "base", "score"])
-                pair_parts.append((key[~hit], ids[at][r[~hit]]))
-                word_parts.append((h[~known], ids[at][r[~known]]))
+                yield pa.RecordBatch.from_arrays([nil, nil, pa.nulls(n, pa.binary()), *(x if isinstance(x, pa.Array) else pa.array(x) for x in columns)], NAMES)
+                pair_parts.append((history[c == 0], event[c == 0], mine[r[c == 0]]))
+                word_parts.append((event[~near], mine[r[~near]]))
             if pair_parts:
-                keys, docs_ = (np.concatenate(x) for x in zip(*pair_parts))
-                (keys, docs_), n = _totals(keys, docs_, weight=np.ones(len(keys), np.int64))
-                yield rest_batch(blob_batch(pair_bucket(keys), (keys, docs_, n.astype(np.uint32)), buckets))
-                h, docs_ = (np.concatenate(x) for x in zip(*word_parts))
-                (h, docs_), n = _totals(h, docs_, weight=np.ones(len(h), np.int64))
-                yield rest_batch(blob_batch(buckets + word_bucket(h), (h.view(np.int64), docs_, n.astype(np.uint32)), buckets))
-
-    def per_doc(docs_: np.ndarray, **sums: np.ndarray) -> pa.Table:
-        keys, inverse = np.unique(docs_, return_inverse=True)
-        add = {k: np.bincount(inverse, weights=v, minlength=len(keys)) for k, v in sums.items()}
-        zero = np.zeros(len(keys))
+                history, event, row = (np.concatenate(x) for x in zip(*pair_parts))
+                (history, event, row), n = _totals(history, event, row, weight=np.ones(len(row), np.int64))
+                yield only_blobs(blob_batch(pair_bucket(history, event), (history, event, row, n.astype(np.int32)), buckets))
+                event, row = (np.concatenate(x) for x in zip(*word_parts))
+                (event, row), n = _totals(event, row, weight=np.ones(len(row), np.int64))
+                yield only_blobs(blob_batch(buckets + word_bucket(event), (event, row, n.astype(np.int32)), buckets))
+
+    def per_row(row: np.ndarray, known: np.ndarray, base: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        keys, inverse = np.unique(row, return_inverse=True)
+        known, base, total = (np.bincount(inverse, weights=x, minlength=len(keys)) for x in (known, base, total))
         block = (tk.mix(keys.view(tk.U)) >> tk.U(33)) % tk.U(buckets)
-        return pa.Table.from_batches([blob_batch(block.astype(np.int64), (keys, np.rint(add.get("n_known", zero)).astype(np.int64), fixed(add.get("base", zero)), fixed(add.get("score", zero))), buckets)])
-
-    def join_rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        bucket = (left if left.num_rows else right).column("bucket")[0].as_py()
-        keys, docs_, n = unpack_all(left, "i8", "i8", "u4")
-        if bucket < buckets:
-            table_keys, counts = unpack_all(right, "i8", "i8")
-            return per_doc(docs_, score=n * log_p(keys, lookup(keys, table_keys, counts)[0]))
-        table_keys, counts = unpack_all(right, "i8", "i8")
-        order = np.argsort(table_keys)
-        c, hit = lookup(keys, table_keys[order], counts[order])
-        return per_doc(docs_, n_known=n * hit, base=n * uni.base(c), score=n * np.log10(np.maximum(uni.p(c), 1e-300) / small.value[0]))
-
-    def pack_words(table: pa.Table) -> pa.Table:
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py() + buckets], pa.int32()), "n": pa.array([table.num_rows], pa.int32()), "blob": pa.array([pack(table.column("word").to_numpy(), table.column("c").to_numpy())], pa.binary())})
-
-    def add_docs(table: pa.Table) -> pa.Table:
-        doc, known, base, total = unpack_all(table, "i8", "i8", "i8", "i8")
-        keys, inverse = np.unique(doc, return_inverse=True)
+        return blob_batch(block.astype(np.int64), (keys, np.rint(known).astype(np.int64), fixed(base), fixed(total)), buckets)
+
+    def join_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        history, event, row, n = unpack_all(left, "u8", "u8", "i8", "i4")
+        is_seen = np.array(right.column("seen").to_pylist(), bool)
+        t_history, t_event, t_count = unpack_all(right.filter(pa.array(~is_seen)), "u8", "u8", "i8")
+        own, p = unpack_all(right.filter(pa.array(is_seen)), "u8", "f8")
+        c = Pairs(t_history, t_event, t_count).find(history, event)
+        # histories outside the cache have all their pairs in this bucket
+        far = t_history >= RARE
+        h, count, cut, mass, types = masses_of(t_history[far], t_event[far], t_count[far])
+        if len(own):
+            np.add.at(mass, np.searchsorted(h, own), p)
+        own_alpha, own_scale = weights(count, cut, mass, types)
+        top_count, top_alpha, top_scale, _ = model.value
+        at = np.minimum(np.searchsorted(h, history), max(0, len(h) - 1))
+        found = (h[at] == history) if len(h) else np.zeros(len(history), bool)
+
+        def of(top: np.ndarray, mine: np.ndarray, absent: float) -> np.ndarray:
+            near = history < RARE
+            out = np.where(near, top[np.where(near, history, BEGIN).astype(np.int64)], absent)
+            out[found] = mine[at[found]]
+            return out
+
+        # a history that was never seen backs off with weight 1
+        total, a, s = of(top_count, count, 0.0), of(top_alpha, own_alpha, 1.0), of(top_scale, own_scale, 1.0)
+        a = np.where(total > 0, a, 1.0)
+        near = event < RARE
+        p = np.where(near, vocab.value[2][np.where(near, event, BEGIN).astype(np.int64)], 1.0)
+        value = np.log10(np.where(c > 0, s * discounted(c) / np.maximum(total, 1), np.maximum(a * p, 1e-300)))
+        rest = (c == 0) & ~near
+        out = [per_row(row, np.zeros(len(row)), np.zeros(len(row)), n * value), blob_batch(buckets + word_bucket(event[rest]), (event[rest], row[rest], -n[rest]), buckets)]
+        return pa.Table.from_batches(out)
+
+    def join_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        event, row, n = unpack_all(left, "u8", "i8", "i4")
+        c = counts_in(right, event)
+        known = n > 0  # negative numbers ask for the backed-off probability
+        return pa.Table.from_batches([per_row(row, n * (known & (c > 0)), n * known * uni.base(c), -n * ~known * np.log10(np.maximum(uni.p(c), 1e-300)))])
+
+    def add_rows(table: pa.Table) -> pa.Table:
+        row, known, base, total = unpack_all(table, "i8", "i8", "i8", "i8")
+        keys, inverse = np.unique(row, return_inverse=True)
         out = [np.zeros(len(keys), np.int64) for _ in range(3)]
         for o, v in zip(out, (known, base, total)):
             np.add.at(o, inverse, v)
-        return pa.table({"doc_id": pa.array(keys), **{k: pa.array(v) for k, v in zip(("n_known", "base", "score"), out)}})
-
-    parts = materialize(rows.mapInArrow(score, PARTS), "katz-parts")
-    tables = bigrams.select("bucket", "n", "blob").unionByName(unigrams.groupBy("bucket").applyInArrow(pack_words, BLOBS))
-    late = parts.where("bucket is not null").select("bucket", "n", "blob").groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(join_rest, BLOBS)
-    late = late.groupBy("bucket").applyInArrow(add_docs, "doc_id long, n_known long, base long, score long")
-    early = parts.where("bucket is null").select("doc_id", "rows", "n_tokens", "n_known", "base", "score")
-    both = early.unionByName(late.select("doc_id", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "score"))
-    each = both.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score"))).where("rows > 0")
-    scored = each.select("doc_id", *((F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")), F.lit(uni.total).cast("long").alias("train_tokens"), *((F.col(c) / F.col("rows") / UNIT).alias(o) for c, o in (("base", "base_score"), ("score", "score"))))
-    key = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"))
-    return key.join(scored.withColumnRenamed("doc_id", "_key"), "_key").drop("_key")
+        return pa.table({"row": pa.array(keys), **{k: pa.array(v) for k, v in zip(("n_known", "base", "score"), out)}})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = materialize(rows.select("row", "doc_id", "text").mapInArrow(score, PIECES), "katz-pieces")
+    asked = pieces.where("bucket is not null").select("bucket", "n", "blob")
+    tables = bigrams.withColumn("seen", F.lit(False)).unionByName(seen.where("bucket is not null").select("bucket", "n", "blob", F.lit(True).alias("seen")))
+    late = asked.where(F.col("bucket") < buckets).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(join_pairs, BLOBS)
+    late = materialize(late, "katz-late")
+    shifted = word_table.withColumn("bucket", F.col("bucket") + buckets)
+    by_word = asked.unionByName(late).where(F.col("bucket") >= buckets).groupBy("bucket").cogroup(shifted.groupBy("bucket")).applyInArrow(join_words, BLOBS)
+    sums = late.where(F.col("bucket") < buckets).unionByName(by_word).groupBy("bucket").applyInArrow(add_rows, "row long, n_known long, base long, score long")
+    early = pieces.where("bucket is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
+    none = {"doc_id": F.lit(None).cast("long"), "n_tokens": F.lit(0).cast("long")}
+    each = early.unionByName(sums.withColumns(none)).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return each.select("doc_id", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), (F.col("base") / UNIT).alias("base_score"), (F.col("score") / UNIT).alias("score"))

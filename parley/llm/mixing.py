@@ -7,16 +7,24 @@ membership: posterior shares of its tokens. Nonnegative rates r then solve
 
     least squares over domains of  sum_d r_d * tokens_d * p_dk  =  target_k
 
-by projected gradient from r = 1. Steps are taken in the metric of token counts
-with whitened targets, so their size is 1. A document's rate is a function of its
-posteriors and of the residuals met so far, which are one small vector for each
-step: an iteration is one aggregation over (tokens, posteriors) and nothing is
-shuffled. Rates become whole copies by a hash of doc_id, right in expectation.
+by projected gradient from r = 1. A step is the gradient in the metric of the documents
+whose rate is not 0 (their Gram matrix, gathered with the residual), so where no further
+rate reaches 0 it lands on the solution. Of SIZES of it, and of the gradient in the metric
+of all documents, which never overshoots, the one with the least residual is taken. A document's rate is a function of its posteriors and of the steps so far, which
+are one small vector each: an iteration is one aggregation over (tokens, posteriors) and
+nothing is shuffled. It goes on until the residual is within the tolerance or, where the
+targets cannot be met, until the rates stand still (the least-squares optimum); if neither
+comes within STEPS iterations it fails. Rates become whole copies by a hash of doc_id,
+right in expectation.
+
+The classifier reads at most SAMPLE labelled rows, and of each at most TEXT_WORDS distinct
+words (those with the least hashes).
 
 Cases: null and empty texts have no tokens, rate by their posteriors and weigh
 nothing; labels with nulls are not learned from; without two labelled domains every
 document is ``good`` with rate 1; rows that share a doc_id get the same copies; an
-empty table gives an empty result; other columns pass through.
+empty table gives an empty result; other columns pass through. The struct that is added is
+the last column, ``_m`` or, where that name is taken, ``_m`` with underscores appended.
 """
 
 from __future__ import annotations
@@ -29,10 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import materialize, pack, row_slices, text_bytes, unpack
+from parley.llm.common import free_name, materialize, pack, row_slices, text_bytes, unpack
 
 DOMAINS = ("good", "low", "toxic")
-SAMPLE, SAMPLE_WORDS, STEPS = 4000, 4096, 30
+SAMPLE, SAMPLE_WORDS, TEXT_WORDS, STEPS = 4000, 4096, 1 << 14, 200
+SIZES = (1.0, 0.5, 0.25, 0.0625)
 #: Most share of all tokens; a domain below its cap keeps its share, ``good`` takes the rest.
 CAPS = {"low": 0.03, "toxic": 0.01}
 
@@ -43,7 +52,7 @@ def _rows_of(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     for a, b in row_slices(offs):
         d, o = tk.LOWER[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a]
         starts, ends, rows = tk.words(d, o)
-        yield tk.word_counts(rows, b - a), rows, tk.Rolling(d).of(starts, ends)
+        yield tk.word_counts(rows, b - a), rows, tk.span_hash(d, starts, ends)
 
 
 def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +110,7 @@ def fit(sets: list[np.ndarray], domain: np.ndarray) -> Classifier:
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
-    pick = labels.where("quality is not null and toxic is not null").select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    pick = labels.where("quality is not null and toxic is not null").select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(SAMPLE)
 
     def sets(batches):
         for batch in batches:
@@ -109,17 +118,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
             for n_words, rows, keys in _rows_of(batch.column(1)):
                 rows, keys = _distinct(rows, keys)
                 cut = np.searchsorted(rows, np.arange(len(n_words) + 1))
-                blobs += [pack(keys[a:b]) for a, b in zip(cut, cut[1:])]
-                sizes += np.diff(cut).tolist()
+                cut_to = np.minimum(cut[1:], cut[:-1] + TEXT_WORDS)  # keys are in order of their hashes
+                blobs += [pack(keys[a:b]) for a, b in zip(cut, cut_to)]
+                sizes += (cut_to - cut[:-1]).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "domain", "n", "blob"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").mapInArrow(sets, "doc_id long, domain int, n int, blob binary").orderBy("doc_id").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").mapInArrow(sets, "doc_id long, domain int, n int, blob binary")
+    rows = rows.orderBy("doc_id", "domain", F.xxhash64("blob")).limit(SAMPLE).toArrow()
     got = [unpack(b, n, "u8")[0] for n, b in zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist())]
     return fit(got, rows.column("domain").to_numpy().astype(np.int64))
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` plus the struct ``_m``: tokens and one posterior for each domain."""
+    """``docs`` plus a last struct: tokens and one posterior for each domain."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pa.Array) -> pa.Array:
@@ -131,15 +142,20 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))], names=["tokens", *DOMAINS])
 
     kind = "tokens long, " + ", ".join(f"{d} double" for d in DOMAINS)
-    return docs.withColumn("_m", F.arrow_udf(run, kind)(F.col("text")))
+    return docs.withColumn(free_name(docs.columns, "_m"), F.arrow_udf(run, kind)(F.col("text")))
+
+
+def _after(rate: Column, step: np.ndarray, m: str) -> Column:
+    """A rate after one step, never below 0."""
+    move = sum((F.col(f"{m}.{d}") * float(x) for d, x in zip(DOMAINS, step)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), rate - move)
 
 
 def _rate(steps: list[np.ndarray], m: str) -> Column:
-    """The rate after the given steps, from 1, never below 0."""
+    """The rate after the given steps, from 1."""
     r = F.lit(1.0)
     for g in steps:
-        move = sum((F.col(f"{m}.{d}") * float(x) for d, x in zip(DOMAINS, g)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
+        r = _after(r, g, m)
     return r
 
 
@@ -152,39 +168,65 @@ def targets_for(mass: np.ndarray, caps: dict[str, float]) -> np.ndarray:
     return t
 
 
+def _measure(members: DataFrame, before: Column, rates: list[Column]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of some rates: domain tokens, Gram matrix of documents with a rate, tokens that changed rate."""
+    k = len(DOMAINS)
+    tokens = F.col("_m.tokens")
+    cells = [(a, b) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
+    cols = []
+    for r in rates:
+        cols += [F.sum(tokens * F.col(f"_m.{d}") * r) for d in DOMAINS]
+        cols += [F.sum(F.when(r > 0, tokens * F.col(f"_m.{a}") * F.col(f"_m.{b}")).otherwise(0.0)) for a, b in cells]
+        cols.append(F.sum(tokens * F.abs(r - before)))
+    row = np.array([x or 0.0 for x in members.agg(*(c.alias(f"c{i}") for i, c in enumerate(cols))).first()], np.float64).reshape(len(rates), -1)
+    out = []
+    for values in row:
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = values[k : k + len(cells)]
+        out.append((values[:k], gram + np.triu(gram, 1).T, float(values[-1])))
+    return out
+
+
 def solve(members: DataFrame, caps: dict[str, float] | None = None, tolerance: float = 1e-6) -> list[np.ndarray]:
     """The projected-gradient steps over a table with the struct ``_m``."""
     members = materialize(members.select("_m").where("_m.tokens > 0"), "mix")
-    k = len(DOMAINS)
-    cells = [F.sum(F.col("_m.tokens") * F.col(f"_m.{a}") * F.col(f"_m.{b}")) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
-    mass = [F.sum(F.col("_m.tokens") * F.col(f"_m.{d}")) for d in DOMAINS]
-    row = [x or 0.0 for x in members.agg(*cells, *mass).first()]
-    g = np.zeros((k, k))
-    g[np.triu_indices(k)] = row[: len(cells)]
-    g = g + np.triu(g, 1).T
-    now = np.array(row[len(cells) :])
-    if not now.sum():
+    ((now, gram, _),) = _measure(members, F.lit(1.0), [F.lit(1.0)])
+    total = now.sum()
+    if not total:
         return []
     target = targets_for(now, CAPS if caps is None else caps)
-    whiten = np.linalg.pinv(g, rcond=1e-9)
+    whole = np.linalg.pinv(gram, rcond=1e-9)  # in its metric a step of size 1 never overshoots
+    miss = lambda x: float((x - target) @ whole @ (x - target))
     steps: list[np.ndarray] = []
-    while np.abs(now - target).max() > tolerance * target.sum() and len(steps) < STEPS:
-        steps.append(whiten @ (now - target))
-        rate = _rate(steps, "_m")
-        now = np.array(members.agg(*(F.sum(F.col("_m.tokens") * F.col(f"_m.{d}") * rate) for d in DOMAINS)).first())
+    while np.abs(now - target).max() > tolerance * total:
+        if len(steps) == STEPS:
+            raise RuntimeError(f"the rates miss their targets by {np.abs(now - target).max() / total:.1e} of all tokens after {STEPS} steps")
+        safe = whole @ (now - target)
+        step = np.linalg.pinv(gram, rcond=1e-9) @ (now - target)
+        before, tries = _rate(steps, "_m"), [safe, *(size * step for size in SIZES)]
+        tried = _measure(members, before, [_after(before, x, "_m") for x in tries])
+        if tried[0][2] <= tolerance * total:
+            break  # the safe step moves nothing: the least-squares optimum, targets out of reach
+        best = min(range(len(tries)), key=lambda i: miss(tried[i][0]))
+        steps.append(tries[best])
+        now, gram, _ = tried[best]
     return steps
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, caps: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` plus the struct ``_m``: tokens, posteriors, rate and copies."""
+    """``docs`` plus a last struct: tokens, posteriors, rate and copies."""
     scored = with_posteriors(docs, train(docs, labels))
-    rate = _rate(solve(scored, caps), "_m")
+    name = scored.columns[-1]
+    rate = _rate(solve(scored.select(F.col(name).alias("_m")), caps), name)
     u = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / (1 << 30)
-    m = F.col("_m").withField("rate", rate)
-    return scored.withColumn("_m", m).withColumn("_m", F.col("_m").withField("copies", F.floor(F.col("_m.rate") + u).cast("int")))
+    scored = scored.withColumn(name, F.col(name).withField("rate", rate))
+    return scored.withColumn(name, F.col(name).withField("copies", F.floor(F.col(f"{name}.rate") + u).cast("int")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, caps: dict[str, float] | None = None) -> DataFrame:
     """Each document as often as its rate says, columns unchanged."""
-    out = with_rates(docs, labels, caps).where("_m.copies > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_m.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = with_rates(docs, labels, caps)
+    name = out.columns[-1]
+    copy = free_name(out.columns, "_copy")
+    out = out.where(F.col(f"{name}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

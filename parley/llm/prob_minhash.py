@@ -16,10 +16,13 @@ still in other classes. What then remains apart is joined on prefixes: with the
 shingles of each set in one order, rare ones first, two sets of Jaccard >= t share
 one among their first (1 - t) n + 1, so common passages nominate nobody.
 
+Shingles are compared as 64-bit non-linear hashes of their words.
+
 Cases: texts of one to four words are one shingle; texts without words (null,
 empty, spaces) are alone in their class; equal texts share a class; a null
-``doc_id`` is its own class (null); repeated rows get one row each; an empty table
-gives an empty result; extra columns are not read.
+``doc_id`` is its own class (null); repeated rows get one row each; rows that share a
+``doc_id`` but not the text are different documents, which may lie in different classes;
+an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import connected_components, materialize, pack, row_slices, text_column, unpack
+from parley.llm.common import connected_components, free_name, materialize, pack, row_slices, text_column, unpack
 
 WIDTH, BANDS, ROWS, THRESHOLD, CENTRES = 5, 24, 5, 0.8, 3
 M = BANDS * ROWS
@@ -41,7 +44,7 @@ M = BANDS * ROWS
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row: row, hash, count; sorted by row, then hash."""
     starts, ends, rows = tk.words(data, offs)
-    h = tk.Rolling(data).of(starts, ends)
+    h = tk.span_hash(data, starts, ends)
     keys, at = tk.windows(h, rows, WIDTH)
     key_rows = rows[at]
     n = tk.word_counts(rows, len(offs) - 1)
@@ -51,7 +54,7 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         acc = np.zeros(len(short), tk.U)
         for k in range(WIDTH - 1):
             on = n[short] > k
-            acc[on] = acc[on] * tk.U(0xD1342543DE82EF95) + h[first[on] + k]
+            acc[on] = tk.chain(acc[on], h[first[on] + k])
         keys, key_rows = np.concatenate([keys, tk.mix(acc)]), np.concatenate([key_rows, short])
     order = np.lexsort((keys, key_rows))
     keys, key_rows = keys[order], key_rows[order]
@@ -94,7 +97,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     acc = np.zeros((len(sig), BANDS), tk.U)
     s = sig.reshape(len(sig), BANDS, ROWS)
     for k in range(ROWS):
-        acc = acc * tk.U(0xD1342543DE82EF95) + s[:, :, k]
+        acc = tk.chain(acc, s[:, :, k])
     return tk.mix(acc).view(np.int64)
 
 
@@ -193,25 +196,55 @@ def prefix_pairs(open_docs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.join(y, (x.shingle == y.shingle) & F.expr("doc_id_a < doc_id_b and comp_a <> comp_b") & enough).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and kept (doc_id = class_id), one row for each row."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """key, doc_id, digest, text of rows with a doc_id, and whether doc_ids have several texts.
+
+    The key is the doc_id; of one with several texts, the texts after the least digest
+    have keys of their own below all doc_ids."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    twins = rows.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last")
+    twins = materialize(twins.select("doc_id", "first"), "pmh-twins")
+    if not twins.limit(1).count():
+        return rows.withColumn("key", F.col("doc_id")), False
+    own = -F.lit(1 << 62) - F.pmod(F.xxhash64("doc_id", "digest"), F.lit(1 << 61))
+    key = F.when(F.col("digest") > F.col("first"), own).otherwise(F.col("doc_id"))
+    return rows.join(twins, "doc_id", "left").withColumn("key", key).drop("first"), True
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), class_id and first (whether it is the one to keep of
+    its class), one row for each pair of doc_id and digest; texts without words are left out."""
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marks = narrow.select("doc_id", F.md5("text").alias("digest")).where("doc_id is not null")
-    sketched = materialize(narrow.where("doc_id is not null").mapInArrow(_sketch, "doc_id long, size long, bands array<long>"), "pmh")
-    worded = sketched.where("size > 0").select("doc_id").distinct()
-    marks = materialize(marks.join(worded, "doc_id", "left_semi"), "pmh-marks")
-    reps = marks.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialize(marks.join(reps, "digest").select("doc_id", "rep").distinct(), "pmh-member")
+    rows, several = _keyed(docs)
+    narrow = rows.select(F.col("key").alias("doc_id"), "text")
+    sketched = materialize(narrow.mapInArrow(_sketch, "doc_id long, size long, bands array<long>"), "pmh")
+    worded = sketched.where("size > 0").select(F.col("doc_id").alias("key")).distinct()
+    marks = materialize(rows.select("key", "doc_id", "digest").join(worded, "key", "left_semi"), "pmh-marks")
+    reps = marks.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("rep")).select("digest", F.col("rep.key").alias("rep"))
+    member = materialize(marks.join(reps, "digest").distinct(), "pmh-member")
     chosen = sketched.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = chosen.select("doc_id", F.posexplode("bands").alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
-    rows = materialize(rows.join(shared, ["band", "hash"]), "pmh-bands")
+    bands = chosen.select("doc_id", F.posexplode("bands").alias("band", "hash"))
+    shared = bands.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash")
+    bands = materialize(bands.join(shared, ["band", "hash"]), "pmh-bands")
 
-    needed = rows.select("doc_id").distinct()
+    needed = bands.select("doc_id").distinct()
     texts = narrow.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(texts.mapInArrow(_sets, "doc_id long, n int, blob binary"), "pmh-sets")
-
+    label = _linked(spark, bands, sets)
+    if label is None:
+        out = member.withColumn("class", F.col("rep"))
+    else:
+        out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep"))
+    if not several:  # keys are doc_ids, so the least key is the class
+        return out.select("doc_id", "digest", F.col("class").alias("class_id"), (F.col("class") == F.col("doc_id")).alias("first"))
+    best = out.groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    out = out.join(best, "class")
+    return out.select("doc_id", "digest", F.col("best.doc_id").alias("class_id"), (F.struct("doc_id", "digest") == F.col("best")).alias("first"))
+
+
+def _linked(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """node, component of the documents that have verified links; None if none has."""
     links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
     label = None
@@ -219,7 +252,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         now = rows if label is None else rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         comp = F.col("doc_id") if label is None else F.coalesce("component", "doc_id")
         now = now.select("band", "hash", "doc_id", comp.alias("comp"))
-        apart = now.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("o"), "doc_id", "comp")).alias("c")).where("lo <> hi")
+        order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
+        centre = F.min(F.struct(order.alias("o"), "doc_id", "comp")).alias("c")
+        apart = now.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo <> hi")
         open_rows = now.join(apart.select("band", "hash", F.col("c.doc_id").alias("centre"), F.col("c.comp").alias("centre_comp")), ["band", "hash"])
         if turn < CENTRES:
             pairs = open_rows.where("comp <> centre_comp").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
@@ -227,22 +262,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = prefix_pairs(open_rows.select("doc_id", "comp").distinct(), sets)
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pmh-pairs")
         if not pairs.limit(1).count():
-            break
+            continue  # all of this turn's centres served before: the next ones, or the exact rest
         found = materialize(verify(pairs, sets), "pmh-links")
         done = done.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if not found.limit(1).count():
-            continue
-        links = links.unionByName(found)
-        label = materialize(connected_components(links), "pmh-label")
-    out = member if label is None else member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    class_of = out.select("doc_id", (F.col("rep") if label is None else F.coalesce("component", "rep")).alias("class_id"))
-    found = docs.select("doc_id").join(class_of, "doc_id", "left")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            label = materialize(connected_components(links), "pmh-label")
+    return label
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and kept (doc_id = class_id), one row for each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    out = rows.where("doc_id is not null").join(classes(docs), ["doc_id", "digest"], "left")
     class_id = F.coalesce("class_id", "doc_id")
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", class_id.alias("class_id"), (class_id == F.col("doc_id")).alias("kept"))
+    none = rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return out.unionByName(none)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, columns unchanged; of repeated rows one stays."""
-    first = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(docs.columns)
+    """One document of each class, columns unchanged; of repeated rows one stays, and all without words or doc_id."""
+    digest, gone = free_name(docs.columns, "_digest"), free_name(docs.columns, "_gone")
+    rest = classes(docs).where("not first").select(F.col("doc_id").alias(gone), F.col("digest").alias(digest))
+    known = docs.where("doc_id is not null").withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", digest])
+    same = (F.col("k.doc_id") == F.col(f"r.{gone}")) & (F.col(f"k.{digest}") == F.col(f"r.{digest}"))
+    known = known.alias("k").join(rest.alias("r"), same, "left_anti").select(*[F.col(f"k.`{c}`") for c in docs.columns])
     return known.unionByName(docs.where("doc_id is null"))

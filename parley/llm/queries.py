@@ -26,7 +26,8 @@ def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_index.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "_s.n_bytes", "_s.n_removed", "_s.n_spans", F.sha2("_s.kept", 256).alias("kept_sha256"))
+    s = out.columns[-1]
+    return out.select("doc_id", f"{s}.n_bytes", f"{s}.n_removed", f"{s}.n_spans", F.sha2(f"{s}.kept", 256).alias("kept_sha256"))
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = mixing.with_rates(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.col("_m.tokens").alias("n_tokens"), *(F.round(f"_m.{d}", 9).alias(f"p_{d}") for d in mixing.DOMAINS), F.round("_m.rate", 9).alias("rate"), F.col("_m.copies").alias("copies"))
+    m = out.columns[-1]
+    return out.select("doc_id", F.col(f"{m}.tokens").alias("n_tokens"), *(F.round(f"{m}.{d}", 9).alias(f"p_{d}") for d in mixing.DOMAINS), F.round(f"{m}.rate", 9).alias("rate"), F.col(f"{m}.copies").alias("copies"))
 
 
 def op5_sentencepiece_wfst(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
@@ -58,7 +60,7 @@ def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
-    return out.select("doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+    return out.select("doc_id", *(f"{out.columns[-1]}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,8 @@ def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_cm.drop_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "_s.n_words", "_s.n_removed", F.sha2("_s.text", 256).alias("kept_sha256"))
+    s = out.columns[-1]
+    return out.select("doc_id", f"{s}.n_words", f"{s}.n_removed", F.sha2(f"{s}.text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -93,7 +96,7 @@ SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT)
 """
 
 _OP8_BASE = f"""
-w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
 pos AS (SELECT doc_id, p, list_slice(ws, p, p + 4) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS p FROM w WHERE len(ws) >= 5)),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM pos) WHERE c > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
@@ -105,25 +108,26 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 
 
 def _op8() -> str:
-    slack = {m: s for m, (_, s, _) in quality.MEASURES.items()}
     levels = {"s": "lang, source, measure", "l": "lang, measure", "a": "measure"}
     quant = ",\n".join(
-        f"""{name} AS (SELECT {by}, max(total) AS total, {", ".join(f"min(edge) FILTER (c * 100 >= total * {p}) AS q{p}" for p in (25, 50, 75))} FROM (
+        f"""{name} AS (SELECT {by}, max(total) AS total, {", ".join(f"min(edge) FILTER (c * 100 >= total * {p}) AS q{p}" for p in (1, 10, 50, 90, 99))} FROM (
     SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY edge) AS c, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, edge, sum(n) AS n FROM sk GROUP BY {by}, edge)) GROUP BY {by})"""
         for name, by in levels.items()
     )
-    pick = ", ".join(f"CASE WHEN s.total >= {quality.MIN_DOCS} THEN s.{q} WHEN l.total >= {quality.MIN_DOCS} THEN l.{q} ELSE a.{q} END AS {q}" for q in ("q25", "q50", "q75"))
-    slacks = " ".join(f"WHEN '{m}' THEN {s}" for m, s in slack.items())
-    low = ", ".join(f"'{m}'" for m, (_, _, x) in quality.MEASURES.items() if x)
+    pick = ", ".join(f"CASE WHEN s.total >= 50 THEN s.q{p} WHEN l.total >= 50 THEN l.q{p} ELSE a.q{p} END AS q{p}" for p in (1, 10, 50, 90, 99))
     return f"""
 WITH {_OP8_BASE},
-v AS (SELECT doc_id, lang, source, base_failed, x.m AS measure, x.v AS v FROM (SELECT *, unnest([{", ".join(f"{{'m': '{m}', 'v': {e.replace(' div ', ' // ')}}}" for m, (e, _, _) in quality.MEASURES.items())}]) AS x FROM b WHERE n_words > 0)),
-sk AS (SELECT lang, source, measure, v - v % CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS edge, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+v AS (SELECT doc_id, lang, source, base_failed, x.m AS measure, x.v - x.v % CAST(pow(2, greatest(length(bin(x.v)) - 6, 0)) AS BIGINT) AS v FROM (SELECT *, unnest([
+    {{'m': 'word_len', 'v': word_chars * 100 // n_words}}, {{'m': 'symbols', 'v': n_symbols * 1000 // word_chars}},
+    {{'m': 'dup_lines', 'v': n_dup_lines * 1000 // n_words}}, {{'m': 'repeats', 'v': n_repeat_words * 1000 // n_words}}]) AS x FROM b WHERE n_words > 0)),
+sk AS (SELECT lang, source, measure, v AS edge, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 {quant},
-f AS (SELECT lang, source, measure, q50 - {quality.FENCE} * spread AS lo, q50 + {quality.FENCE} * spread AS hi FROM (
-    SELECT *, greatest(least(q50 - q25, q75 - q50), CASE measure {slacks} END) AS spread FROM (
-        SELECT s.lang, s.source, s.measure, {pick} FROM s JOIN l USING (lang, measure) JOIN a USING (measure)))),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN f USING (lang, source, measure) WHERE v > hi OR (measure IN ({low}) AND v < lo))
+t AS (SELECT *, CASE WHEN measure IN ('dup_lines', 'repeats') THEN q99 ELSE q90 END AS high, CASE WHEN measure IN ('dup_lines', 'repeats') THEN q1 ELSE q10 END AS low
+    FROM (SELECT s.lang, s.source, s.measure, {pick} FROM s JOIN l USING (lang, measure) JOIN a USING (measure))),
+f AS (SELECT lang, source, measure,
+    low - 3 * CASE WHEN q50 > low THEN q50 - low ELSE (q50 - q1) // 16 + 1 END AS lo,
+    high + 3 * CASE WHEN high > q50 THEN high - q50 ELSE (q99 - q50) // 16 + 1 END AS hi FROM t),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN f USING (lang, source, measure) WHERE v > hi OR (measure = 'word_len' AND v < lo))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
 """
 

@@ -72,6 +72,12 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits:
     return rows
 
 
+def filter_of(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for tasks: the mask of the keys whose estimate is two or more."""
+    shared = df.sparkSession.sparkContext.broadcast(build(df, keys_of, bits))
+    return lambda keys: repeated(shared.value, keys, bits)
+
+
 def repeated(sketch: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
     """Mask of the keys whose estimate is two or more."""
     hit = np.ones(len(keys), bool)

@@ -10,18 +10,21 @@ The model file is compiled into three machines over the tropical semiring:
   pieces' text in score order gives back exactly these two pieces, and infinity
   elsewhere. Exactly one path of finite weight is left, and it is the BPE result.
 
-Composition with an input and its shortest path run for all distinct space-marked
-units of a batch at once, position by position. No piece holds a mark after another
-character, so units are independent. Only identity normalisers are compiled;
-others are refused.
+Composition with an input and its shortest path run for all distinct units of a slice at
+once, position by position. Units begin at space marks, since no piece holds a mark after
+another character; long ones are divided further wherever no piece holds the two
+neighbouring characters, so no path can cross. Units count as equal if their characters
+are. Only identity normalisers are compiled; others are refused.
 
 Cases: null and empty texts give no ids; U+2581 in a text reads as a blank, as the
-format has it; texts of any length are whole; extra columns pass through.
+format has it; texts of any length are whole; extra columns pass through. The struct that
+is added is the last column, ``_e`` or, where that name is taken, ``_e`` with underscores
+appended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import textkernel as tk
-from parley.llm.common import row_slices, text_bytes
+from parley.llm.common import free_name, row_slices, text_bytes
 
 MARK, NONE, FAR = 0x2581, 0xFFFF, 1 << 30
-UNITS = 1 << 15
+UNITS, LONG_UNIT = 1 << 15, 96
 
 
 def bpe_split(text: str, rank: dict[str, int]) -> list[tuple[str, str]]:
@@ -97,6 +100,9 @@ class Lexicon:
                 self.weight[i] = -score[p]
             self.unknown = -(min(score.values()) - 10.0)
         self._trie(pieces)
+        #: Neighbouring characters that some piece holds.
+        self.inner = np.unique(np.array([ord(a) << 21 | ord(b) for p in pieces for a, b in zip(p, p[1:])] or [0], np.int64))
+        self.finite: dict[int, bool] = {}
         self.depth = max(map(len, pieces), default=1)
         self.cut = np.cumsum([0, *map(len, self.text)])
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
@@ -168,19 +174,17 @@ class Lexicon:
         return True
 
 
-_PAIRS: dict[int, bool] = {}
-
-
 def _finite(lex: Lexicon, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Grammar weights of neighbouring pieces; answers are kept with the model they are for."""
     keys, inverse = np.unique(a.astype(np.int64) << 16 | b, return_inverse=True)
     out = np.empty(len(keys), bool)
     for i, k in enumerate(keys.tolist()):
-        got = _PAIRS.get(k)
+        got = lex.finite.get(k)
         if got is None:
-            got = _PAIRS[k] = lex.stable(k >> 16, k & 0xFFFF)
+            got = lex.finite[k] = lex.stable(k >> 16, k & 0xFFFF)
         out[i] = got
-    if len(_PAIRS) > 400_000:
-        _PAIRS.clear()
+    if len(lex.finite) > 400_000:
+        lex.finite.clear()
     return out[inverse]
 
 
@@ -236,6 +240,43 @@ def shortest_paths(lex: Lexicon, chars: np.ndarray, start: np.ndarray, size: np.
     return last[e], e - length[e] + 1
 
 
+def _units(lex: Lexicon, marked: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First characters and lengths of the units of texts that start at ``begin``."""
+    is_mark = marked == MARK
+    head = is_mark.copy()
+    head[1:] &= ~is_mark[:-1]
+    head[begin] = True
+    unit = np.flatnonzero(head)
+    width = np.diff(np.append(unit, len(marked)))
+    long = np.flatnonzero(width > LONG_UNIT)
+    if not len(long):
+        return unit, width
+    at = np.repeat(unit[long] + 1 - (np.cumsum(width[long] - 1) - (width[long] - 1)), width[long] - 1) + np.arange(int((width[long] - 1).sum()))
+    key = marked[at - 1] << 21 | marked[at]
+    near = np.minimum(np.searchsorted(lex.inner, key), len(lex.inner) - 1)
+    head[at[lex.inner[near] != key]] = True
+    unit = np.flatnonzero(head)
+    return unit, np.diff(np.append(unit, len(marked)))
+
+
+def _distinct_units(marked: np.ndarray, unit: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One unit of each kind, and each unit's kind. Hashes nominate, characters decide."""
+    raw = marked.astype("<u4").view(np.uint8)
+    keys = tk.span_hash(raw, unit * 4, (unit + width) * 4)
+    _, rep, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    first = rep[inverse]
+    place = np.arange(len(marked)) - np.repeat(unit, width)
+    other = np.repeat(unit[first], width) + place
+    differs = marked[np.minimum(other, len(marked) - 1)] != marked
+    bad = (width != width[first]) | (np.logical_or.reduceat(differs, unit) if len(unit) else np.zeros(0, bool))
+    if bad.any():  # units that only share a hash become kinds of their own
+        alone = np.flatnonzero(bad)
+        inverse = inverse.copy()
+        inverse[alone] = len(rep) + np.arange(len(alone))
+        rep = np.concatenate([rep, alone])
+    return rep, inverse
+
+
 def encode_batch(lex: Lexicon, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the rows of one slice, and offsets by row."""
     n = len(offs) - 1
@@ -249,15 +290,8 @@ def encode_batch(lex: Lexicon, data: np.ndarray, offs: np.ndarray) -> tuple[np.n
     is_text = np.ones(len(marked), bool)
     is_text[begin] = False
     marked[is_text] = chars
-    is_mark = marked == MARK
-    head = is_mark.copy()
-    head[1:] &= ~is_mark[:-1]
-    head[begin] = True
-    unit = np.flatnonzero(head)
-    width = np.diff(np.append(unit, len(marked)))
-    sums = np.concatenate([np.zeros(1, tk.U), np.cumsum(tk.mix(marked.astype(tk.U)) * tk._powers(0, len(marked) + 1)[0][: len(marked)], dtype=tk.U)])
-    keys = tk.mix((sums[unit + width] - sums[unit]) * tk._powers(0, len(marked) + 1)[1][unit] + width.astype(tk.U))
-    _, rep, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    unit, width = _units(lex, marked, begin)
+    rep, inverse = _distinct_units(marked, unit, width)
     order = np.argsort(width[rep], kind="stable")  # long units run apart from short ones
     ids_parts, count = [], np.zeros(len(rep), np.int64)
     for a in range(0, len(order), UNITS):
@@ -309,10 +343,15 @@ def load(path: str) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=4)
+def compiled(model: bytes) -> Lexicon:
+    """The machines of a model file; compiling takes seconds, so a few stay."""
+    return Lexicon(model)
+
+
 def encode(docs: DataFrame, model: bytes, decode: bool = False) -> DataFrame:
-    """``docs`` plus ``ids`` and, if asked for, ``decoded`` (the text that the ids spell),
-    inside the struct ``_e``."""
-    lex = docs.sparkSession.sparkContext.broadcast(Lexicon(model))
+    """``docs`` plus a last struct with ``ids`` and, if asked for, ``decoded`` (the text that the ids spell)."""
+    lex = docs.sparkSession.sparkContext.broadcast(compiled(model))
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else [])])
 
     def run(text: pa.Array) -> pa.Array:
@@ -331,4 +370,4 @@ def encode(docs: DataFrame, model: bytes, decode: bool = False) -> DataFrame:
             return pa.StructArray.from_arrays([lists], names=["ids"])
         return pa.StructArray.from_arrays([lists, pa.concat_arrays(text_parts) if text_parts else pa.array([], pa.string())], names=["ids", "decoded"])
 
-    return docs.withColumn("_e", F.arrow_udf(run, kind)(F.col("text")))
+    return docs.withColumn(free_name(docs.columns, "_e"), F.arrow_udf(run, kind)(F.col("text")))

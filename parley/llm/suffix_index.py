@@ -12,9 +12,11 @@ strings; the strings that are new form a level, and levels of equal size merge,
 so levels double in size and there are logarithmically many.
 
 Cases: null text is empty; matches never cross documents; rows with a null
-``doc_id`` are passed through unjudged and judge nobody; rows that share a
-``doc_id`` are one document (they do not judge each other); texts under WIDTH bytes
-lose nothing; other columns pass through; an empty table gives an empty result.
+``doc_id`` are passed through unjudged and judge nobody; rows that share a ``doc_id``
+never judge each other, whether their texts are equal or not (different texts are told
+apart by 31 bits of a hash of the text); texts under WIDTH bytes lose nothing; other
+columns pass through; an empty table gives an empty result. The struct that is added is
+the last column, ``_s`` or, where that name is taken, ``_s`` with underscores appended.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from parley.llm import sketch as cm
 from parley.llm import textkernel as tk
-from parley.llm.common import BLOBS, blob_batch, pack, portions, row_slices, text_bytes, text_column, unpack, unpack_all
+from parley.llm.common import BLOBS, blob_batch, block_of, free_name, pack, portions, row_slices, text_bytes, text_column, text_tag, unpack, unpack_all
 
 GRAM, BATCH, SLICE = 20, 1 << 16, 1 << 20
 RUNS = "bucket int, n int, blob binary, bytes binary"
@@ -156,19 +158,20 @@ def judge_bucket(doc: np.ndarray, size: np.ndarray, raw: np.ndarray, width: int)
     return np.concatenate(out_run), np.concatenate(out_at)
 
 
-def _flags(doc: np.ndarray, start: np.ndarray, count: np.ndarray, block: np.ndarray, shift: int, n: int) -> pa.RecordBatch:
+def _flags(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, block: np.ndarray, shift: int, n: int) -> pa.RecordBatch:
     order = np.lexsort((start, doc, block))
-    b = blob_batch(block[order] + shift, (doc[order], start[order].astype(np.uint32), count[order].astype(np.uint32)), n, np.arange(len(order)))
+    b = blob_batch(block[order] + shift, (doc[order], tag[order], start[order].astype(np.uint32), count[order].astype(np.uint32)), n, np.arange(len(order)))
     return b.append_column("bytes", pa.array([b""] * b.num_rows, pa.binary()))
 
 
 def drop_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``docs`` without text, with the struct ``_s``: n_bytes, n_removed, n_spans and ``kept`` (the bytes that remain)."""
+    """``docs`` without text, plus a last struct: n_bytes, n_removed, n_spans and ``kept`` (the bytes that remain)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = cm.bits_for(size / 16)
     n_blocks, n_buckets = max(64, size >> 22), max(64, size >> 21)
-    narrow = docs.select("doc_id", "text")
+    block = block_of(n_blocks)
+    narrow = docs.select("doc_id", "text", block.alias("block"), text_tag().alias("tag"))
 
     def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         data, offs = text_column(batch)
@@ -186,31 +189,31 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
             out.append(low[new])
         return np.concatenate(out)
 
-    sketch = spark.sparkContext.broadcast(cm.build(narrow, keys_of, bits))
+    repeated = cm.filter_of(narrow, keys_of, bits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            block = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            block, tag = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.uint32)
             parts: list[list[np.ndarray]] = []
             for a, data, offs in slices(batch):
                 rows, at, count, low, roll = runs_of(data, offs, width)
-                pick = cm.repeated(sketch.value, low, bits) & known[a + rows]
+                pick = repeated(low) & known[a + rows]
                 rows, at, count, low = rows[pick], at[pick], count[pick], low[pick]
                 length = count + width - 1
-                parts.append([ids[a + rows], block[a + rows], at - offs[rows], length, low, roll.of(at, at + length), data[ranges(at, length)]])
+                parts.append([ids[a + rows], tag[a + rows], block[a + rows], at - offs[rows], length, low, roll.of(at, at + length), data[ranges(at, length)]])
             if not parts:
                 continue
-            doc, blk, start, length, low, keys, raw = (np.concatenate(x) for x in zip(*parts))
+            doc, mark, blk, start, length, low, keys, raw = (np.concatenate(x) for x in zip(*parts))
             keep, later = collapse(keys, length, np.cumsum(length) - length, raw, doc)
             if later.any():
-                yield _flags(doc[later], start[later], length[later] - width + 1, blk[later], n_buckets, n_buckets)
+                yield _flags(doc[later], mark[later], start[later], length[later] - width + 1, blk[later], n_buckets, n_buckets)
             bucket = ((low >> tk.U(20)) % tk.U(n_buckets)).astype(np.int64)
             order = np.flatnonzero(keep)
             order = order[np.lexsort((start[order], doc[order], bucket[order]))]
             offset = (np.cumsum(length) - length)[order]
-            out = blob_batch(bucket[order], (doc[order], start[order].astype(np.uint32), length[order].astype(np.uint32), blk[order].astype(np.uint32)), n_buckets, np.arange(len(order)))
+            out = blob_batch(bucket[order], (doc[order], mark[order], start[order].astype(np.uint32), length[order].astype(np.uint32), blk[order].astype(np.uint32)), n_buckets, np.arange(len(order)))
             ends = np.cumsum(out.column(1).to_numpy())
             lengths = length[order]
             texts = [pack(raw[ranges(offset[e - n : e], lengths[e - n : e])]) for n, e in zip(out.column(1).to_numpy(), ends)]
@@ -222,9 +225,9 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
             return table.set_column(0, "bucket", pa.array([bucket - n_buckets] * table.num_rows, pa.int32())).drop_columns(["bytes"])
         parts, raws = [], []
         for n, blob, packed in zip(*(table.column(c).to_pylist() for c in ("n", "blob", "bytes"))):
-            parts.append(unpack(blob, n, "i8", "u4", "u4", "u4"))
-            raws.append(unpack(packed, int(parts[-1][2].sum()), "u1")[0])
-        doc, start, length, blk = (np.concatenate(x) for x in zip(*parts))
+            parts.append(unpack(blob, n, "i8", "u4", "u4", "u4", "u4"))
+            raws.append(unpack(packed, int(parts[-1][3].sum()), "u1")[0])
+        doc, mark, start, length, blk = (np.concatenate(x) for x in zip(*parts))
         run, place = judge_bucket(doc, length.astype(np.int64), np.concatenate(raws), width)
         order = np.lexsort((place, run))
         run, place = run[order], place[order]
@@ -233,29 +236,30 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
         first = np.flatnonzero(head)
         count = np.diff(np.append(first, len(run)))
         run, place = run[first], place[first]
-        return pa.Table.from_batches([_flags(doc[run], start[run] + place, count, blk[run].astype(np.int64), 0, n_blocks)]).drop_columns(["bytes"])
+        return pa.Table.from_batches([_flags(doc[run], mark[run], start[run] + place, count, blk[run].astype(np.int64), 0, n_blocks)]).drop_columns(["bytes"])
 
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")
-    flags = narrow.withColumn("block", block).mapInArrow(candidates, RUNS).groupBy("bucket").applyInArrow(resolve, BLOBS)
+    flags = narrow.mapInArrow(candidates, RUNS).groupBy("bucket").applyInArrow(resolve, BLOBS)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, start, count = unpack_all(right, "i8", "u4", "u4")
-        order = np.argsort(doc, kind="stable")
-        doc, start, count = doc[order], start[order].astype(np.int64), count[order].astype(np.int64)
+        doc, mark, start, count = unpack_all(right, "i8", "u4", "u4", "u4")
+        key = tk.mix(doc.view(tk.U)) ^ mark.astype(tk.U)
+        order = np.argsort(key, kind="stable")
+        key, start, count = key[order], start[order].astype(np.int64), count[order].astype(np.int64)
         ids = left.column("doc_id").combine_chunks()
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        ids = tk.mix(ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(tk.U)) ^ left.column("tag").to_numpy().astype(np.uint32).astype(tk.U)
         data_all, offs_all = text_bytes(left.column("text"))
         cols: list[list] = [[], [], [], []]
         for a, b in row_slices(offs_all):
             data, offs = data_all[offs_all[a] : offs_all[b]], offs_all[a : b + 1] - offs_all[a]
-            lo, hi = np.searchsorted(doc, ids[a:b], "left"), np.searchsorted(doc, ids[a:b], "right")
+            lo, hi = np.searchsorted(key, ids[a:b], "left"), np.searchsorted(key, ids[a:b], "right")
             hits = np.where(known[a:b], hi - lo, 0)
             pick = ranges(lo, hits)
-            s = np.repeat(offs[:-1], hits) + start[pick]
+            stop = np.repeat(offs[1:], hits)
+            s = np.minimum(np.repeat(offs[:-1], hits) + start[pick], stop)
             d = np.zeros(len(data) + 1, np.int32)
             np.add.at(d, s, 1)
-            np.add.at(d, s + count[pick] + width - 1, -1)
+            np.add.at(d, np.minimum(s + count[pick] + width - 1, stop), -1)
             gone = np.cumsum(d[:-1]) > 0
             kept = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int32)
             head = gone.copy()
@@ -266,13 +270,13 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 50) -> DataFrame:
             n = np.diff(offs)
             for c, v in zip(cols, (pa.array(n), pa.array(n - np.diff(kept)), pa.array(np.diff(spans)), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(kept), pa.py_buffer(data[~gone])]))):
                 c.append(v)
-        out = left.drop_columns(["text", "block"])
+        out = left.drop_columns(["text", "block", "tag"])
         for name, c, kind in zip(("n_bytes", "n_removed", "n_spans", "kept"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary())):
             out = out.append_column(name, pa.chunked_array([x.cast(kind) for x in c], kind))
         return out
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    left = docs.select("doc_id", "text", rest.alias("rest"), block.alias("block"))
-    schema = T.StructType([*left.drop("text", "block").schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    left = docs.select("doc_id", "text", rest.alias("rest"), block.alias("block"), text_tag().alias("tag"))
+    schema = T.StructType([*left.drop("text", "block", "tag").schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     out = left.groupBy("block").cogroup(flags.groupBy("bucket")).applyInArrow(apply, schema)
-    return out.select(*[F.col(f"rest.`{c}`") for c in docs.columns if c != "text"], F.struct("n_bytes", "n_removed", "n_spans", "kept").alias("_s"))
+    return out.select(*[F.col(f"rest.`{c}`") for c in docs.columns if c != "text"], F.struct("n_bytes", "n_removed", "n_spans", "kept").alias(free_name(docs.columns, "_s")))

@@ -1,10 +1,11 @@
 """Vectorised word, line and window arithmetic over Arrow text buffers.
 
 Words are maximal runs of bytes other than the six ASCII spaces 0x20 and
-0x09-0x0D, so UTF-8 continuation bytes never split. Hashes are polynomials
-modulo 2**64 over a random byte table, evaluated for all words at once from one
-running sum, then finalised; two bases give 128 bits where exact grouping
-depends on them."""
+0x09-0x0D, so UTF-8 continuation bytes never split. ``span_hash`` identifies words
+and lines: eight bytes at a time go through a non-linear mixer, so no pattern of
+letters makes two texts collide by construction, and two seeds give 128 bits where
+exact grouping depends on them. ``Rolling`` is a polynomial modulo 2**64 that only
+nominates: whoever uses it compares the bytes afterwards."""
 
 from __future__ import annotations
 
@@ -59,6 +60,41 @@ class Rolling:
         return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+_LOW = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 8)), (1 << 64) - 1], U)
+_LONG, _CHUNK = 512, 256
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of many byte ranges. Ranges over ``_LONG`` bytes are hashed by
+    chunks, then the chunks' hashes, so one huge range takes few steps too."""
+    n = end - start
+    acc = mix(n.astype(U) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019 * (seed + 1) & (1 << 64) - 1))
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        parts = -(-n[long] // _CHUNK)
+        first = np.cumsum(parts) - parts
+        k = np.arange(int(parts.sum())) - np.repeat(first, parts)
+        at = np.repeat(start[long], parts) + k * _CHUNK
+        each = span_hash(data, at, np.minimum(at + _CHUNK, np.repeat(end[long], parts)), seed + 2)
+        acc[long] = mix(acc[long] ^ span_hash(each.view(np.uint8), first * 8, (first + parts) * 8, seed + 4))
+    left = np.flatnonzero((n > 0) & (n <= _LONG))
+    if len(left):
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        at, rest = start[left], n[left]
+        while len(left):
+            acc[left] = mix((acc[left] ^ (eight[at] & _LOW[np.minimum(rest, 8)])) * U(0xD6E8FEB86659FD93))
+            more = rest > 8
+            left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return acc
+
+
+def chain(acc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One step of a hash over a sequence of hashes; not linear in any of them."""
+    acc = (acc ^ value) * U(0xD1342543DE82EF95)
+    return acc ^ (acc >> U(29))
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of all words; words never span rows."""
     if not len(data):
@@ -86,8 +122,7 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int, salt: int = 0) ->
         return np.zeros(0, U), np.zeros(0, np.int64)
     acc = np.full(n, salt, U)
     for k in range(width):
-        acc *= U(0xD1342543DE82EF95)
-        acc += hashes[k : k + n]
+        acc = chain(acc, hashes[k : k + n])
     at = np.flatnonzero(rows[:n] == rows[width - 1 :])
     return mix(acc[at]), at
 

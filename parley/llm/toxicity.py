@@ -6,15 +6,18 @@ Two gated recurrent passes read windows of SPAN words, attention pools them, and
 document's score is that of its worst window; windows overlap by half and cover
 every word of every text.
 
-Training is numpy on the driver, on at most SAMPLE labelled texts of at most
-SAMPLE_BYTES bytes each (the first by a hash of doc_id): windows of toxic texts that
+Training is numpy on the driver, on at most SAMPLE labelled rows (the first by a hash of
+doc_id); of a text over SAMPLE_CHARS characters, PIECES evenly spaced parts of that much
+in all are read for fitting, while scores always cover whole texts. Windows of toxic texts that
 hold words typical of toxic texts are positive, windows of other texts negative.
 A last logistic step calibrates document scores on the same sample. Scoring needs
 only the weights (under 1 MB), which are broadcast.
 
 Cases: null and empty texts are one window of padding and get a score; labels that
 are null are not learned from; without labels of both kinds every score is the share
-of positives seen (0 if none); extra columns pass through; repeated rows are scored alike.
+of positives seen (0 if none); extra columns pass through; repeated rows are scored alike;
+a label counts for every row of its doc_id until SAMPLE rows are taken. The score is the last
+column, ``_score`` or, where that name is taken, ``_score`` with underscores appended.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import row_slices, text_bytes
+from parley.llm.common import free_name, row_slices, text_bytes
 
-SAMPLE, SAMPLE_BYTES, SPAN, STRIDE = 3000, 1 << 16, 24, 12
+SAMPLE, SAMPLE_CHARS, PIECES, SPAN, STRIDE = 3000, 1 << 16, 8, 24, 12
 WORDS, GRAMS, EMBED, HIDDEN, ATTEND = 4096, 1 << 12, 8, 8, 8
 STEPS, BATCH, RATE = 260, 256, 0.01
 
@@ -43,7 +46,7 @@ class Text:
         data = tk.LOWER[data]
         starts, ends, self.rows = tk.words(data, offs)
         self.n = len(offs) - 1
-        keys = tk.Rolling(data).of(starts, ends)
+        keys = tk.span_hash(data, starts, ends)
         self.keys, rep, self.word = np.unique(keys, return_index=True, return_inverse=True)
         s, size = starts[rep], ends[rep] - starts[rep]
         # trigrams of the word between two boundary marks
@@ -253,13 +256,16 @@ def _subset(t: Text, words: np.ndarray) -> Text:
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     """Fit on a bounded sample of ``labels`` (doc_id, toxic) joined with their texts."""
-    pick = labels.where("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(pick), "doc_id").orderBy("doc_id").toArrow()
+    pick = labels.where("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    part, size = SAMPLE_CHARS // PIECES, F.length("text")
+    at = [1 + F.floor((size - part) * k / (PIECES - 1)).cast("int") for k in range(PIECES)]
+    text = F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *(F.substring(F.col("text"), x, F.lit(part)) for x in at)))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(pick), "doc_id").orderBy("doc_id", "toxic", F.xxhash64("text")).limit(SAMPLE).toArrow()
     return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool))
 
 
 def with_score(docs: DataFrame, net: Network | float) -> DataFrame:
-    """``docs`` plus the double ``_score`` in 0..1."""
+    """``docs`` plus a last column, the score: a double in 0..1."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(text: pa.Array) -> pa.Array:
@@ -270,4 +276,4 @@ def with_score(docs: DataFrame, net: Network | float) -> DataFrame:
         parts = [net.score(Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs)]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return docs.withColumn("_score", F.arrow_udf(run, "double")(F.col("text")))
+    return docs.withColumn(free_name(docs.columns, "_score"), F.arrow_udf(run, "double")(F.col("text")))
