@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import mixing, prob_minhash, quality, sp_wfst, substring_cm
-from parley.llm.common import materialize
+from parley.llm.common import free_name, materialize
 
 #: Rows of whole documents that go to a Python worker at once: the stages share long-lived
 #: workers, and small batches keep each stage's buffers within a small executor.
-BATCH_ROWS = "1000"
+BATCH_ROWS, BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -32,11 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 20-word windows seen earlier; texts that lose nothing keep
     their spacing, and documents with no word left go."""
-    out = substring_cm.drop_repeated_windows(docs.withColumn("_whole", F.col("text")))
-    text = F.when(F.col("_s.n_removed") > 0, F.col("_s.text")).otherwise(F.col("_whole"))
+    whole = free_name(docs.columns, "_whole")
+    out = substring_cm.drop_repeated_windows(docs.withColumn(whole, F.col("text")))
+    s = out.columns[-1]
+    text = F.when(F.col(f"{s}.n_removed") > 0, F.col(f"{s}.text")).otherwise(F.col(whole))
     chars = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    out = out.where("_s.n_removed < _s.n_words or _s.n_words = 0")
-    return out.withColumns({**chars, "text": text}).select(docs.columns)
+    out = out.where(f"{s}.n_removed < {s}.n_words or {s}.n_words = 0")
+    return out.withColumns({**chars, "text": text}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document."""
     out = sp_wfst.encode(docs, sp_wfst.load(MODEL))
-    return out.select("doc_id", "lang", "source", F.size("_e.ids").cast("long").alias("n_ids"), F.col("_e.ids").alias("ids"))
+    ids = F.col(f"{out.columns[-1]}.ids")
+    return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_ids"), ids.alias("ids"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -55,7 +58,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def in_small_batches(stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -75,6 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
