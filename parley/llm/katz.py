@@ -15,7 +15,7 @@ too large to be discounted gives up a small share, so nothing has probability 0.
 recursively: bigram, else weight times unigram, else weight times the unseen mass,
 which is shared by as many unseen types as Chao's estimate names.
 
-The CACHE most frequent words and pairs are broadcast: tables of fixed size that keep hot
+The CACHE most frequent words and PAIR_CACHE pairs are broadcast: tables of fixed size that keep hot
 keys out of the shuffle and change no result. A word in the cache has a small number as
 its code, any other its 63-bit hash. Pairs outside the cache meet the bigram table by
 bucket; what has to back off to a word outside the cache goes on to the unigram table.
@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import BLOBS, blob_batch, materialize, pack, row_slices, text_column, unpack, unpack_all
+from parley.llm.common import BLOBS, blob_batch, materialize, pack, portions, row_slices, text_column, unpack, unpack_all
 
-CACHE, TOP_COUNT, SUB, PARTS = 1 << 17, 5, 8, 64
+CACHE, PAIR_CACHE, TOP_COUNT, SUB, PARTS = 1 << 17, 1 << 19, 5, 8, 64
 #: Share of the Witten-Bell estimate that every history leaves to unseen events at least.
 FLOOR = 0.25
 END = int(tk.mix(np.array([20_24], tk.U))[0])
@@ -47,6 +47,8 @@ END = int(tk.mix(np.array([20_24], tk.U))[0])
 BEGIN, RARE = tk.U(0), tk.U(1 << 63)
 #: Partial scores travel as integers of this unit.
 UNIT = 1e7
+#: Bytes of text whose pairs a task holds at once.
+PORTION = 12 << 20
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +177,29 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         h, n = unpack_all(table, "u8", "u4")
         (h,), n = _totals(h, weight=n.astype(np.int64))
         b = table.column("bucket")[0].as_py()
-        return pa.table({"part": pa.array(np.full(len(h), b % PARTS, np.int32)), "bucket": pa.array(np.full(len(h), b, np.int32)), "word": pa.array(h.view(np.int64)), "c": pa.array(n)})
+        return pa.table({"part": pa.array([b % PARTS], pa.int32()), "bucket": pa.array([b], pa.int32()), "n": pa.array([len(h)], pa.int32()), "blob": pa.array([pack(h, n)], pa.binary())})
 
-    unigrams = training.mapInArrow(count_words, BLOBS).groupBy("bucket").applyInArrow(add_words, "part int, bucket int, word long, c long")
-    unigrams = materialize(unigrams, "katz-unigrams", ["part"])
-    stats = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count_if(F.col("c") == r) for r in range(1, TOP_COUNT + 2))).first()
-    uni = Unigram(stats[0], stats[1], {r: stats[r + 1] for r in range(1, TOP_COUNT + 2)})
-    top = unigrams.orderBy(F.desc("c"), "word").limit(CACHE).select("word", "c").toArrow()
+    unigrams = training.mapInArrow(count_words, BLOBS).groupBy("bucket").applyInArrow(add_words, f"part int, {BLOBS}")
+    unigrams = materialize(unigrams, "katz-unigrams", ["part"]).select("bucket", "n", "blob")
+
+    def word_counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                yield unpack(blob, n, "u8", "i8")
+
+    def by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c in word_counts_of(batches):
+            small = np.bincount(np.minimum(c, TOP_COUNT + 2), minlength=TOP_COUNT + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small))), pa.array(small), pa.array(np.append(c.sum(), np.zeros(len(small) - 1, np.int64)))], ["r", "n", "c"])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c in word_counts_of(batches):
+            pick = np.argsort(-c, kind="stable")[:CACHE]
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[pick])], ["word", "c"])
+
+    stats = {x.r: (x.n, x.c) for x in unigrams.mapInArrow(by_count, "r long, n long, c long").groupBy("r").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
+    uni = Unigram(sum(c for _, c in stats.values()), sum(n for n, _ in stats.values()), {r: n for r, (n, _) in stats.items() if 0 < r < TOP_COUNT + 2})
+    top = unigrams.mapInArrow(frequent, "word long, c long").orderBy(F.desc("c"), "word").limit(CACHE).toArrow()
     words = top.column("word").to_numpy().view(tk.U)
     order = np.argsort(words)
     words, counts = words[order], top.column("c").to_numpy()[order]
@@ -208,7 +226,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
 
     # 2. exact bigram counts
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, PORTION):
             got = [pairs_of(*tokens(data, offs)) for _, data, offs in _slices(batch)]
             if got:
                 history, event = (np.concatenate(x) for x in zip(*got))
@@ -244,7 +262,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         """By history, in order: count, discounted count, unigram mass of cached events, types."""
         first = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if len(history) else np.zeros(0, np.int64)
         p = np.where(event < RARE, vocab.value[2][np.where(event < RARE, event, BEGIN).astype(np.int64)], 0.0)
-        return [history[first], *(np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (c, discounted(c), p, np.ones(len(c), np.int64)))]
+        return [history[first], *(np.add.reduceat(x, first) if len(first) else x for x in (c, discounted(c), p, np.ones(len(c), np.int64)))]
 
     # 3. backoff weights. Unigram masses of events outside the cache come from their own buckets.
     SEEN = f"{BLOBS}, h long, p double"
@@ -254,9 +272,6 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
             pick = event >= RARE
             yield blob_batch(word_bucket(event[pick]), (event[pick], history[pick]), buckets)
 
-    def pack_words(table: pa.Table) -> pa.Table:
-        return pa.table({"bucket": table.column("bucket")[:1], "n": pa.array([table.num_rows], pa.int32()), "blob": pa.array([pack(table.column("word").to_numpy(), table.column("c").to_numpy())], pa.binary())})
-
     def counts_in(right: pa.Table, event: np.ndarray) -> np.ndarray:
         word, c = unpack_all(right, "u8", "i8")
         word = word | RARE
@@ -277,8 +292,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         more = pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), pa.array(history[hot].astype(np.int64)), pa.array(p[hot])], ["bucket", "n", "blob", "h", "p"])
         return pa.Table.from_batches([rows, more])
 
-    word_table = unigrams.groupBy("bucket").applyInArrow(pack_words, BLOBS)
-    seen = bigrams.mapInArrow(rare_events, BLOBS).groupBy("bucket").cogroup(word_table.groupBy("bucket")).applyInArrow(rare_masses, SEEN)
+    seen = bigrams.mapInArrow(rare_events, BLOBS).groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInArrow(rare_masses, SEEN)
     seen = materialize(seen, "katz-seen")
 
     def top_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +314,10 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
     def hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for history, event, c in blobs(batches):
             pick = np.flatnonzero((history < RARE) & (event < RARE))
-            pick = pick[np.argsort(-c[pick], kind="stable")[:CACHE]]
+            pick = pick[np.argsort(-c[pick], kind="stable")[:PAIR_CACHE]]
             yield pa.RecordBatch.from_arrays([pa.array(x[pick].astype(np.int64)) for x in (history, event, c)], ["h", "e", "c"])
 
-    hot = bigrams.mapInArrow(hottest, "h long, e long, c long").orderBy(F.desc("c"), "h", "e").limit(CACHE).toArrow()
+    hot = bigrams.mapInArrow(hottest, "h long, e long, c long").orderBy(F.desc("c"), "h", "e").limit(PAIR_CACHE).toArrow()
     cached = Pairs(*(hot.column(x).to_numpy().astype(tk.U) for x in "he"), hot.column("c").to_numpy())
     model = sc.broadcast((mass["c"], alpha, scale, cached))
 
@@ -318,7 +332,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 6], NAMES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, PORTION):
             row_ids, pair_parts, word_parts = batch.column(0).to_numpy(), [], []
             for at, data, offs in _slices(batch):
                 n, mine = len(offs) - 1, row_ids[at]
@@ -401,7 +415,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
     tables = bigrams.withColumn("seen", F.lit(False)).unionByName(seen.where("bucket is not null").select("bucket", "n", "blob", F.lit(True).alias("seen")))
     late = asked.where(F.col("bucket") < buckets).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(join_pairs, BLOBS)
     late = materialize(late, "katz-late")
-    shifted = word_table.withColumn("bucket", F.col("bucket") + buckets)
+    shifted = unigrams.withColumn("bucket", F.col("bucket") + buckets)
     by_word = asked.unionByName(late).where(F.col("bucket") >= buckets).groupBy("bucket").cogroup(shifted.groupBy("bucket")).applyInArrow(join_words, BLOBS)
     sums = late.where(F.col("bucket") < buckets).unionByName(by_word).groupBy("bucket").applyInArrow(add_rows, "row long, n_known long, base long, score long")
     early = pieces.where("bucket is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
