@@ -80,9 +80,9 @@ def conversation_stats(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("user_turns"))
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations WHERE contains(lower(text), 'ö') ORDER BY turn DESC, conv_id DESC LIMIT 50")
+@query("SELECT id, ts, type, text FROM msg WHERE contains(lower(text), '7}') ORDER BY ts DESC, id LIMIT 50", True)
 def search_messages(spark, d):
-    return table(spark, d, "conversations").where(fx.contains_folded("text", "Ö")).select("conv_id", "turn", "role", "text").orderBy(F.desc("turn"), F.desc("conv_id")).limit(50)
+    return q.search_messages(archive(spark, d), "7}").select("id", "ts", "type", "text")
 
 
 @query("SELECT l_orderkey, list_sort(list(i)) AS indexes FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
@@ -125,9 +125,6 @@ def iso_seconds(spark, d):
     return table(spark, d, "events").select("event_id", fx.iso_utc("ts").alias("iso"), fx.trimmed_ts("ts").alias("trimmed"))
 
 
-_A = "SELECT DISTINCT event_id % 20 AS chat_jid, user_id AS member_jid, 0 AS r FROM events WHERE event_id < 4000"
-
-
 def _members(spark, d, where):
     return table(spark, d, "events").where(where).groupBy((F.col("event_id") % 20).alias("chat_jid"), F.col("user_id").alias("member_jid")).agg((F.max("event_id") % 3).cast("int").alias("rank"), F.min("ts").alias("joined_ts"))
 
@@ -137,25 +134,23 @@ def _members_sql(where):
 
 
 @query(f"""SELECT chat_jid, member_jid, CASE WHEN c.rank IS NULL THEN 'join' WHEN i.rank IS NULL THEN 'leave' ELSE 'role_change' END AS op, i.rank AS rank, c.rank AS old_rank
-FROM ({_members_sql('event_id < 4000')}) c FULL JOIN ({_members_sql('event_id >= 3000 AND event_id < 7000')}) i USING (chat_jid, member_jid) WHERE c.rank IS DISTINCT FROM i.rank""")
+FROM ({_members_sql("event_type <> 'click'")}) c FULL JOIN ({_members_sql("event_type <> 'view'")}) i USING (chat_jid, member_jid) WHERE c.rank IS DISTINCT FROM i.rank""")
 def membership_diff(spark, d):
-    _, history = merge.membership_changes(_members(spark, d, "event_id < 4000"), _members(spark, d, "event_id >= 3000 and event_id < 7000"), run_ts())
+    _, history = merge.membership_changes(_members(spark, d, "event_type <> 'click'"), _members(spark, d, "event_type <> 'view'"), run_ts())
     return history.select("chat_jid", "member_jid", "op", "rank", "old_rank")
 
 
 @query(f"""SELECT chat_jid, member_jid, i.rank AS rank, coalesce(c.joined_ts, i.joined_ts) AS joined_ts
-FROM ({_members_sql('event_id >= 3000 AND event_id < 7000')}) i LEFT JOIN ({_members_sql('event_id < 4000')}) c USING (chat_jid, member_jid)""")
+FROM ({_members_sql("event_type <> 'view'")}) i LEFT JOIN ({_members_sql("event_type <> 'click'")}) c USING (chat_jid, member_jid)""")
 def merge_coalesce(spark, d):
-    state, _ = merge.membership_changes(_members(spark, d, "event_id < 4000"), _members(spark, d, "event_id >= 3000 and event_id < 7000"), run_ts())
+    state, _ = merge.membership_changes(_members(spark, d, "event_type <> 'click'"), _members(spark, d, "event_type <> 'view'"), run_ts())
     return state
 
 
-@query("""SELECT parent_chat_jid, parent_key_id, emoji, count(*) AS n, list_sort(list(DISTINCT coalesce(name, sender_jid))) AS names FROM reacts LEFT JOIN contacts ON phone_jid = sender_jid GROUP BY 1, 2, 3""", True)
+@query("""SELECT parent_chat_jid, parent_key_id, emoji, count(*) AS n, list_sort(list(DISTINCT coalesce(name, '+41 ' || substr(sender_jid, 3, 2) || ' ' || substr(sender_jid, 5, 3) || ' ' || substr(sender_jid, 8, 2) || ' ' || substr(sender_jid, 10, 2)))) AS names
+FROM reacts LEFT JOIN contacts ON phone_jid = sender_jid GROUP BY 1, 2, 3""", True)
 def reactions_by_type(spark, d):
-    arch = archive(spark, d)
-    known = arch["contacts"].select(F.col("phone_jid").alias("sender_jid"), "name")
-    rows = arch["reactions"].join(known, "sender_jid", "left").withColumn("who", F.coalesce("name", "sender_jid"))
-    return rows.groupBy("parent_chat_jid", "parent_key_id", "emoji").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("who")).alias("names"))
+    return q.reaction_groups(archive(spark, d))
 
 
 @query("""SELECT url, min(page_id) AS first_page, count(*) AS seen FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, url FROM pages WHERE page_id % 2 = 0) GROUP BY url""")
@@ -189,12 +184,16 @@ def pretty_phone(spark, d):
     return archive(spark, d)["contacts"].select("phone_jid", fx.pretty_phone("phone_jid").alias("pretty"))
 
 
-@query("""SELECT DISTINCT m.sender_jid AS jid, CASE WHEN sender_jid LIKE '%@s.whatsapp.net' THEN coalesce(c.name, p1) WHEN l.phone_jid IS NULL THEN coalesce(s.display_name, 'lid:' || split_part(sender_jid, '@', 1))
+#: The name of every sender.
+NAMES = """SELECT DISTINCT m.sender_jid AS jid, CASE WHEN sender_jid LIKE '%@s.whatsapp.net' THEN coalesce(c.name, p1) WHEN l.phone_jid IS NULL THEN coalesce(s.display_name, 'lid:' || split_part(sender_jid, '@', 1))
     WHEN starts_with(coalesce(lc.name, p2), '+') THEN coalesce(s.display_name, p2) ELSE lc.name END AS name
 FROM (SELECT *, '+41 ' || substr(sender_jid, 3, 2) || ' ' || substr(sender_jid, 5, 3) || ' ' || substr(sender_jid, 8, 2) || ' ' || substr(sender_jid, 10, 2) AS p1 FROM msg) m
 LEFT JOIN contacts c ON c.phone_jid = m.sender_jid
 LEFT JOIN (SELECT *, '+41 ' || substr(phone_jid, 3, 2) || ' ' || substr(phone_jid, 5, 3) || ' ' || substr(phone_jid, 8, 2) || ' ' || substr(phone_jid, 10, 2) AS p2 FROM links) l ON l.lid_jid = m.sender_jid
-LEFT JOIN contacts lc ON lc.phone_jid = l.phone_jid LEFT JOIN (SELECT * FROM shown WHERE display_name LIKE 'Shown%') s ON s.jid = m.sender_jid""", True)
+LEFT JOIN contacts lc ON lc.phone_jid = l.phone_jid LEFT JOIN (SELECT * FROM shown WHERE display_name LIKE 'Shown%') s ON s.jid = m.sender_jid"""
+
+
+@query(NAMES, True)
 def resolve_names(spark, d):
     arch = archive(spark, d)
     return names.resolved(arch, arch["messages"].select(F.col("sender_jid").alias("jid")))
@@ -246,11 +245,11 @@ def clear_insert(spark, d):
 _LINK = "SELECT CAST(user_id AS VARCHAR) AS lid_jid, CAST(max(event_id % 4) AS VARCHAR) AS phone_jid FROM events WHERE {} GROUP BY user_id"
 
 
-@query(f"SELECT i.lid_jid AS lid_jid, i.phone_jid AS phone_jid, 'set' AS op FROM ({_LINK.format('event_id BETWEEN 300 AND 600')}) i LEFT JOIN ({_LINK.format('event_id < 400')}) c USING (lid_jid) WHERE c.phone_jid IS DISTINCT FROM i.phone_jid")
+@query(f"SELECT i.lid_jid AS lid_jid, i.phone_jid AS phone_jid, 'set' AS op FROM ({_LINK.format("event_type <> 'view'")}) i LEFT JOIN ({_LINK.format("event_type = 'click'")}) c USING (lid_jid) WHERE c.phone_jid IS DISTINCT FROM i.phone_jid")
 def link_cdc(spark, d):
     side = lambda where: table(spark, d, "events").where(where).groupBy(F.col("user_id").cast("string").alias("lid_jid")).agg(F.max(F.col("event_id") % 4).cast("string").alias("phone_jid"))
-    current = side("event_id < 400").withColumns({"first_observed_ts": run_ts(), "last_observed_ts": run_ts()})
-    _, history = merge.link_changes(current, side("event_id between 300 and 600"), run_ts())
+    current = side("event_type = 'click'").withColumns({"first_observed_ts": run_ts(), "last_observed_ts": run_ts()})
+    _, history = merge.link_changes(current, side("event_type <> 'view'"), run_ts())
     return history.select("lid_jid", "phone_jid", "op")
 
 
@@ -310,15 +309,62 @@ def receipt_status(spark, d):
     return table(spark, d, "events").select("event_id", r.alias("r")).select("event_id", "r.status", "r.ts")
 
 
-@query("""SELECT c_name AS name, role, row_number() OVER (ORDER BY CASE WHEN role = 'admin' THEN 0 ELSE 1 END, lower(c_name)) AS place FROM (SELECT c_name, CASE c_custkey % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'admin' WHEN 2 THEN 'superadmin' ELSE 'rank_3' END AS role FROM customer WHERE c_custkey < 200)""")
+@query("""SELECT c_nationkey AS chat, c_name AS name, role, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN role = 'admin' THEN 0 ELSE 1 END, lower(c_name)) AS place
+FROM (SELECT c_nationkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'admin' WHEN 2 THEN 'superadmin' ELSE 'rank_3' END AS role FROM customer)""")
 def member_sort(spark, d):
-    rows = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_name").alias("name"), fx.role(F.col("c_custkey") % 4).alias("role"))
-    # one chat's members: a bounded list
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("role") != "admin", F.lower("name"))).cast("long"))
-
-
-_LABELS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fx.MESSAGE_TYPES.items())
-_SYSTEM = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fx.SYSTEM_KINDS.items())
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("chat"), F.col("c_name").alias("name"), fx.role(F.col("c_custkey") % 4).alias("role"))
+    place = F.row_number().over(Window.partitionBy("chat").orderBy(F.col("role") != "admin", F.lower("name")))
+    return rows.withColumn("place", place.cast("long"))
+
+
+# Fixed values, written out for the SQL: what the labels and sentences must be.
+_LABELS = """
+    WHEN 0 THEN 'text'
+    WHEN 1 THEN 'image'
+    WHEN 2 THEN 'audio'
+    WHEN 3 THEN 'video'
+    WHEN 4 THEN 'contact'
+    WHEN 5 THEN 'location'
+    WHEN 7 THEN 'system'
+    WHEN 9 THEN 'document'
+    WHEN 10 THEN 'call_log'
+    WHEN 11 THEN 'empty'
+    WHEN 13 THEN 'gif'
+    WHEN 15 THEN 'deleted'
+    WHEN 16 THEN 'template'
+    WHEN 20 THEN 'sticker'
+    WHEN 25 THEN 'product'
+    WHEN 27 THEN 'group_invite'
+    WHEN 28 THEN 'list'
+    WHEN 36 THEN 'poll'
+    WHEN 42 THEN 'text'
+    WHEN 90 THEN 'reaction_stub'
+"""
+_SYSTEM = """
+    WHEN 1 THEN 'group_subject_change'
+    WHEN 4 THEN 'group_chat_participant_added'
+    WHEN 5 THEN 'group_chat_participant_left'
+    WHEN 6 THEN 'group_subject_change'
+    WHEN 7 THEN 'group_chat_participant_removed'
+    WHEN 11 THEN 'group_created'
+    WHEN 12 THEN 'group_chat_participant_added'
+    WHEN 14 THEN 'group_chat_participant_removed'
+    WHEN 15 THEN 'group_chat_participant_left'
+    WHEN 18 THEN 'encryption_change'
+    WHEN 19 THEN 'ephemeral_change'
+    WHEN 20 THEN 'group_chat_participant_promoted'
+    WHEN 21 THEN 'group_chat_participant_demoted'
+    WHEN 25 THEN 'group_icon_change'
+    WHEN 27 THEN 'phone_number_change'
+    WHEN 46 THEN 'video_call_missed'
+    WHEN 50 THEN 'blocked_contact'
+    WHEN 56 THEN 'voice_call_missed'
+    WHEN 58 THEN 'business_state'
+    WHEN 61 THEN 'group_description_change'
+    WHEN 67 THEN 'ephemeral_setting_off'
+    WHEN 68 THEN 'ephemeral_setting_on'
+    WHEN 101 THEN 'lid_change'
+"""
 
 
 @query(f"SELECT event_id, CASE event_id % 100 {_LABELS} ELSE 'unknown_' || CAST(event_id % 100 AS VARCHAR) END AS label FROM events")
@@ -326,15 +372,27 @@ def type_labels(spark, d):
     return table(spark, d, "events").select("event_id", fx.type_label(F.col("event_id") % 100).alias("label"))
 
 
-_BODY = (
-    "CASE "
-    + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in fx.PLAIN_BODIES.items())
-    + " "
-    + " ".join(f"WHEN kind = '{k}' THEN CASE WHEN len(p) > 0 THEN '{a}' || array_to_string(p, ', ') ELSE '{b}' END" for k, (a, b) in fx.PARTICIPANT_BODIES.items())
-    + " WHEN kind = 'group_subject_change' AND o IS NULL THEN 'Subject changed' "
-    + " ".join(f"WHEN kind = '{k}' THEN '{v}: ' || coalesce(o, '?') || ' → ?'" for k, v in fx.CHANGE_BODIES.items())
-    + " ELSE 'System event: ' || kind END"
-)
+_BODY = """CASE
+    WHEN kind = 'group_created' THEN 'Group created'
+    WHEN kind = 'group_icon_change' THEN 'Group icon changed'
+    WHEN kind = 'group_description_change' THEN 'Group description changed'
+    WHEN kind = 'encryption_change' THEN 'Encryption details changed'
+    WHEN kind = 'ephemeral_setting_off' THEN 'Disappearing messages: off'
+    WHEN kind = 'ephemeral_setting_on' THEN 'Disappearing messages: on'
+    WHEN kind = 'blocked_contact' THEN 'Block status changed'
+    WHEN kind = 'video_call_missed' THEN 'Missed video call'
+    WHEN kind = 'voice_call_missed' THEN 'Missed voice call'
+    WHEN kind = 'group_chat_participant_added' THEN CASE WHEN len(p) > 0 THEN 'Added ' || array_to_string(p, ', ') ELSE 'Participant added' END
+    WHEN kind = 'group_chat_participant_removed' THEN CASE WHEN len(p) > 0 THEN 'Removed ' || array_to_string(p, ', ') ELSE 'Participant removed' END
+    WHEN kind = 'group_chat_participant_left' THEN CASE WHEN len(p) > 0 THEN 'Left: ' || array_to_string(p, ', ') ELSE 'Participant left' END
+    WHEN kind = 'group_chat_participant_promoted' THEN CASE WHEN len(p) > 0 THEN 'Promoted ' || array_to_string(p, ', ') ELSE 'Participant promoted' END
+    WHEN kind = 'group_chat_participant_demoted' THEN CASE WHEN len(p) > 0 THEN 'Demoted ' || array_to_string(p, ', ') ELSE 'Participant demoted' END
+    WHEN kind = 'group_subject_change' AND o IS NULL THEN 'Subject changed'
+    WHEN kind = 'group_subject_change' THEN 'Subject changed: ' || coalesce(o, '?') || ' → ?'
+    WHEN kind = 'phone_number_change' THEN 'Phone number changed: ' || coalesce(o, '?') || ' → ?'
+    WHEN kind = 'lid_change' THEN 'LID changed: ' || coalesce(o, '?') || ' → ?'
+    ELSE 'System event: ' || kind END
+"""
 
 
 @query(f"""SELECT event_id, kind, {_BODY} AS body FROM (SELECT event_id, CASE event_id % 110 {_SYSTEM} ELSE 'unknown_system_' || CAST(event_id % 110 AS VARCHAR) END AS kind,
@@ -372,9 +430,167 @@ def unengaged_chats(spark, d):
     return q.unengaged_chats(archive(spark, d), "2030-01-01 00:00:00")
 
 
-@query()
-def digest_markdown(spark, d):
+def _full(spark, d):
+    """The archive view with members, media, edits and empty tables for the rest."""
     arch = archive(spark, d)
+    ev = table(spark, d, "events")
+    m = arch["messages"]
     none = spark.createDataFrame([], "message_id string, quoted_key_id string, quoted_text string, quoted_sender_jid string, url string, title string")
-    arch |= {"message_quoted": none.select("message_id", "quoted_key_id", "quoted_text", "quoted_sender_jid"), "message_link_previews": none.select("message_id", "url", "title"), "edits": none.select("message_id")}
-    return digest.markdown(arch, "3@g.us", 20)
+    arch["chat_members"] = m.groupBy("chat_jid", F.col("sender_jid").alias("member_jid")).agg((F.max("source_rowid") % 3).cast("int").alias("rank"), F.min("ts").alias("joined_ts"))
+    arch["message_media"] = ev.where("event_id % 4 = 0").select(
+        F.col("event_id").cast("string").alias("message_id"), F.concat(F.lit("Media/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("file_path"),
+        F.lit(None).cast("string").alias("mirrored_path"), F.when(F.col("event_type") == "view", "seen").alias("caption"), F.when(F.col("event_type") != "error", "image/jpeg").alias("mime"), F.lit(3).alias("duration_s"),
+    )
+    arch["edits"] = ev.where("event_id % 6 = 0").select(F.col("event_id").cast("string").alias("message_id"))
+    return arch | {"message_quoted": none.select("message_id", "quoted_key_id", "quoted_text", "quoted_sender_jid"), "message_link_previews": none.select("message_id", "url", "title")}
+
+
+@query("""SELECT jid, coalesce(m.n, 0) AS message_count, coalesce(r.n, 0) AS reaction_count, m.a AS first_message_ts, m.z AS last_message_ts FROM chats
+LEFT JOIN (SELECT chat_jid, count(*) AS n, min(ts) AS a, max(ts) AS z FROM msg GROUP BY 1) m ON m.chat_jid = jid LEFT JOIN (SELECT parent_chat_jid, count(*) AS n FROM reacts GROUP BY 1) r ON r.parent_chat_jid = jid""", True)
+def chat_info(spark, d):
+    return q.chat_info(archive(spark, d)).select("jid", "message_count", "reaction_count", "first_message_ts", "last_message_ts")
+
+
+@query(f""", nm AS ({NAMES}) SELECT sender_jid AS jid, nm.name AS name, CASE max(source_rowid) % 3 WHEN 0 THEN 'member' WHEN 1 THEN 'admin' ELSE 'superadmin' END AS role, min(ts) AS joined_ts
+FROM msg JOIN nm ON nm.jid = sender_jid WHERE chat_jid = '3@g.us' GROUP BY 1, 2""", True)
+def members_for(spark, d):
+    return q.members_for(_full(spark, d), "3@g.us").select("jid", "name", "role", "joined_ts")
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY ts, source_rowid) AS n FROM msg WHERE chat_jid = '7@g.us') WHERE n = 4 UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY ts DESC, source_rowid DESC) AS n FROM msg WHERE chat_jid = '7@g.us') WHERE n IN (1, 2)", True)
+def message_references(spark, d):
+    arch = archive(spark, d)
+    return spark.createDataFrame([(q.resolve_message(arch, r),) for r in ("7@g.us:4", "7@g.us:-2", "7@g.us")], "id string")
+
+
+@query("SELECT phone_jid, name FROM contacts ORDER BY lower(name), name, phone_jid LIMIT 1000", True)
+def list_contacts(spark, d):
+    return q.list_contacts(archive(spark, d)).select("phone_jid", "name")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS message_id, ts, event_type || '/' || CAST(event_id AS VARCHAR) AS relative, 'Media/' || event_type || '/' || CAST(event_id AS VARCHAR) AS path FROM events WHERE event_id % 4 = 0 AND event_id % 20 = 8 ORDER BY ts, message_id LIMIT 1000")
+def export_media(spark, d):
+    return q.export_media(_full(spark, d), "8@g.us").select("message_id", "ts", "relative", "path")
+
+
+@query("""SELECT DISTINCT sender_jid AS jid, CASE WHEN sender_jid LIKE '%@lid' THEN lc.name IS NOT NULL OR s.jid IS NOT NULL ELSE c.name IS NOT NULL END AS known FROM msg m
+LEFT JOIN contacts c ON c.phone_jid = m.sender_jid LEFT JOIN links l ON l.lid_jid = m.sender_jid LEFT JOIN contacts lc ON lc.phone_jid = l.phone_jid LEFT JOIN (SELECT * FROM shown WHERE display_name LIKE 'Shown%') s ON s.jid = m.sender_jid""", True)
+def known_senders(spark, d):
+    arch = archive(spark, d)
+    return names.is_known(arch, arch["messages"].select(F.col("sender_jid").alias("jid")))
+
+
+@query("""SELECT sender_jid AS owner_jid, coalesce(name, 'Me') AS owner_name FROM (SELECT sender_jid FROM msg WHERE from_me = 1 ORDER BY ts DESC, source_rowid DESC LIMIT 1) LEFT JOIN contacts ON phone_jid = sender_jid""", True)
+def owner_name(spark, d):
+    return names.owner(archive(spark, d))
+
+
+@query(f", {_SP} SELECT count(*) AS total, count(c.phone_jid) AS resolved, round(100.0 * count(c.phone_jid) / count(*), 1) AS percent FROM (SELECT DISTINCT phone_jid FROM sp WHERE phone_jid LIKE '%@s.whatsapp.net') p LEFT JOIN contacts c USING (phone_jid)", True)
+def resolution_percent(spark, d):
+    from parley.plans.run import resolution_percent as percent
+
+    return percent(archive(spark, d))
+
+
+_OWNER = "(SELECT coalesce(any_value(name), 'Me') FROM (SELECT sender_jid FROM msg WHERE from_me = 1 ORDER BY ts DESC, source_rowid DESC LIMIT 1) o LEFT JOIN contacts ON phone_jid = sender_jid)"
+_PRETTY = "'+41 ' || substr({0}, 3, 2) || ' ' || substr({0}, 5, 3) || ' ' || substr({0}, 8, 2) || ' ' || substr({0}, 10, 2)"
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime({0}, '%f') = '000000' THEN '' ELSE '.' || strftime({0}, '%f') END || '+00:00'"
+#: The last 20 messages of a chat with names, and reactions with names.
+_DIGEST = f"""nm AS ({NAMES}),
+lastm AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ts, source_rowid) AS idx, count(*) OVER () AS total FROM msg WHERE chat_jid = '0@g.us') WHERE idx > total - 20),
+named AS (SELECT l.*, CASE WHEN from_me = 1 THEN {_OWNER} ELSE nm.name END AS sender, e.event_type AS et FROM lastm l JOIN nm ON nm.jid = l.sender_jid JOIN events e ON e.event_id = l.source_rowid),
+given AS (SELECT r.parent_key_id AS key_id, r.emoji, coalesce(c.name, {_PRETTY.format('r.sender_jid')}) AS who FROM reacts r LEFT JOIN contacts c ON c.phone_jid = r.sender_jid WHERE r.parent_chat_jid = '0@g.us')"""
+
+
+@query(f""", {_DIGEST},
+parts AS (SELECT key_id, string_agg(emoji || '×' || n || ' (' || names || ')', '  ' ORDER BY emoji) AS line FROM (SELECT key_id, emoji, count(*) AS n, array_to_string(list_sort(list(DISTINCT who)), ', ') AS names FROM given GROUP BY 1, 2) GROUP BY 1)
+SELECT 0 AS idx, '# Digest: <group 0>' || chr(10) || chr(10) || '- chat kind: group' || chr(10) || '- messages: ' || count(*) || chr(10) || '- range: ' || {_ISO.format('min(ts)')} || ' … ' || {_ISO.format('max(ts)')} || ' (UTC)' || chr(10) || '- owner: ' || {_OWNER} || chr(10) || chr(10) || '---' || chr(10) AS line FROM lastm
+UNION ALL SELECT idx, '**[#' || idx || '] [' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || sender || '** _(' || type || ')_  ' || chr(10) || '  ' || text || '  ' || chr(10)
+    || CASE WHEN source_rowid % 4 = 0 THEN '  _[media: ' || CASE WHEN et = 'error' THEN '?' ELSE 'image/jpeg' END || CASE WHEN et = 'view' THEN ' caption="seen"' ELSE '' END || ' dur=3s file=Media/' || et || '/' || id || ']_  ' || chr(10) ELSE '' END
+    || CASE WHEN line IS NOT NULL THEN '  _reactions: ' || line || '_  ' || chr(10) ELSE '' END
+    || CASE WHEN source_rowid % 6 = 0 THEN '  _[edited 1× — current text above]_  ' || chr(10) ELSE '' END FROM named LEFT JOIN parts USING (key_id)""", True)
+def digest_markdown(spark, d):
+    return digest.markdown(_full(spark, d), "0@g.us", 20).select(F.col("idx").cast("long").alias("idx"), "line")
+
+
+@query(f""", {_DIGEST},
+parts AS (SELECT key_id, to_json(list(struct_pack(emoji := emoji, sender_name := who) ORDER BY emoji, who)) AS line FROM given GROUP BY 1)
+SELECT idx, regexp_replace(CAST(to_json(struct_pack(idx := idx, id := id, ts := {_ISO.format('ts')}, from_me := from_me = 1, sender_jid := sender_jid, sender_name := sender, "type" := type, "text" := text)) AS VARCHAR), '\}}$', '')
+    || CASE WHEN source_rowid % 4 = 0 THEN ',"media":' || CAST(to_json(struct_pack(mime := CASE WHEN et <> 'error' THEN 'image/jpeg' END, caption := CASE WHEN et = 'view' THEN 'seen' END, duration_s := 3, file_path := 'Media/' || et || '/' || id, mirrored_path := CAST(NULL AS VARCHAR), file_size := CAST(NULL AS BIGINT))) AS VARCHAR) ELSE '' END
+    || CASE WHEN line IS NOT NULL THEN ',"reactions":' || CAST(line AS VARCHAR) ELSE '' END || '}}' AS json FROM named LEFT JOIN parts USING (key_id)""", True)
+def digest_jsonl(spark, d):
+    return digest.jsonl(_full(spark, d), "0@g.us", 20).select(F.col("idx").cast("long").alias("idx"), "json")
+
+
+def _status_archive(spark, d):
+    """Customers as statuses, orders as who saw and what reacted."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    key = F.col("o_custkey").cast("string")
+    own = c.select(F.concat(F.lit("status@broadcast:1:"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_acctbal") > 5000, "own").otherwise("received").alias("kind"), phone(F.col("c_custkey")).alias("sender_jid"), F.timestamp_seconds(F.col("c_custkey").cast("long") * 1000).cast("timestamp_ntz").alias("ts"), F.lit("text").alias("type"), F.col("c_name").alias("text")).withColumn("message_id", F.col("id"))
+    status = F.concat(F.lit("status@broadcast:1:"), key)
+    return archive(spark, d) | {
+        "status_archive": own,
+        "status_archive_media": c.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("status@broadcast:1:"), F.col("c_custkey").cast("string")).alias("status_id"), F.lit("image/png").alias("mime"), F.col("c_name").alias("file_path"), F.lit(None).cast("string").alias("media_name")),
+        "status_archive_thumbnails": c.where("c_acctbal < 0").select(F.concat(F.lit("status@broadcast:1:"), F.col("c_custkey").cast("string")).alias("status_id")),
+        "status_archive_views": o.select(status.alias("status_id"), phone(F.col("o_orderkey") % 1000).alias("viewer_jid"), F.col("o_orderdate").alias("received_ts"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderdate")).alias("read_ts")),
+        "messages": own.select("id", F.lit("status@broadcast").alias("chat_jid"), F.element_at(F.split("id", ":"), -1).alias("key_id"), "sender_jid", F.lit(1).alias("from_me"), "ts", F.lit(1).alias("source_rowid")),
+        "reactions": o.where("o_orderstatus = 'F'").select(F.lit(q.STATUS_CHAT).alias("parent_chat_jid"), key.alias("parent_key_id"), F.col("o_orderkey").cast("string").alias("reaction_key_id"), F.col("o_orderpriority").alias("emoji"), phone(F.col("o_orderkey") % 1000).alias("sender_jid"), F.lit(0).alias("sender_from_me"), F.col("o_orderdate").alias("sender_ts")),
+    }
+
+
+_ST = "st AS (SELECT 'status@broadcast:1:' || c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'own' ELSE 'received' END AS kind, c_custkey, make_timestamp(CAST(c_custkey AS BIGINT) * 1000000000) AS ts, c_name AS text, c_mktsegment, c_acctbal FROM customer)"
+_WHO = f"coalesce(name, {_PRETTY.format('who')})"
+
+
+@query(f", {_ST} SELECT id, ts, text, coalesce(name, {_PRETTY.format('pj')}) AS sender_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'image/png' END AS mime FROM (SELECT *, '4179' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS pj FROM st WHERE kind = 'received') LEFT JOIN contacts ON phone_jid = pj || '@s.whatsapp.net' ORDER BY ts DESC, id LIMIT 50", True)
+def list_status(spark, d):
+    return q.list_status(_status_archive(spark, d), kind="received").select("id", "ts", "text", "sender_name", "mime")
+
+
+@query(f", {_ST} SELECT id, sender_name FROM (SELECT id, coalesce(name, {_PRETTY.format('pj')}) AS sender_name FROM (SELECT *, '4179' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS pj FROM st ORDER BY ts DESC, id LIMIT 50) LEFT JOIN contacts ON phone_jid = pj || '@s.whatsapp.net') WHERE contains(lower(sender_name), '4')", True)
+def status_sender_after_limit(spark, d):
+    return q.list_status(_status_archive(spark, d), sender="4").select("id", "sender_name")
+
+
+@query(f", v AS (SELECT '4179' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS who, o_orderdate AS received_ts, CASE WHEN o_orderstatus = 'O' THEN o_orderdate END AS read_ts FROM orders WHERE o_custkey = 4) SELECT who AS viewer_jid, {_WHO} AS viewer_name, received_ts, read_ts FROM v LEFT JOIN contacts ON phone_jid = who", True)
+def views_for_status(spark, d):
+    return q.views_for_status(_status_archive(spark, d), "status@broadcast:1:4").select("viewer_jid", "viewer_name", "received_ts", "read_ts")
+
+
+@query(f", v AS (SELECT '4179' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS who, o_orderpriority AS emoji, o_orderdate AS sender_ts FROM orders WHERE o_custkey = 4 AND o_orderstatus = 'F') SELECT who AS sender_jid, {_WHO} AS sender_name, emoji, sender_ts FROM v LEFT JOIN contacts ON phone_jid = who", True)
+def reactions_for_status(spark, d):
+    return q.reactions_for_status(_status_archive(spark, d), "status@broadcast:1:4").select("sender_jid", "sender_name", "emoji", "sender_ts")
+
+
+@query("SELECT 'status@broadcast:1:' || c_custkey AS status_id, 'image/png' AS mime, c_name AS file_path, c_acctbal < 0 AS has_thumb FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')")
+def status_media(spark, d):
+    first = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").agg(F.min("c_custkey")).first()[0]
+    return q.status_media(_status_archive(spark, d), f"status@broadcast:1:{first}").select("status_id", "mime", "file_path", "has_thumb")
+
+
+@query("""SELECT k AS phone_jid, i.n AS name, CASE WHEN i.n IS NULL THEN 'remove' ELSE 'set' END AS op FROM
+(SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS n FROM customer WHERE c_acctbal >= 0) c FULL JOIN
+(SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_nationkey < 5 THEN c_name || '!' ELSE c_name END AS n FROM customer WHERE c_mktsegment <> 'BUILDING') i USING (k)
+WHERE c.n IS DISTINCT FROM i.n AND NOT (i.n IS NOT NULL AND k IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey = 3))""")
+def contact_sync_pinned(spark, d):
+    c = table(spark, d, "customer").withColumn("phone_jid", F.col("c_custkey").cast("string"))
+    row = lambda source: ("phone_jid", F.col("c_name").alias("name"), F.lit(source).alias("source"), run_ts().alias("updated_at"))
+    current = c.where("c_acctbal >= 0").select(*row("address_book")).unionByName(c.where("c_nationkey = 3").select(*row("manual")))
+    incoming = c.where("c_mktsegment <> 'BUILDING'").select("phone_jid", F.when(F.col("c_nationkey") < 5, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("name"))
+    return merge.contact_changes(current, incoming, run_ts())[1].select("phone_jid", "name", "op")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS phone_jid, CASE WHEN c_nationkey < 5 THEN c_name || '!' ELSE c_name END AS name FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 3 AND NOT (c_acctbal >= 0 AND c_nationkey >= 5)""")
+def vcard_import(spark, d):
+    c = table(spark, d, "customer").withColumn("phone_jid", F.col("c_custkey").cast("string"))
+    row = lambda source: ("phone_jid", F.col("c_name").alias("name"), F.lit(source).alias("source"), run_ts().alias("updated_at"))
+    current = c.where("c_acctbal >= 0").select(*row("address_book")).unionByName(c.where("c_nationkey = 3").select(*row("manual")))
+    incoming = c.where("c_mktsegment <> 'BUILDING'").select("phone_jid", F.when(F.col("c_nationkey") < 5, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("name"))
+    return merge.add_contacts(current, incoming, run_ts(), "vcard")[1].select("phone_jid", "name")
+
+
+@query("SELECT event_id AS k, CASE WHEN user_id < 100 THEN '4179' || lpad(CAST(user_id AS VARCHAR), 7, '0') || '@s.whatsapp.net' END AS jid, CASE WHEN user_id >= 100 THEN 'x' END AS bad FROM events")
+def phone_arguments(spark, d):
+    raw = F.when(F.col("user_id") < 100, F.concat(F.lit("079 "), F.lpad(F.col("user_id").cast("string"), 7, "0"))).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@lid")))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("k"), fx.phone_argument(raw).alias("p"))
+    return rows.select("k", F.col("p.jid").alias("jid"), F.when(F.col("p.error").isNotNull(), "x").alias("bad"))

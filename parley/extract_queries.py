@@ -34,12 +34,34 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
     groups = spark.range(25).select((F.col("id") + 1_000_000).alias("_id"), F.concat(F.col("id").cast("string"), F.lit("@g.us")).alias("raw_string"))
     tables: dict[str, DataFrame] = {
         "jid": ev.select((u + 1).alias("_id"), raw.alias("raw_string")).distinct().unionByName(groups),
-        "chat": spark.range(24).select(F.col("id").alias("_id"), (F.col("id") + 1_000_000).alias("jid_row_id")),
         "message": ev.select(e.alias("_id"), (e % 25).alias("chat_row_id"), (u % 10 == 0).cast("long").alias("from_me"), F.when(e % 13 != 0, F.concat(F.lit("k"), (e % 5000).cast("string"))).alias("key_id"), (u + 1).alias("sender_jid_row_id"), (e * 1000).alias("timestamp"), (e % 100).alias("message_type"), F.col("props").alias("text_data")),
         "message_edit_info": ev.where(e % 11 == 0).select(e.alias("message_row_id"), F.when(e % 2 == 0, e * 1000 + 5).alias("edited_timestamp"), F.lit("o").alias("original_key_id")),
         "message_add_on": ev.where(e % 3 == 0).select(e.alias("_id"), F.expr("e - e % 5").alias("parent_message_row_id"), (u + 1).alias("sender_jid_row_id"), F.concat(F.lit("r"), (e % 40).cast("string")).alias("key_id"), F.lit(0).alias("from_me")),
         "message_add_on_reaction": ev.where(e % 6 == 0).select(e.alias("message_add_on_row_id"), F.col("event_type").alias("reaction"), (e * 1000).alias("sender_timestamp")),
         "message_poll": ev.where(e % 5 == 0).select(e.alias("message_row_id"), F.lit(1).alias("selectable_options_count")),
+        "chat": spark.range(24).select(F.col("id").alias("_id"), (F.col("id") + 1_000_000).alias("jid_row_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("subject"), (F.col("id") * 1000).alias("created_timestamp"), (F.col("id") % 2).alias("archived")),
+        "jid_map": ev.where("u >= 100").select((u + 1).alias("lid_row_id"), (u - 99).alias("jid_row_id"), e.alias("sort_id")),
+        "group_participant_user": ev.select(e.alias("_id"), (1_000_000 + e % 25).alias("group_jid_row_id"), (u + 1).alias("user_jid_row_id"), (e % 3).alias("rank"), (e * 1000).alias("add_timestamp")),
+        "message_system": ev.where(e % 9 == 0).select(e.alias("message_row_id"), (e % 110).alias("action_type")),
+        "message_system_chat_participant": ev.where(e % 18 == 0).select(e.alias("message_row_id"), (u + 1).alias("user_jid_row_id")),
+        "call_log": ev.where(e % 7 == 0).select(e.alias("_id"), F.concat(F.lit("c"), (e % 1000).cast("string")).alias("call_id"), (u + 1).alias("jid_row_id"), (e * 1000).alias("timestamp"), (e % 2).alias("video_call")),
+        "call_log_participant_v2": ev.where(e % 14 == 0).select(e.alias("call_log_row_id"), (u + 1).alias("jid_row_id"), (e % 6).alias("call_result")),
+        "status_message_info": ev.where(e % 8 == 0).select(e.alias("message_row_id"), (e % 4).alias("audience_type")),
+        "newsletter": spark.range(24).select(F.col("id").alias("chat_row_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")),
+        "newsletter_message_reaction": ev.where(e % 12 == 0).select(e.alias("_id"), e.alias("message_row_id"), F.col("event_type").alias("reaction"), u.alias("reaction_count")),
+        "audio_data": ev.where(e % 16 == 0).select(e.alias("message_row_id"), F.when(e % 32 == 0, F.encode("props", "utf-8")).alias("waveform"), (e % 3).alias("transcription_status")),
+        "transcription_segment": ev.select((e * 2).alias("_id"), F.expr("e - e % 5").alias("message_row_id"), (e % 4).alias("substring_start"), (e % 3).alias("substring_length")),
+        "message_vcard": ev.where(e % 10 == 3).select(e.alias("_id"), e.alias("message_row_id"), F.concat(F.lit("V"), e.cast("string")).alias("vcard")),
+        "message_vcard_jid": ev.where(e % 20 == 3).select(e.alias("vcard_row_id"), (u + 1).alias("vcard_jid_row_id")),
+        "bot_message_info": ev.where(e % 15 == 0).select(e.alias("message_row_id"), F.concat(F.lit("t"), u.cast("string")).alias("target_id")),
+        "ai_rich_response_message_core_info": ev.where(e % 30 == 0).select(e.alias("message_row_id"), (e % 4).alias("ai_rich_response_message_type")),
+        "message_template": ev.where(e % 14 == 0).select(e.alias("message_row_id"), F.col("event_type").alias("content_text_data")),
+        "message_template_button": ev.where(e % 14 < 3).select(e.alias("_id"), F.expr("e - e % 14").alias("message_row_id"), F.col("event_type").alias("text_data")),
+        "community_chat": spark.range(24).select(F.col("id").alias("chat_row_id"), (F.col("id") % 2).alias("closed")),
+        "parent_group_participants": ev.select((1_000_000 + e % 25).alias("parent_group_jid_row_id"), (u + 1).alias("user_jid_row_id")).distinct(),
+        "message_media": ev.where(e % 4 == 0).select(e.alias("message_row_id"), F.concat(F.lit("Media/"), e.cast("string")).alias("file_path"), F.lit("image/jpeg").alias("mime_type")),
+        "message_mentions": ev.where(e % 6 == 0).select(e.alias("message_row_id"), (u + 1).alias("jid_row_id"), F.col("event_type").alias("display_name")),
+        "receipt_user": ev.select(e.alias("_id"), F.expr("e - e % 50").alias("message_row_id"), (u + 1).alias("receipt_user_jid_row_id"), (e * 1000).alias("receipt_timestamp"), F.when(e % 2 == 0, e * 1000 + 7).alias("read_timestamp"), F.lit(None).cast("long").alias("played_timestamp")),
         "message_poll_option": ev.where(e % 5 < 3).select((e * 2).alias("_id"), F.expr("e - e % 5").alias("message_row_id"), F.col("event_type").alias("option_name"), u.alias("vote_total")),
     }
     return ex.Source(spark, tables)
@@ -47,7 +69,12 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
 
 _M = """ev AS (SELECT event_id AS e, user_id AS u, event_type, props FROM events), m AS (SELECT e, CASE WHEN e % 25 < 24 THEN CAST(e % 25 AS VARCHAR) || '@g.us' END AS chat, CASE WHEN u % 10 = 0 THEN 1 ELSE 0 END AS me, CASE WHEN e % 13 <> 0 THEN 'k' || CAST(e % 5000 AS VARCHAR) END AS key,
 CASE WHEN u < 100 THEN '4179' || lpad(CAST(u AS VARCHAR), 7, '0') || '@s.whatsapp.net' ELSE CAST(u AS VARCHAR) || '@lid' END AS who, props FROM ev), k AS (SELECT *, coalesce(chat, 'unknown') || ':' || CAST(me AS VARCHAR) || ':' || key AS id FROM m WHERE key IS NOT NULL)"""
-_TYPES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in fx.MESSAGE_TYPES.items())
+# Fixed values, written out for the SQL: what the labels must be.
+_TYPES = """WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'video' WHEN 4 THEN 'contact' WHEN 5 THEN 'location' WHEN 7 THEN 'system' WHEN 9 THEN 'document'
+WHEN 10 THEN 'call_log' WHEN 11 THEN 'empty' WHEN 13 THEN 'gif' WHEN 15 THEN 'deleted' WHEN 16 THEN 'template' WHEN 20 THEN 'sticker' WHEN 25 THEN 'product' WHEN 27 THEN 'group_invite'
+WHEN 28 THEN 'list' WHEN 36 THEN 'poll' WHEN 42 THEN 'text' WHEN 90 THEN 'reaction_stub'"""
+#: The last row of each message id among those of a condition.
+_LAST = "(SELECT * FROM k WHERE {} QUALIFY row_number() OVER (PARTITION BY id ORDER BY e DESC) = 1)"
 
 
 @query(f"WITH {_M} SELECT id, max(e) AS source_rowid, max(e * 1000) AS ts_ms, arg_max(who, e) AS sender_jid, arg_max(CASE e % 100 {_TYPES} ELSE 'unknown_' || CAST(e % 100 AS VARCHAR) END, e) AS type, arg_max(props, e) AS text FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0 GROUP BY id")
@@ -76,3 +103,140 @@ def extract_polls(spark, d):
 @query(f"WITH {_M} SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN e % 100 = 90 THEN 'skipped type' WHEN key IS NULL THEN 'no key' WHEN chat IS NULL THEN 'no chat' WHEN e = 0 THEN 'no time' END AS reason FROM m) WHERE reason IS NOT NULL GROUP BY 1")
 def extract_skipped(spark, d):
     return ex.skipped(source(spark, d))
+
+
+@query(f"WITH {_M} SELECT DISTINCT who AS jid, CASE WHEN who LIKE '%@lid' THEN 'lid' ELSE 'user' END AS kind FROM m UNION ALL SELECT CAST(range AS VARCHAR) || '@g.us', 'group' FROM range(25)")
+def extract_identities(spark, d):
+    return ex.identities(source(spark, d), {}, run_ts())["identities"].select("jid", "kind")
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) || '@lid' AS lid_jid, '4179' || lpad(CAST(user_id - 100 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS phone_jid FROM events WHERE user_id >= 100 AND user_id - 100 IN (SELECT user_id FROM events)")
+def extract_identity_links(spark, d):
+    return ex.identities(source(spark, d), {}, run_ts())["identity_links"].select("lid_jid", "phone_jid")
+
+
+@query("SELECT CAST(range AS VARCHAR) || '@g.us' AS jid, 's' || range AS subject, nullif(range * 1000, 0) AS created_ms, CAST(range % 2 AS INT) AS archived FROM range(24)")
+def extract_chats(spark, d):
+    return ex.chats(source(spark, d), {}, run_ts())["chats"].select("jid", "subject", F.unix_millis("created_ts").alias("created_ms"), "archived")
+
+
+@query(f"WITH {_M} SELECT CAST(e % 25 AS VARCHAR) || '@g.us' AS chat_jid, who AS member_jid, arg_max(e % 3, e) AS rank, nullif(max(e) * 1000, 0) AS joined_ms FROM m GROUP BY 1, 2")
+def extract_members(spark, d):
+    rows = ex.group_members(source(spark, d), {}, run_ts())["chat_members"]
+    return rows.select("chat_jid", "member_jid", "rank", F.unix_millis("joined_ts").alias("joined_ms"))
+
+
+@query(f"WITH {_M} SELECT id AS message_id, e % 110 AS action_type, CASE WHEN e % 18 = 0 THEN who END AS actor_jid, CASE WHEN e % 18 = 0 THEN [who] END AS affected_jids FROM {_LAST.format('e % 9 = 0')}")
+def extract_system_events(spark, d):
+    return ex.system_events(source(spark, d), {}, run_ts())["system_events"].select("message_id", "action_type", "actor_jid", "affected_jids")
+
+
+@query(f"WITH {_M} SELECT 'c' || (e % 1000) AS call_id, max(e) AS source_rowid, arg_max(who, e) AS peer_jid, nullif(max(e * 1000), 0) AS ts_ms, arg_max(e % 2, e) AS video FROM m WHERE e % 7 = 0 GROUP BY 1")
+def extract_calls(spark, d):
+    rows = ex.calls(source(spark, d), {}, run_ts())["calls"]
+    return rows.select("call_id", "source_rowid", "peer_jid", F.unix_millis("ts").alias("ts_ms"), "video")
+
+
+@query(f"WITH {_M} SELECT 'c' || (e % 1000) AS call_id, who AS participant_jid, e % 6 AS result FROM m WHERE e % 14 = 0")
+def extract_call_participants(spark, d):
+    return ex.calls(source(spark, d), {}, run_ts())["call_participants"]
+
+
+@query(f"WITH {_M} SELECT id AS message_id, who AS poster_jid, e % 4 AS audience_type FROM {_LAST.format('e % 8 = 0')}")
+def extract_status_posts(spark, d):
+    return ex.status_posts(source(spark, d), {}, run_ts())["status_posts"].select("message_id", "poster_jid", "audience_type")
+
+
+@query("SELECT CAST(range AS VARCHAR) || '@g.us' AS chat_jid, 'n' || range AS name FROM range(24)")
+def extract_newsletters(spark, d):
+    return ex.newsletter(source(spark, d), {}, run_ts())["newsletter_metadata"].select("chat_jid", "name")
+
+
+@query(f"WITH {_M} SELECT id AS message_id, event_type AS emoji, CAST(arg_max(u, e) AS BIGINT) AS count FROM k JOIN ev USING (e) WHERE e % 12 = 0 GROUP BY 1, 2")
+def extract_newsletter_reactions(spark, d):
+    return ex.newsletter(source(spark, d), {}, run_ts())["newsletter_message_reactions"].select("message_id", "emoji", "count")
+
+
+@query(f"WITH {_M} SELECT id AS message_id, e % 3 AS transcription_status, CASE WHEN e % 32 = 0 THEN 1 ELSE 0 END AS has_waveform FROM {_LAST.format('e % 16 = 0')}")
+def extract_audio(spark, d):
+    return ex.transcriptions(source(spark, d), {}, run_ts())["message_audio"].select("message_id", "transcription_status", "has_waveform")
+
+
+@query(f"""WITH {_M} SELECT id AS message_id, row_number() OVER (PARTITION BY id ORDER BY k.e, ev.e) - 1 AS seq, CASE WHEN ev.e % 3 > 0 THEN nullif(substr(k.props, ev.e % 4 + 1, ev.e % 3), '') END AS text
+FROM ev JOIN k ON k.e = ev.e - ev.e % 5""")
+def extract_segments(spark, d):
+    return ex.transcriptions(source(spark, d), {}, run_ts())["message_transcription_segments"].select("message_id", "seq", "text")
+
+
+@query(f"WITH {_M} SELECT id AS message_id, CASE WHEN e % 20 = 3 THEN who END AS contact_jid, 'V' || e AS vcard FROM k WHERE e % 10 = 3")
+def extract_vcards(spark, d):
+    return ex.vcards(source(spark, d), {}, run_ts())["message_vcards"]
+
+
+@query(f"""WITH {_M} SELECT id AS message_id, 't' || u AS target, r.e % 4 AS rich_type FROM (SELECT b.id, ev.u FROM {_LAST.format('e % 15 = 0')} b JOIN ev USING (e)) LEFT JOIN {_LAST.format('e % 30 = 0')} r USING (id)""")
+def extract_bots(spark, d):
+    raw = lambda path: F.get_json_object("raw_json", path)
+    return ex.bot_messages(source(spark, d), {}, run_ts())["bot_messages"].select("message_id", raw("$.target_id").alias("target"), raw("$.rich_response.type").cast("long").alias("rich_type"))
+
+
+@query(f"""WITH {_M}, b AS (SELECT e - e % 14 AS e, count(*) AS n, string_agg(event_type, ',' ORDER BY e) AS labels FROM ev WHERE e % 14 < 3 GROUP BY 1)
+SELECT id AS message_id, event_type AS content, CAST(coalesce(n, 0) AS INT) AS buttons, coalesce(labels, '') AS labels FROM {_LAST.format('e % 14 = 0')} l JOIN ev USING (e) LEFT JOIN b USING (e)""")
+def extract_templates(spark, d):
+    rows = ex.templates(source(spark, d), {}, run_ts())["template_messages"]
+    buttons = F.from_json(F.get_json_object("raw_json", "$.buttons"), "array<struct<text: string>>")
+    return rows.select("message_id", F.get_json_object("raw_json", "$.content").alias("content"), F.size(buttons).alias("buttons"), F.array_join(buttons["text"], ",").alias("labels"))
+
+
+@query(f"WITH {_M} SELECT CAST(range AS VARCHAR) || '@g.us' AS parent_jid, range % 2 AS closed, (SELECT count(DISTINCT who) FROM m WHERE e % 25 = range) AS participants FROM range(24)")
+def extract_communities(spark, d):
+    rows = ex.communities(source(spark, d), {}, run_ts())["communities"]
+    people = F.from_json(F.get_json_object("raw_json", "$.participants"), "array<string>")
+    return rows.select("parent_jid", F.get_json_object("raw_json", "$.closed").cast("long").alias("closed"), F.size(people).cast("long").alias("participants"))
+
+
+@query(f"WITH {_M}, n AS (SELECT * FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0 AND e % 4 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY e DESC) = 1) SELECT id AS message_id, 'Media/' || e AS file_path, 'image/jpeg' AS mime FROM n")
+def extract_media(spark, d):
+    return ex.messages(source(spark, d), {}, run_ts())["message_media"].select("message_id", "file_path", "mime")
+
+
+@query(f"WITH {_M} SELECT id AS message_id, who AS mentioned_jid FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0 AND e % 6 = 0")
+def extract_mentions(spark, d):
+    return ex.messages(source(spark, d), {}, run_ts())["message_mentions"].select("message_id", "mentioned_jid")
+
+
+@query(f"WITH {_M} SELECT id FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 5000 GROUP BY id")
+def extract_after_offset(spark, d):
+    return ex.messages(source(spark, d), {}, run_ts(), after=5000)["messages"].select("id")
+
+
+@query(f"""WITH {_M}, one AS (SELECT id, chat, me, key FROM k WHERE e = 100)
+SELECT m2.who AS recipient_jid, CASE WHEN r.e % 2 = 0 THEN 'read' ELSE 'delivered' END AS status, CASE WHEN r.e % 2 = 0 THEN r.e * 1000 + 7 ELSE r.e * 1000 END AS ts_ms
+FROM one JOIN k ON k.chat = one.chat AND k.me = one.me AND k.key = one.key JOIN ev r ON r.e - r.e % 50 = k.e JOIN m m2 ON m2.e = r.e""")
+def receipts_for(spark, d):
+    from parley.plans import queries as q
+    from parley.plans.driver_views import archive
+
+    src = source(spark, d)
+    arch = archive(spark, d) | {"messages": src.messages().where("rowid = 100").select(F.col("message_id").alias("id"), "chat_jid", "from_me", "key_id")}
+    one = arch["messages"].first().id
+    return q.receipts_for(arch, src.tables, one).select("recipient_jid", "status", F.unix_millis("ts").alias("ts_ms"))
+
+
+@query(f"WITH {_M}, a AS (SELECT id, max(e) AS e FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0 GROUP BY id) SELECT count(*) AS messages, CAST(2 AS BIGINT) AS version, CAST((SELECT max(e) FROM ev) AS VARCHAR) AS last_rowid FROM a")
+def stored_versions(spark, d):
+    """Two runs over a stored archive: the second one starts at the stored row id and changes nothing."""
+    import uuid
+
+    from parley.sources.store import Store
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/parley"
+    store = Store(spark, f"{base}/parley-store-{uuid.uuid4().hex}")
+    full = source(spark, d)
+    # messages only: the other tables have queries of their own
+    src = ex.Source(spark, {t: full.tables[t] for t in ("jid", "chat", "message")})
+    for _ in range(2):
+        current, state = store.open(), store.state()
+        tables = ex.messages(src, current, run_ts(), int(state.get("last_message_rowid", 0)))
+        newest = src.messages().agg(F.max("rowid")).first()[0]
+        store.commit({"messages": tables["messages"]}, {"last_message_rowid": str(newest)})
+    return store.open()["messages"].agg(F.count("*").alias("messages")).select("messages", F.lit(store.version()).cast("long").alias("version"), F.lit(store.state()["last_message_rowid"]).alias("last_rowid"))

@@ -109,12 +109,17 @@ def snapshot_changes(previous: DataFrame, incoming: DataFrame, key: str, compare
     return changed.select(key, run_ts.alias("observed_at"), F.to_json("_now", {"ignoreNullFields": "false"}).alias("snapshot_json"))
 
 
-def contact_changes(current: DataFrame, incoming: DataFrame, run_ts: Column, source: str = "address_book") -> tuple[DataFrame, DataFrame]:
+def contact_changes(current: DataFrame, incoming: DataFrame, run_ts: Column, source: str = "address_book", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Sync one source of contacts (phone_jid, name): rows of other sources are never
-    touched, and rows of this one that are gone are deleted and logged."""
+    touched, numbers pinned by hand are skipped, and rows of this source that are gone are
+    deleted and logged. Of several names for a number the first in ``order`` stays."""
     mine, others = current.where(F.col("source") == source), current.where(F.col("source") != source)
-    new = first_wins(incoming.where("phone_jid is not null and trim(name) <> ''"), ["phone_jid"], ["name"])
-    both = mine.select("phone_jid", F.col("name").alias("_old"), "updated_at").join(new.select("phone_jid", F.col("name").alias("_new")), "phone_jid", "full")
+    new = first_wins(incoming.where("phone_jid is not null and trim(name) <> ''"), ["phone_jid"], list(order) or ["name"])
+    pinned = current.where("source = 'manual'").select("phone_jid", F.lit(True).alias("_pinned")).distinct()
+    both = mine.select("phone_jid", F.col("name").alias("_old"), "updated_at").join(new.select("phone_jid", F.col("name").alias("_new"), F.lit(True).alias("_listed")), "phone_jid", "full")
+    both = both.join(pinned, "phone_jid", "left")
+    # a pinned number that is still listed keeps what this source had
+    both = both.withColumn("_new", F.when(F.col("_pinned") & F.col("_listed"), F.col("_old")).otherwise(F.col("_new")))
     changed = ~F.col("_old").eqNullSafe(F.col("_new"))
     state = both.where("_new is not null").select("phone_jid", F.col("_new").alias("name"), F.lit(source).alias("source"), F.when(changed, run_ts).otherwise(F.col("updated_at")).alias("updated_at"))
     history = both.where(changed).select("phone_jid", F.col("_new").alias("name"), F.lit(source).alias("source"), F.when(F.col("_new").isNull(), "remove").otherwise("set").alias("op"), run_ts.alias("observed_at"))
@@ -122,17 +127,25 @@ def contact_changes(current: DataFrame, incoming: DataFrame, run_ts: Column, sou
 
 
 def add_contacts(current: DataFrame, incoming: DataFrame, run_ts: Column, source: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Import that never deletes (vCards, pins): new names replace this source's rows and are
-    logged; numbers that were pinned by hand are left to the hand."""
+    """Import that never deletes: new names replace this source's rows and are logged.
+
+    Cards skip numbers pinned by hand and names that already are the effective ones,
+    whatever source has them; a pin by hand always counts."""
     new = last_wins(incoming.where("phone_jid is not null and trim(name) <> ''"), ["phone_jid"], order).select("phone_jid", "name")
     if source != "manual":
         new = new.join(current.where("source = 'manual'").select("phone_jid"), "phone_jid", "left_anti")
-    same = current.where(F.col("source") == source).select("phone_jid", "name")
-    new = new.join(same, ["phone_jid", "name"], "left_anti").select("phone_jid", "name", F.lit(source).alias("source"), run_ts.alias("updated_at"))
+        new = new.join(effective_contacts(current).select("phone_jid", "name"), ["phone_jid", "name"], "left_anti")
+    new = new.select("phone_jid", "name", F.lit(source).alias("source"), run_ts.alias("updated_at"))
     history = new.select("phone_jid", "name", "source", F.lit("set").alias("op"), F.col("updated_at").alias("observed_at"))
     return replace(current, new, ["phone_jid", "source"]), history
 
 
+def restore_pins(current: DataFrame, pins: DataFrame, run_ts: Column) -> DataFrame:
+    """The contacts with the pins of a sidecar (phone_jid, name) put back, without history."""
+    new = pins.where("phone_jid is not null and trim(name) <> ''").select("phone_jid", "name", F.lit("manual").alias("source"), run_ts.alias("updated_at"))
+    return replace(current, last_wins(new, ["phone_jid"], ["name"]), ["phone_jid", "source"])
+
+
 def unpin(current: DataFrame, phones: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
     """Without the manual rows of these numbers; other sources then name them again."""
     gone = current.where("source = 'manual'").join(phones.select("phone_jid").distinct(), "phone_jid", "left_semi")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as fx
-from parley.plans.names import Archive, with_names
+from parley.plans.names import Archive, owner, with_names
 from parley.plans.queries import numbered_messages, reaction_groups
 
 
@@ -17,57 +17,95 @@ def pseudonyms(rows: DataFrame) -> DataFrame:
     return first.select("chat_jid", "sender_jid", F.concat(F.lit("P"), n.cast("string")).alias("pseudonym"))
 
 
-def digest_rows(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str = "Me") -> DataFrame:
+def digest_rows(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str | None = None) -> DataFrame:
     """One row for each of the last messages with all that a digest shows."""
+    owner_name = owner_name or owner_of(arch)
     one = {**arch, "messages": arch["messages"].where(F.col("chat_jid") == chat)}
     rows = numbered_messages(one).where(F.col("idx") > F.col("total") - last)
     if pseudonymise:
         rows = rows.join(pseudonyms(rows), ["chat_jid", "sender_jid"], "left").withColumn("sender", F.when(F.col("from_me") == 1, "ME").otherwise(F.coalesce("pseudonym", F.lit("?"))))
     else:
         rows = with_names(rows, arch, "sender_jid", "sender", "from_me", owner_name)
-    media = arch["message_media"].select(F.col("message_id").alias("id"), F.struct("mime", "file_path", "mirrored_path", "caption").alias("media"))
-    quoted = arch["message_quoted"].select(F.col("message_id").alias("id"), F.struct("quoted_key_id", "quoted_text", "quoted_sender_jid").alias("quoted"))
+    have = arch["message_media"].columns
+    parts = ("mime", "caption", "duration_s", "file_path", "mirrored_path", "file_size")
+    fields = [F.col(c) if c in have else F.lit(None).cast("long" if c in ("duration_s", "file_size") else "string").alias(c) for c in parts]
+    media = arch["message_media"].select(F.col("message_id").alias("id"), F.struct(*fields).alias("media"))
+    if pseudonymise:  # of people who only were quoted or reacted nothing is shown
+        quoted_names = arch["message_quoted"].withColumn("quoted_sender", F.lit("?"))
+    else:
+        quoted_names = with_names(arch["message_quoted"], arch, "quoted_sender_jid", "quoted_sender")
+    arch = {**arch, "message_quoted": quoted_names}
+    quoted = arch["message_quoted"].select(F.col("message_id").alias("id"), F.struct("quoted_key_id", "quoted_text", "quoted_sender_jid", "quoted_sender").alias("quoted"))
     links = arch["message_link_previews"].select(F.col("message_id").alias("id"), F.struct("url", "title").alias("link"))
     edits = arch["edits"].groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("edit_count"))
-    reacts = reaction_groups({**arch, "reactions": arch["reactions"].where(F.col("parent_chat_jid") == chat)})
+    given = arch["reactions"].where(F.col("parent_chat_jid") == chat)
+    if pseudonymise:
+        who = F.when(F.col("sender_from_me") == 1, "ME").otherwise(F.coalesce("pseudonym", F.lit("?")))
+        people = pseudonyms(rows).drop("chat_jid")
+        reacts = given.join(people, "sender_jid", "left").groupBy("parent_key_id", "emoji").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(who)).alias("names"))
+    else:
+        reacts = reaction_groups({**arch, "reactions": given}, owner_name)
     reacts = reacts.groupBy(F.col("parent_key_id").alias("key_id")).agg(F.array_sort(F.collect_list(F.struct("emoji", "n", "names"))).alias("reactions"))
     for part in (media, quoted, links, edits):
         rows = rows.join(part, "id", "left")
     return rows.join(reacts, "key_id", "left").orderBy("idx")
 
 
-def markdown(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str = "Me") -> DataFrame:
-    """(idx, line): a header at 0, then one block for each message."""
+def owner_of(arch: Archive) -> str:
+    """The owner's name; one small row."""
+    row = owner(arch).first()
+    return row.owner_name if row else "Me"
+
+
+def _line(*parts: Column | str) -> Column:
+    """An indented line with a Markdown line break; null if a part is."""
+    return F.concat(F.lit("  "), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("  "))
+
+
+def markdown(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str | None = None) -> DataFrame:
+    """(idx, line): the head at 0, then one block for each message; joined by newlines they are the digest."""
+    owner_name = owner_name or owner_of(arch)
     rows = digest_rows(arch, chat, last, pseudonymise, owner_name)
-    names = F.lit(None) if pseudonymise else F.array_join("r.names", ", ")
-    react = F.array_join(F.transform("reactions", lambda r: F.concat(r["emoji"], F.when(r["n"] > 1, F.concat(F.lit(" ×"), r["n"].cast("string"))).otherwise(""), *([] if pseudonymise else [F.lit(" ("), F.array_join(r["names"], ", "), F.lit(")")]))), " · ")
-    del names
-    line = F.concat_ws(
+    text = F.nullif("text", F.lit(""))
+    lines = F.array_join(F.transform(F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n"), lambda x: F.concat(F.lit("  "), x, F.lit("  "))), "\n")
+    path = F.coalesce("media.mirrored_path", "media.file_path")
+    some = lambda c, before, after="": F.coalesce(F.when(c.cast("string") != "", F.concat(F.lit(before), c.cast("string"), F.lit(after))), F.lit(""))
+    media = F.concat(F.coalesce("media.mime", F.lit("?")), some(F.col("media.caption"), ' caption="', '"'), F.when(F.col("media.duration_s") != 0, some(F.col("media.duration_s"), " dur=", "s")).otherwise(""), some(path, " file="))
+    given = F.array_join(F.transform("reactions", lambda r: F.concat(r["emoji"], F.lit("×"), r["n"].cast("string"), F.lit(" ("), F.array_join(r["names"], ", "), F.lit(")"))), "  ")
+    block = F.concat_ws(
         "\n",
-        F.concat(F.lit("**[#"), F.col("idx").cast("string"), F.lit("] ["), fx.trimmed_ts("ts"), F.lit("] "), F.col("sender"), F.lit("** _("), F.col("type"), F.lit(")_")),
-        F.when(F.col("quoted.quoted_text").isNotNull(), F.concat(F.lit("> "), fx.shortened("quoted.quoted_text"))),
-        F.nullif("text", F.lit("")),
-        fx.media_tag("media.mirrored_path", "media.file_path", "media.mime"),
-        F.when(F.col("link.url").isNotNull(), F.concat_ws(" ", F.concat(F.lit("🔗 "), F.col("link.url")), F.col("link.title"))),
-        F.when(F.size("reactions") > 0, react),
-        F.when(F.col("edit_count") > 0, F.concat(F.lit("_(edited ×"), F.col("edit_count").cast("string"), F.lit(")_"))),
+        F.concat(F.lit("**[#"), F.col("idx").cast("string"), F.lit("] ["), F.coalesce(fx.trimmed_ts("ts"), F.lit("?")), F.lit("] "), F.col("sender"), F.lit("** _("), F.col("type"), F.lit(")_  ")),
+        F.when(F.col("quoted").isNotNull(), _line("↪ replying to ", F.coalesce("quoted.quoted_sender", F.lit("?")), ': "', F.coalesce(fx.shortened("quoted.quoted_text"), F.lit("")), '"')),
+        lines,
+        F.when(F.col("media").isNotNull(), _line("_[media: ", media, "]_")),
+        F.when(F.col("link").isNotNull(), _line("_[link: ", F.col("link.url"), "]_")),
+        F.when(F.col("link.title") != "", _line("_title: ", F.col("link.title"), "_")),
+        F.when(F.size("reactions") > 0, _line("_reactions: ", given, "_")),
+        F.when(F.col("edit_count") > 0, _line("_[edited ", F.col("edit_count").cast("string"), "× — current text above]_")),
         F.lit(""),
     )
-    chats = arch["chats"].where(F.col("jid") == chat)
-    title = with_names(chats, arch, "jid", "title").select("title", "kind")
+    title = with_names(arch["chats"].where(F.col("jid") == chat), arch, "jid", "title").select("title", "kind").limit(1)
     span = rows.agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
-    note = "_Names are replaced by pseudonyms; ME is the owner._" if pseudonymise else f"_Owner: {owner_name}_"
-    head = span.join(F.broadcast(title), how="left").select(
+    note = "- senders: pseudonymised (ME = owner, P1..PN = others)" if pseudonymise else f"- owner: {owner_name}"
+    # two tables of one row each
+    head = span.join(F.broadcast(title)).select(
         F.lit(0).alias("idx"),
-        F.concat_ws("\n", F.concat(F.lit("# "), F.lit("Chat") if pseudonymise else F.coalesce("title", F.lit(chat))), F.concat_ws(" · ", "kind", F.concat(F.col("n").cast("string"), F.lit(" messages")), F.concat_ws(" – ", fx.trimmed_ts("a"), fx.trimmed_ts("z"))), F.lit(note), F.lit("")).alias("line"),
+        F.concat_ws("\n", F.concat(F.lit("# Digest: "), "title"), F.lit(""), F.concat(F.lit("- chat kind: "), "kind"), F.concat(F.lit("- messages: "), F.col("n").cast("string")), F.concat(F.lit("- range: "), fx.iso_utc("a"), F.lit(" … "), fx.iso_utc("z"), F.lit(" (UTC)")), F.lit(note), F.lit(""), F.lit("---"), F.lit("")).alias("line"),
     )
-    return head.unionByName(rows.select("idx", line.alias("line"))).orderBy("idx")
+    return head.unionByName(rows.select("idx", block.alias("line"))).orderBy("idx")
 
 
-def jsonl(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str = "Me") -> DataFrame:
+def jsonl(arch: Archive, chat: str, last: int = 200, owner_name: str | None = None) -> DataFrame:
     """(idx, json): scalars keep nulls, absent sub-objects are left out."""
-    rows = digest_rows(arch, chat, last, pseudonymise, owner_name)
-    base = F.struct("idx", F.lit(None).cast("string").alias("id") if pseudonymise else F.col("id"), fx.iso_utc("ts").alias("ts"), (F.col("from_me") == 1).alias("from_me"), (F.lit(None).cast("string") if pseudonymise else F.col("sender_jid")).alias("sender_jid"), F.col("sender").alias("sender_name"), "type", "text")
-    head = F.to_json(base, {"ignoreNullFields": "false"})
-    extra = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{c}":'), F.to_json(c))).otherwise("") for c in ("media", "quoted", "reactions")]
+    owner_name = owner_name or owner_of(arch)
+    rows = digest_rows(arch, chat, last, False, owner_name)
+    given = with_names(arch["reactions"].where(F.col("parent_chat_jid") == chat), arch, "sender_jid", "sender_name", "sender_from_me", owner_name)
+    given = given.groupBy(F.col("parent_key_id").alias("key_id")).agg(F.array_sort(F.collect_list(F.struct("emoji", "sender_name"))).alias("each"))
+    rows = rows.drop("reactions").join(given, "key_id", "left")
+    name = F.when((F.col("from_me") == 1) | F.col("sender_jid").isNotNull(), F.col("sender"))
+    base = F.struct("idx", "id", fx.iso_utc("ts").alias("ts"), (F.col("from_me") == 1).alias("from_me"), "sender_jid", name.alias("sender_name"), "type", "text")
+    keep = {"ignoreNullFields": "false"}
+    head = F.to_json(base, keep)
+    quoted = F.when(F.col("quoted").isNotNull(), F.struct(F.col("quoted.quoted_sender_jid").alias("sender_jid"), F.col("quoted.quoted_text").alias("text")))
+    extra = [F.when(c.isNotNull(), F.concat(F.lit(f',"{n}":'), F.to_json(c, keep))).otherwise("") for n, c in (("media", F.col("media")), ("quoted", quoted), ("reactions", F.col("each")))]
     return rows.select("idx", F.concat(head.substr(F.lit(1), F.length(head) - 1), *extra, F.lit("}")).alias("json")).orderBy("idx")

@@ -62,3 +62,16 @@ def with_names(df: DataFrame, arch: Archive, column: str, to: str, from_me: str
     if from_me:
         name = F.when(F.coalesce(F.col(from_me), F.lit(0)) == 1, F.lit(owner_name)).otherwise(name)
     return df.join(names, column, "left").withColumn(to, name).drop("_name")
+
+
+def is_known(arch: Archive, jids: DataFrame) -> DataFrame:
+    """(jid, known): whether an identifier has a name of its own, not only a number."""
+    phones = effective_contacts(arch["contacts"]).select(F.col("phone_jid").alias("phone"), F.lit(True).alias("named"))
+    links = arch["identity_links"].select(F.col("lid_jid").alias("jid"), "phone_jid")
+    shown = arch["identity_display_names"].where(fx.looks_like_name("display_name")).select("jid", F.lit(True).alias("shown")).distinct()
+    out = jids.select("jid").where("jid is not null").distinct().join(links, "jid", "left")
+    kind = fx.jid_kind("jid")
+    out = out.withColumn("phone", F.when(kind == "user", F.col("jid")).when(kind == "lid", F.col("phone_jid")))
+    out = out.join(phones, "phone", "left").join(shown, "jid", "left")
+    known = F.when(kind == "user", F.col("named")).when(kind == "lid", F.coalesce("named", "shown"))
+    return out.select("jid", F.coalesce(known, F.lit(False)).alias("known"))

@@ -49,12 +49,11 @@ def chat_message_at(arch: Archive, chat: str, index: int) -> str:
         raise ValueError("message indexes start at 1 (or -1 from the end)")
     one = arch["messages"].where(F.col("chat_jid") == chat)
     order = [F.col(c) for c in ("ts", "source_rowid", "id")]
-    # the far end of the chosen side is a bounded top-k
-    top = one.orderBy(*(order if index > 0 else [c.desc() for c in order])).limit(abs(index))
-    rows = top.select("id").collect()
-    if len(rows) < abs(index):
+    # skip to the wanted one: a single row reaches the driver
+    rows = one.orderBy(*(order if index > 0 else [c.desc() for c in order])).offset(abs(index) - 1).limit(1).select("id").collect()
+    if not rows:
         raise LookupError(f"no message {index} in this chat")
-    return rows[-1].id
+    return rows[0].id
 
 
 def tail(arch: Archive, last: int) -> DataFrame:
@@ -163,8 +162,7 @@ def resolve_own_status_id(arch: Archive, reference: str) -> str:
         rows = own.orderBy(F.desc("view_count"), F.desc_nulls_last("ts"), "id").limit(1).collect()
     elif reference == "latest" or reference.isdigit():
         k = 1 if reference == "latest" else int(reference)
-        rows = own.orderBy(F.desc_nulls_last("ts"), "id").limit(k).collect()
-        rows = rows[k - 1 :] if k > 0 else []
+        rows = own.orderBy(F.desc_nulls_last("ts"), "id").offset(k - 1).limit(1).collect() if k > 0 else []
     else:
         return reference
     if not rows:
@@ -233,9 +231,9 @@ def resolution_stats(arch: Archive) -> DataFrame:
     return phones.join(known, "phone_jid", "left").agg(F.count("*").alias("total"), F.count("k").alias("resolved"))
 
 
-def reaction_groups(arch: Archive) -> DataFrame:
+def reaction_groups(arch: Archive, owner_name: str = "Me") -> DataFrame:
     """Reactions of a message by emoji: how many, and the distinct names."""
-    named = with_names(arch["reactions"], arch, "sender_jid", "sender_name", "sender_from_me")
+    named = with_names(arch["reactions"], arch, "sender_jid", "sender_name", "sender_from_me", owner_name)
     return named.groupBy("parent_chat_jid", "parent_key_id", "emoji").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sender_name")).alias("names"))
 
 
