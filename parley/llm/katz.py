@@ -15,8 +15,9 @@ too large to be discounted gives up a small share, so nothing has probability 0.
 recursively: bigram, else weight times unigram, else weight times the unseen mass,
 which is shared by as many unseen types as Chao's estimate names.
 
-The CACHE most frequent words and PAIR_CACHE pairs are broadcast: tables of fixed size that keep hot
-keys out of the shuffle and change no result. A word in the cache has a small number as
+The most frequent words and pairs, at most CACHE and PAIR_CACHE of them, are broadcast: tables
+of bounded size that keep hot keys out of the shuffle and change no result. A histogram of the
+counts gives the count from which on they fit, so nothing is sorted to find them. A word in the cache has a small number as
 its code, any other its 63-bit hash. Pairs outside the cache meet the bigram table by
 bucket; what has to back off to a word outside the cache goes on to the unigram table.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from parley.llm import textkernel as tk
 from parley.llm.common import BLOBS, blob_batch, materialize, pack, portions, row_slices, text_column, unpack, unpack_all
 
-CACHE, PAIR_CACHE, TOP_COUNT, SUB, PARTS = 1 << 17, 1 << 19, 5, 8, 64
+CACHE, PAIR_CACHE, TOP_COUNT, SUB, PARTS = 1 << 19, 1 << 19, 5, 8, 64
 #: Share of the Witten-Bell estimate that every history leaves to unseen events at least.
 FLOOR = 0.25
 END = int(tk.mix(np.array([20_24], tk.U))[0])
@@ -47,8 +48,9 @@ END = int(tk.mix(np.array([20_24], tk.U))[0])
 BEGIN, RARE = tk.U(0), tk.U(1 << 63)
 #: Partial scores travel as integers of this unit.
 UNIT = 1e7
-#: Bytes of text whose pairs a task holds at once.
-PORTION = 12 << 20
+HISTOGRAM = "edge long, n long, c long"
+#: Bytes of text whose pairs a task counts, or scores, at once.
+COUNTED, SCORED = 24 << 20, 12 << 20
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,31 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarr
         yield slice(a, b), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
+def histogram(c: np.ndarray) -> pa.RecordBatch:
+    """Counts by log-linear bucket, exact below 64: lower edge, how many, and their sum."""
+    step = np.left_shift(1, np.maximum(0, np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) - 5))
+    edge, inverse = np.unique(c - c % step, return_inverse=True)
+    n = np.bincount(inverse, minlength=len(edge))
+    total = np.bincount(inverse, weights=c, minlength=len(edge))
+    return pa.RecordBatch.from_arrays([pa.array(edge.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.rint(total).astype(np.int64))], ["edge", "n", "c"])
+
+
+def merged(histograms: DataFrame) -> dict[int, tuple[int, int]]:
+    """edge: (how many, sum) over all tasks; some thousand rows at most."""
+    return {x.edge: (x.n, x.c) for x in histograms.groupBy("edge").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
+
+
+def least_count(by_edge: dict[int, tuple[int, int]], most: int) -> int:
+    """The least count such that at most ``most`` entries have it or more."""
+    have, least = 0, max(by_edge, default=0) + 1
+    for edge in sorted(by_edge, reverse=True):
+        have += by_edge[edge][0]
+        if have > most:
+            break
+        least = edge
+    return least
+
+
 def pair_key(history: np.ndarray, event: np.ndarray) -> np.ndarray:
     return tk.mix(tk.mix(history) + event)
 
@@ -189,17 +216,18 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
 
     def by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c in word_counts_of(batches):
-            small = np.bincount(np.minimum(c, TOP_COUNT + 2), minlength=TOP_COUNT + 3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(small))), pa.array(small), pa.array(np.append(c.sum(), np.zeros(len(small) - 1, np.int64)))], ["r", "n", "c"])
+            yield histogram(c)
+
+    stats = merged(unigrams.mapInArrow(by_count, HISTOGRAM))
+    uni = Unigram(sum(c for _, c in stats.values()), sum(n for n, _ in stats.values()), {r: stats.get(r, (0, 0))[0] for r in range(1, TOP_COUNT + 2)})
+    from_count = least_count(stats, CACHE)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c in word_counts_of(batches):
-            pick = np.argsort(-c, kind="stable")[:CACHE]
+            pick = c >= from_count
             yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[pick])], ["word", "c"])
 
-    stats = {x.r: (x.n, x.c) for x in unigrams.mapInArrow(by_count, "r long, n long, c long").groupBy("r").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
-    uni = Unigram(sum(c for _, c in stats.values()), sum(n for n, _ in stats.values()), {r: n for r, (n, _) in stats.items() if 0 < r < TOP_COUNT + 2})
-    top = unigrams.mapInArrow(frequent, "word long, c long").orderBy(F.desc("c"), "word").limit(CACHE).toArrow()
+    top = unigrams.mapInArrow(frequent, "word long, c long").toArrow()
     words = top.column("word").to_numpy().view(tk.U)
     order = np.argsort(words)
     words, counts = words[order], top.column("c").to_numpy()[order]
@@ -226,7 +254,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
 
     # 2. exact bigram counts
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, PORTION):
+        for batch in portions(batches, COUNTED):
             got = [pairs_of(*tokens(data, offs)) for _, data, offs in _slices(batch)]
             if got:
                 history, event = (np.concatenate(x) for x in zip(*got))
@@ -248,12 +276,11 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
                 if n:
                     yield unpack(blob, n, "u8", "u8", "i8")
 
-    def count_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, c in blobs(batches):
-            n = np.bincount(np.minimum(c, TOP_COUNT + 2), minlength=TOP_COUNT + 3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["r", "n"])
+            yield histogram(c)
 
-    d2 = discounts({x.r: x.n for x in bigrams.mapInArrow(count_counts, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()})
+    d2 = discounts({r: n for r, (n, _) in merged(bigrams.mapInArrow(pair_counts, HISTOGRAM)).items()})
 
     def discounted(c: np.ndarray) -> np.ndarray:
         return c * d2[np.where(c <= TOP_COUNT, c, 0)]
@@ -311,13 +338,18 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
     alpha, scale = weights(**mass)
 
     # 4. the hottest pairs of cached words, a table of fixed size
+    def cached_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for history, event, c in blobs(batches):
+            yield histogram(c[(history < RARE) & (event < RARE)])
+
+    from_pairs = least_count(merged(bigrams.mapInArrow(cached_pairs, HISTOGRAM)), PAIR_CACHE)
+
     def hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for history, event, c in blobs(batches):
-            pick = np.flatnonzero((history < RARE) & (event < RARE))
-            pick = pick[np.argsort(-c[pick], kind="stable")[:PAIR_CACHE]]
+            pick = (history < RARE) & (event < RARE) & (c >= from_pairs)
             yield pa.RecordBatch.from_arrays([pa.array(x[pick].astype(np.int64)) for x in (history, event, c)], ["h", "e", "c"])
 
-    hot = bigrams.mapInArrow(hottest, "h long, e long, c long").orderBy(F.desc("c"), "h", "e").limit(PAIR_CACHE).toArrow()
+    hot = bigrams.mapInArrow(hottest, "h long, e long, c long").toArrow()
     cached = Pairs(*(hot.column(x).to_numpy().astype(tk.U) for x in "he"), hot.column("c").to_numpy())
     model = sc.broadcast((mass["c"], alpha, scale, cached))
 
@@ -332,7 +364,7 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 6], NAMES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, PORTION):
+        for batch in portions(batches, SCORED):
             row_ids, pair_parts, word_parts = batch.column(0).to_numpy(), [], []
             for at, data, offs in _slices(batch):
                 n, mine = len(offs) - 1, row_ids[at]
