@@ -262,6 +262,8 @@ def _linked(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame
             pairs = prefix_pairs(open_rows.select("doc_id", "comp").distinct(), sets)
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pmh-pairs")
         if not pairs.limit(1).count():
+            if not apart.limit(1).count():
+                break  # no bucket holds two classes: nothing is left to compare
             continue  # all of this turn's centres served before: the next ones, or the exact rest
         found = materialize(verify(pairs, sets), "pmh-links")
         done = done.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
