@@ -343,9 +343,16 @@ def bot_messages(source: Source, current: Tables, run_ts: Column) -> Tables:
     bots = merge.last_wins(bots, ["message_id"], ["rowid"]).select("message_id", F.lit(True).alias("_bot"), "target_id", "message_state", "invoker_jid", "bot_jid", "model_type", F.col("message_disclaimer").alias("disclaimer"), "bot_response_id")
     rich = source.of_messages("ai_rich_response_message_core_info", "ai_rich_response_message_type long, ai_rich_response_submessage_types string, planning_status long")
     rich = merge.last_wins(rich, ["message_id"], ["rowid"]).select("message_id", F.struct(F.col("ai_rich_response_message_type").alias("type"), F.col("ai_rich_response_submessage_types").alias("submessage_types"), "planning_status").alias("rich_response"))
-    own = [F.col(c) for c in bots.columns[2:]]
+    names = bots.columns[2:]
+    own = [F.col(c) for c in names]
     some, more = F.col("_bot").isNotNull(), F.col("rich_response").isNotNull()
-    both = bots.join(rich, "message_id", "full").select("message_id", F.when(some & more, _json(*own, F.col("rich_response"))).when(some, _json(*own)).otherwise(_json(F.col("rich_response"))).alias("raw_json"))
+    both = bots.join(rich, "message_id", "full")
+    # a rich response whose bot row is no longer in the source joins what is stored
+    had = now(current, "bot_messages", both.select("message_id", F.lit("").alias("raw_json"))).select("message_id", F.col("raw_json").alias("_had"))
+    both = both.join(had, "message_id", "left").withColumn("_old", F.from_json("_had", bots.select(*names).schema))
+    stored = F.coalesce(F.array_contains(F.json_object_keys("_had"), names[0]), F.lit(False))
+    raw = F.when(some & more, _json(*own, F.col("rich_response"))).when(some, _json(*own)).when(stored, _json(*(F.col(f"_old.{c}") for c in names), F.col("rich_response")))
+    both = both.select("message_id", raw.otherwise(_json(F.col("rich_response"))).alias("raw_json"))
     threads = source.read("ai_thread_info", "thread_id_row_id long, title string, creation_ts long, last_message_timestamp long, variant long, unseen_message_count long, selected_mode long")
     threads = threads.select(F.col("thread_id_row_id").alias("thread_id"), _json(F.col("title"), _iso("creation_ts"), _iso("last_message_timestamp").alias("last_msg_ts"), F.col("variant"), F.col("unseen_message_count").alias("unseen"), F.col("selected_mode")).alias("raw_json"))
     return _replaced(current, "bot_messages", both, ["message_id"], []) | _replaced(current, "ai_threads", threads, ["thread_id"], [])

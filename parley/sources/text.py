@@ -43,18 +43,25 @@ def read_contact_list(spark: SparkSession, path: str, country: str = "41") -> Da
 
 
 def read_pins(spark: SparkSession, path: str, country: str = "41") -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of a CSV with a phone and a name column under any known header."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8")
-    fold = {c: c.replace("﻿", "").strip().lower().replace(" ", "_") for c in raw.columns}
-    phone = next((c for c, f in fold.items() if f in PHONE_HEADERS), None)
-    name = next((c for c, f in fold.items() if f in NAME_HEADERS), None)
+    """(good, rejects) of a CSV with a phone and a name column under any known header.
+
+    Rejects carry the line of the file they stand on, the first being 1. A pin is one line,
+    and a file is read by one task: such files are written by hand."""
+    columns = spark.read.csv(path, header=True, encoding="UTF-8").columns
+    fold = [c.replace("\ufeff", "").strip().lower().replace(" ", "_") for c in columns]
+    phone = next((i for i, f in enumerate(fold) if f in PHONE_HEADERS), None)
+    name = next((i for i, f in enumerate(fold) if f in NAME_HEADERS), None)
     if phone is None or name is None:
         raise ValueError("the header needs a phone and a name column")
-    rows = raw.select(F.trim(F.col(f"`{phone}`")).alias("value"), F.trim(F.col(f"`{name}`")).alias("name"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r\n|\r|\n").alias("lines"))
+    header = F.array_position(F.transform("lines", lambda x: F.trim(x) != ""), True)
+    lines = lines.select(header.alias("header"), F.posexplode("lines").alias("at", "text")).where("at >= header and trim(text) <> ''")
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(columns))), {"escape": '"'})
+    rows = lines.select((F.col("at") + 1).alias("line"), cells.alias("c")).select("line", F.trim(f"c.c{phone}").alias("value"), F.trim(f"c.c{name}").alias("name"))
     rows = rows.withColumn("p", fx.phone_argument("value", country))
     reason = F.when(F.coalesce("value", F.lit("")) == "", "empty phone").when(F.coalesce("name", F.lit("")) == "", "empty name").otherwise(F.col("p.error"))
     rows = rows.withColumn("reason", reason)
-    return rows.where("reason is null").select(F.col("p.jid").alias("phone_jid"), "name"), rows.where("reason is not null").select("value", "name", "reason")
+    return rows.where("reason is null").select(F.col("p.jid").alias("phone_jid"), "name"), rows.where("reason is not null").select("line", "value", "name", "reason")
 
 
 def contact_starter(phones: DataFrame) -> DataFrame:

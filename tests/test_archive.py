@@ -108,6 +108,7 @@ def test_text_sources(spark, tmp_path):
     card = "BEGIN:VCARD\r\nN:Lee;Bo\r\nTEL:1\r\n 23\r\nTEL;X=1:456\r\nEND:VCARD\r\nbegin:vcard\nFN:No Phone\nend:vcard\n"
     assert [(r.name, r.number) for r in parse_vcards(spark.createDataFrame([(card,)], "value string")).collect()] == [("Bo Lee", "123"), ("Bo Lee", "456")]
     f = tmp_path / "pins.csv"
-    f.write_text("﻿Number,Display Name,extra\n079 000 00 01,Bo,1\n,Al,2\n12,Cy,3\n", encoding="utf-8")
+    f.write_text('﻿Number,Display Name,extra\n079 000 00 01,"Bo ""B"", Jr",1\n\n,Al,2\n12,Cy,3\n', encoding="utf-8")
     good, bad = read_pins(spark, str(f))
-    assert [r.phone_jid for r in good.collect()] == ["41790000001" + P] and bad.count() == 2
+    assert [tuple(r) for r in good.collect()] == [("41790000001" + P, 'Bo "B", Jr')]
+    assert [(r.line, r.value, r.reason) for r in bad.orderBy("line").collect()] == [(4, None, "empty phone"), (5, "12", "not a phone number")]

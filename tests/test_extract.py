@@ -136,6 +136,13 @@ def test_statuses_and_payloads(first):
     assert json.loads(rows(first, "communities", "raw_json")[0][0])["participants"] == [ADA, BO]
 
 
+def test_rich_response_joins_the_stored_bot_row(spark, first, source):
+    gone = ex.Source(spark, {**source.tables, "bot_message_info": source.tables["bot_message_info"].where("message_row_id <> 1")})
+    before = {k: json.loads(v) for k, v in rows(first, "bot_messages", "message_id", "raw_json")}
+    after = {k: json.loads(v) for k, v in rows(ex.bot_messages(gone, first, ts("2025-01-02")), "bot_messages", "message_id", "raw_json")}
+    assert after == before and after[f"{ADA}:0:a"]["target_id"] == "t"
+
+
 def test_second_run_changes_nothing_but_sightings(first, source):
     again = keep(ex.extract_all(source, first, ts("2025-01-02")))
     moving = {"identities": "last_seen_ts", "identity_links": "last_observed_ts", "identity_display_names": "observed_at", "chats": "last_seen_ts", "newsletter_metadata": "observed_at"}
