@@ -515,7 +515,7 @@ def digest_markdown(spark, d):
 
 @query(f""", {_DIGEST},
 parts AS (SELECT key_id, to_json(list(struct_pack(emoji := emoji, sender_name := who) ORDER BY emoji, who)) AS line FROM given GROUP BY 1)
-SELECT idx, regexp_replace(CAST(to_json(struct_pack(idx := idx, id := id, ts := {_ISO.format('ts')}, from_me := from_me = 1, sender_jid := sender_jid, sender_name := sender, "type" := type, "text" := text)) AS VARCHAR), '\}}$', '')
+SELECT idx, regexp_replace(CAST(to_json(struct_pack(idx := idx, id := id, ts := {_ISO.format('ts')}, from_me := from_me = 1, sender_jid := sender_jid, sender_name := sender, "type" := type, "text" := text)) AS VARCHAR), '\\}}$', '')
     || CASE WHEN source_rowid % 4 = 0 THEN ',"media":' || CAST(to_json(struct_pack(mime := CASE WHEN et <> 'error' THEN 'image/jpeg' END, caption := CASE WHEN et = 'view' THEN 'seen' END, duration_s := 3, file_path := 'Media/' || et || '/' || id, mirrored_path := CAST(NULL AS VARCHAR), file_size := CAST(NULL AS BIGINT))) AS VARCHAR) ELSE '' END
     || CASE WHEN line IS NOT NULL THEN ',"reactions":' || CAST(line AS VARCHAR) ELSE '' END || '}}' AS json FROM named LEFT JOIN parts USING (key_id)""", True)
 def digest_jsonl(spark, d):
