@@ -12,8 +12,8 @@ batch run together, vectorised.
 probability 7e-5), and candidates are verified exactly on their shingle sets:
 Jaccard >= 0.8. Within a band bucket nobody emits all pairs: members are compared
 with one centre, links found merge classes, further centres serve members that are
-still in other classes. What then remains apart is joined on prefixes: with the
-shingles of each set in one order, rare ones first, two sets of Jaccard >= t share
+still in other classes, as long as they merge some. What then remains apart is joined
+on prefixes: with the shingles of each set in one order, rare ones first, two sets of Jaccard >= t share
 one among their first (1 - t) n + 1, so common passages nominate nobody.
 
 Shingles are compared as 64-bit non-linear hashes of their words.
@@ -245,10 +245,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _linked(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame | None:
     """node, component of the documents that have verified links; None if none has."""
-    links = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "a long, b long")
-    label = None
-    for turn in range(CENTRES + 1):
+    label, turn = None, 0
+    while turn <= CENTRES:
         now = rows if label is None else rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         comp = F.col("doc_id") if label is None else F.coalesce("component", "doc_id")
         now = now.select("band", "hash", "doc_id", comp.alias("comp"))
@@ -261,18 +260,36 @@ def _linked(spark: SparkSession, rows: DataFrame, sets: DataFrame) -> DataFrame
         else:  # the exact rest: members still in other classes
             pairs = prefix_pairs(open_rows.select("doc_id", "comp").distinct(), sets)
         pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pmh-pairs")
-        if not pairs.limit(1).count():
+        n_pairs = pairs.count()
+        if not n_pairs:
             if not apart.limit(1).count():
                 break  # no bucket holds two classes: nothing is left to compare
+            turn += 1
             continue  # all of this turn's centres served before: the next ones, or the exact rest
         found = materialize(verify(pairs, sets), "pmh-links")
         done = done.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            label = materialize(connected_components(links), "pmh-label")
+        n_found = found.count()
+        if n_found:
+            label = materialize(_merged(label, found), "pmh-label")
+        # once centres merge next to nothing, what is still apart is for the exact rest
+        turn = max(turn + 1, CENTRES) if n_found * 100 < n_pairs else turn + 1
     return label
 
 
+def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``label`` after the links found between its classes: only the classes are linked
+    anew, so a turn with few links works on few edges however large the classes are."""
+    if label is None:
+        return connected_components(found)
+    ends = found.select(F.explode(F.array("a", "b")).alias("node"))
+    # a class is named by its least node, so the minimum prefers the class to the node itself
+    known = label.unionByName(ends.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    edges = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept (doc_id = class_id), one row for each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))

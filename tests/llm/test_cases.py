@@ -165,6 +165,20 @@ def test_rare_centres_do_not_end_the_search(spark):
     assert {r.node: r.component for r in label.collect()} == {2: 2, 3: 2}
 
 
+def test_labels_of_turns_are_those_of_all_links(spark):
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 60, (45, 2)).tolist() + [[0, n] for n in range(70, 90)]
+    name = {n: n for pair in links for n in pair}
+    for a, b in links:  # every link renames one whole class
+        low, high = sorted((name[a], name[b]))
+        name = {n: low if c == high else c for n, c in name.items()}
+    label = None
+    for part in (links[:20], links[20:40], links[40:]):
+        label = prob_minhash._merged(label, spark.createDataFrame(part, "a long, b long"))
+    got = {r.node: r.component for r in label.collect()}
+    assert {n: got.get(n, n) for n in name} == name
+
+
 def test_words_and_scores(docs, rows):
     got = sorted(katz.train_and_score(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score))
     assert len(got) == len(rows)
