@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import cover_tree, katz, mixing, prob_minhash, quality, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
+from parley.llm import cover_tree, hard_negatives, katz, mixing, prob_minhash, quality, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -75,8 +75,14 @@ def op10_substring_cm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{s}.n_words", f"{s}.n_removed", F.sha2(f"{s}.text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    index = hard_negatives.build_index(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return hard_negatives.mine(index, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm)
+    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm, op11_hard_negatives)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -152,4 +158,14 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS t, count(*) AS n FRO
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_suffix_array_dedup": _OP2, "op6_cover_tree_links": _OP6, "op8_quality_rules": _op8(), "op10_substring_cm": _OP10}
+_OP11 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, CAST(list_dot_product(a.v, x.v) AS BIGINT) AS score FROM e a JOIN e x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+SQL: dict[str, str] = {"op2_suffix_array_dedup": _OP2, "op6_cover_tree_links": _OP6, "op8_quality_rules": _op8(), "op10_substring_cm": _OP10, "op11_hard_negatives": _OP11}
