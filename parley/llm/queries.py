@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import cover_tree, hard_negatives, katz, mixing, prob_minhash, quality, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
+from parley.llm import cover_tree, hard_negatives, importance, katz, mixing, prob_minhash, quality, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -81,8 +81,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(index, F.col("vec_id") % 100 == 0)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", *(f"{out.columns[-1]}.{c}" for c in ("n_features", "weight", "score", "rank")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm, op11_hard_negatives)
+    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm, op11_hard_negatives, op12_importance_resampling)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -168,4 +173,23 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_scor
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-SQL: dict[str, str] = {"op2_suffix_array_dedup": _OP2, "op6_cover_tree_links": _OP6, "op8_quality_rules": _op8(), "op10_substring_cm": _OP10, "op11_hard_negatives": _OP11}
+_FEATURES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS ws FROM documents),
+f AS (SELECT r, unnest(ws) AS w FROM d),
+g AS (SELECT unnest(ws) AS w FROM (SELECT {_FEATURES} AS ws FROM benchmark)),
+steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i)),
+bytes AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)) AS b FROM (SELECT w FROM f UNION SELECT w FROM g)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295) % 10000 AS bucket FROM bytes, steps),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN hashed USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT r, sum(gain) AS w FROM f JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY r),
+score AS (SELECT r, doc_id, len(ws) AS n, CAST(coalesce(weight.w, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight.w, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weight USING (r)),
+place AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n) AS k, count(*) OVER () AS total FROM score WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN k <= 10 * total // 100 THEN k END AS BIGINT) AS rank FROM score LEFT JOIN place USING (r)
+"""
+
+SQL: dict[str, str] = {"op2_suffix_array_dedup": _OP2, "op6_cover_tree_links": _OP6, "op8_quality_rules": _op8(), "op10_substring_cm": _OP10, "op11_hard_negatives": _OP11, "op12_importance_resampling": _OP12}

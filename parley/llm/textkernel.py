@@ -95,12 +95,12 @@ def chain(acc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return acc ^ (acc >> U(29))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of all words; words never span rows."""
+def words(data: np.ndarray, offs: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of all words (runs of bytes that are not ``outside``); words never span rows."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
