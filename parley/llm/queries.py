@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import cover_tree, hard_negatives, importance, katz, mixing, prob_minhash, quality, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
+from parley.llm import cover_tree, hard_negatives, importance, katz, mixing, prob_minhash, quality, quality_fm, shard_kd, sp_wfst, substring_cm, suffix_index, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -86,8 +86,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"{out.columns[-1]}.{c}" for c in ("n_features", "weight", "score", "rank")))
 
 
+def op13_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    out = quality_fm.with_quality(docs, machine)
+    score = F.col(out.columns[-1])
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm, op11_hard_negatives, op12_importance_resampling)
+    f.__name__: f for f in (op1_kd_sharding, op2_suffix_array_dedup, op3_katz_scores, op4_soft_mixing, op5_sentencepiece_wfst, op6_cover_tree_links, op7_prob_minhash, op8_quality_rules, op9_toxicity_bigru, op10_substring_cm, op11_hard_negatives, op12_importance_resampling, op13_quality_fm)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
