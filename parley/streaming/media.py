@@ -1,21 +1,30 @@
 """Continuous media ingestion: a stream over the media folders that keeps a ledger.
 
-Each file enters the ledger once: the stream's checkpoint remembers what it has read, and
-the merge by path makes a repeated batch change nothing. ``once`` takes what is there and
-ends (the snapshot pass); otherwise the stream goes on."""
+The ledger is the table ``media_mirror`` of the store. A batch appends its rows as a folder
+of its own, so it costs what it holds; the commit carries the stream's query id and batch
+number, so a batch that is offered again after a failure changes nothing, and a new
+checkpoint, which is a new query, starts over and loses nothing. A file that is read again
+that way stands in the ledger twice until ``ledger`` or a compaction takes its last row.
+``once`` takes what is there and ends (the snapshot pass); otherwise the stream goes on."""
 
 from __future__ import annotations
 
+import json
+from contextlib import suppress
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators import merge
-from parley.sources.store import Store
+from parley.sources.store import CommitConflict, Files, Store
 from parley.sources.text import media_files
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
+LEDGER = "media_mirror"
+#: Folders of the ledger after which it is rewritten as one.
+MOST_PARTS = 32
 
 
 def mirrored(files: DataFrame, media_root: str, archive_root: str, now: Column) -> DataFrame:
@@ -25,6 +34,17 @@ def mirrored(files: DataFrame, media_root: str, archive_root: str, now: Column)
     return rows.withColumn("archive_path", F.concat(F.lit(archive_root.rstrip("/") + "/"), rest)).withColumn("mirrored_at", now)
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """The last row of each source path."""
+    return merge.last_wins(rows, ["source_path"], ["source_modified_ts", "mirrored_at"])
+
+
+def ledger(store: Store) -> DataFrame | None:
+    """Every mirrored file once, None before the first."""
+    have = store.open().get(LEDGER)
+    return None if have is None else latest(have)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path)
@@ -33,8 +53,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def watch(spark: SparkSession, store: Store, media_root: str, archive_root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start the stream; the ledger is the table ``media_mirror`` of the store."""
+def files_of(spark: SparkSession, media_root: str) -> DataFrame:
+    """A stream of all files below the root."""
     files = None
     # Spark's listing skips folders whose names start with a dot, so the statuses have a stream of their own
     for folder in (media_root, f"{media_root.rstrip('/')}/.Statuses"):
@@ -43,14 +63,25 @@ def watch(spark: SparkSession, store: Store, media_root: str, archive_root: str,
             files = more if files is None else files.unionByName(more)
     if files is None:
         raise ValueError(f"no folder {media_root}")
+    return files
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity Spark gives a query with its checkpoint."""
+    return json.loads(Files(spark, checkpoint.rstrip("/")).read("metadata"))["id"]
+
+
+def watch(spark: SparkSession, store: Store, media_root: str, archive_root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Start the stream; read the result with ``ledger``."""
 
     def add(batch: DataFrame, number: int) -> None:
-        if store.state().get("media_batch") == str(number):
+        key = f"media_batch:{query_id(spark, checkpoint)}"
+        if int(store.state().get(key, -1)) >= number:
             return  # committed before a failure; the stream offers it again
-        new = mirrored(batch, media_root, archive_root, F.current_timestamp())
-        have = store.open().get("media_mirror")
-        ledger = new if have is None else merge.replace(have, new, ["source_path"], ["mirrored_at"])
-        store.commit({"media_mirror": ledger}, {"media_batch": str(number)})
+        store.append(LEDGER, mirrored(batch, media_root, archive_root, F.current_timestamp()), {key: str(number)})
+        if store.parts(LEDGER) > MOST_PARTS:
+            with suppress(CommitConflict):  # another stream added to it: the next batch tries again
+                store.compact(LEDGER, latest)
 
-    writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    writer = files_of(spark, media_root).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
