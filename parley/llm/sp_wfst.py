@@ -4,7 +4,8 @@ The model file is compiled into three machines over the tropical semiring:
 
 * a normaliser, which puts a space mark before each text and maps blanks to it;
 * a lexicon: a trie whose paths spell pieces, and for characters that no piece
-  spells an arc into their byte pieces;
+  spells an arc into their byte pieces, or, in models without byte fallback, to the
+  unknown piece, of which a run is one;
 * for unigram models, arc weights are negated scores. BPE models are not additive,
   so there a grammar over neighbouring pieces has weight 0 where merging the two
   pieces' text in score order gives back exactly these two pieces, and infinity
@@ -14,7 +15,8 @@ Composition with an input and its shortest path run for all distinct units of a
 once, position by position. Units begin at space marks, since no piece holds a mark after
 another character; long ones are divided further wherever no piece holds the two
 neighbouring characters, so no path can cross. Units count as equal if their characters
-are. Only identity normalisers are compiled; others are refused.
+are. Only identity normalisers are compiled; models with a character map, with
+user-defined or with unused pieces are refused.
 
 Cases: null and empty texts give no ids; U+2581 in a text reads as a blank, as the
 format has it; texts of any length are whole; extra columns pass through. The struct that
@@ -62,7 +64,11 @@ class Lexicon:
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
             raise ValueError("only identity normalisers with a dummy prefix are compiled")
+        if any(p.type in (4, 5) for p in proto.pieces):
+            raise ValueError("user-defined and unused pieces are not compiled")
         self.bpe = proto.trainer_spec.model_type == 2
+        self.unk = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
+        self.fallback = proto.trainer_spec.byte_fallback
         self.text: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int32)
         pieces: dict[str, int] = {}
@@ -71,8 +77,8 @@ class Lexicon:
                 self.byte_ids[int(p.piece[1:-1], 16)] = i
                 self.text.append(bytes([int(p.piece[1:-1], 16)]))
             else:
-                self.text.append(p.piece.replace("▁", " ").encode() if p.type in (1, 4) else b"")
-            if p.type in (1, 4):
+                self.text.append(p.piece.replace("▁", " ").encode() if p.type == 1 else proto.trainer_spec.unk_surface.encode() if p.type == 2 else b"")
+            if p.type == 1:
                 pieces[p.piece] = i
         if len(proto.pieces) >= NONE:
             raise ValueError("too many pieces")
@@ -106,6 +112,8 @@ class Lexicon:
         self.depth = max(map(len, pieces), default=1)
         self.cut = np.cumsum([0, *map(len, self.text)])
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        #: Pieces that a text's dummy prefix can have become a part of.
+        self.blank_first = np.array([p.type == 1 and t.startswith(b" ") for p, t in zip(proto.pieces, self.text)])
 
     def _trie(self, pieces: dict[str, int]) -> None:
         """Arcs (node, character) in one open-addressed table, four probes at most wide steps."""
@@ -312,12 +320,20 @@ def encode_batch(lex: Lexicon, data: np.ndarray, offs: np.ndarray) -> tuple[np.n
     out = ids[np.repeat(at[inverse] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
     per_row = np.zeros(n, np.int64)
     per_row[full] = np.add.reduceat(each, np.searchsorted(unit, begin)) if len(full) else 0
-    return out, np.concatenate([[0], np.cumsum(per_row)])
+    cut = np.concatenate([[0], np.cumsum(per_row)])
+    if not lex.fallback and len(out):  # a run of unknown characters is one unknown piece, across units too
+        again = np.zeros(len(out), bool)
+        again[1:] = (out[1:] == lex.unk) & (out[:-1] == lex.unk)
+        again[cut[:-1][per_row > 0]] = False
+        out, cut = out[~again], cut - np.concatenate([[0], np.cumsum(again)])[cut]
+    return out, cut
 
 
 def _bytes_for(lex: Lexicon, piece: np.ndarray, char: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Replace characters without a piece by their byte pieces."""
+    """Replace characters without a piece by their byte pieces, or by the unknown piece."""
     bare = piece == NONE
+    if not lex.fallback:
+        return np.where(bare, lex.unk, piece.astype(np.int32)), owner
     raw = [chr(c).encode() for c in char[bare].tolist()]
     n = np.ones(len(piece), np.int64)
     n[bare] = [len(r) for r in raw]
@@ -327,13 +343,16 @@ def _bytes_for(lex: Lexicon, piece: np.ndarray, char: np.ndarray, owner: np.ndar
 
 
 def decode_batch(lex: Lexicon, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of rows of ids, without the dummy prefix."""
+    """UTF-8 bytes and offsets of rows of ids, without the dummy prefix; the unknown piece reads as the model says."""
     size = (lex.cut[1:] - lex.cut[:-1])[ids]
     total = np.concatenate([[0], np.cumsum(size)])
     out = lex.bytes[np.repeat(lex.cut[ids] - total[:-1], size) + np.arange(total[-1])]
     cuts = total[offs]
     keep = np.ones(len(out), bool)
-    keep[cuts[:-1][cuts[1:] > cuts[:-1]]] = False  # the prefix is one blank
+    some = np.flatnonzero(offs[1:] > offs[:-1])
+    first = ids[offs[:-1][some]]
+    led = some[lex.blank_first[first]]
+    keep[cuts[:-1][led]] = False  # the prefix is one blank
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[cuts]
 
 

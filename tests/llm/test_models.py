@@ -186,23 +186,49 @@ def test_shards_hold_equal_bytes(spark):
     assert shard_kd.shards_for(spark.createDataFrame([(1, "abcd"), (2, None)], "doc_id long, text string"), 10) == 2
 
 
+def sentencepiece_model(pieces, kind=1):
+    """An own model with an identity normaliser; ``pieces`` are (text, score) or (text, score, type)."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = kind
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix = "identity", True
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = False, True
+    for piece, score, t in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((*p, 1)[:3] for p in pieces)]:
+        x = proto.pieces.add()
+        x.piece, x.score, x.type = piece, score, t
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("mark", [True, False])
+def test_unknown_characters_without_byte_pieces(spark, kind, mark):
+    """A run of them is one unknown piece, also across blanks that are unknown themselves."""
+    import sentencepiece
+
+    pieces = [("a", -1), ("b", -2), ("ab", -3), ("ba", -4), *([("▁", -5), ("▁a", -6)] if mark else [])]
+    m = sentencepiece_model(pieces, kind)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=m)
+    texts = ["azzb", "aéb", "日本 a", "日 本", "a 日  本b", "z", "zz ab zz", "", None, "ab" * 50 + "q" * 300 + "ba", "▁a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in sp_wfst.encode(rows, m, decode=True).collect():
+        want = lib.encode((r.text or "").replace("▁", " "))
+        assert list(r._e.ids) == want, r.text
+        assert r._e.decoded == lib.decode(want), r.text
+
+
+def test_models_that_are_not_compiled():
+    for odd in [("aba", 0, 4)], [("ab", -1, 5)]:
+        with pytest.raises(ValueError, match="not compiled"):
+            sp_wfst.compiled(sentencepiece_model([("a", -1), ("b", -2), *odd]))
+
+
 def test_unigram_paths_and_model_caches():
     """A hand-made unigram model against the library, then another with the same piece numbers."""
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
 
-    def model(pieces):
-        proto = pb.ModelProto()
-        proto.trainer_spec.model_type = 1
-        proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix = "identity", True
-        proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = False, True
-        for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((p, s, 1) for p, s in pieces)]:
-            x = proto.pieces.add()
-            x.piece, x.score, x.type = piece, score, kind
-        return proto.SerializeToString()
-
-    one = model([("▁", -3), ("a", -2), ("b", -2.5), ("ab", -3.1), ("▁a", -2.2), ("ba", -4), ("bab", -5), ("▁ab", -6)])
-    two = model([("▁", -3), ("a", -9), ("b", -9), ("ab", -1), ("▁a", -8), ("ba", -1.5), ("bab", -5), ("▁ab", -6)])
+    one = sentencepiece_model([("▁", -3), ("a", -2), ("b", -2.5), ("ab", -3.1), ("▁a", -2.2), ("ba", -4), ("bab", -5), ("▁ab", -6)])
+    two = sentencepiece_model([("▁", -3), ("a", -9), ("b", -9), ("ab", -1), ("▁a", -8), ("ba", -1.5), ("bab", -5), ("▁ab", -6)])
     for m in (one, two):
         lib = sentencepiece.SentencePieceProcessor(model_proto=m)
         lex = sp_wfst.compiled(m)
