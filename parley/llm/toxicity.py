@@ -6,12 +6,14 @@ Two gated recurrent passes read windows of SPAN words, attention pools them, and
 document's score is that of its worst window; windows overlap by half and cover
 every word of every text.
 
-Training is numpy on the driver, on at most SAMPLE labelled rows (the first by a hash of
-doc_id); of a text over SAMPLE_CHARS characters, PIECES evenly spaced parts of that much
-in all are read for fitting, while scores always cover whole texts. Windows of toxic texts that
-hold words typical of toxic texts are positive, windows of other texts negative.
-A last logistic step calibrates document scores on the same sample. Scoring needs
-only the weights (under 1 MB), which are broadcast.
+Training is numpy on the driver, on windows of at most SAMPLE labelled rows (the first by a
+hash of doc_id), whose texts are read whole in tasks: one pass counts texts of both kinds by
+word, one draws windows from all of each text, at most DRAWN a text (those with the words
+most typical of toxic texts, and some by a hash). Windows of toxic texts that hold such words
+are positive, windows of other texts negative. Windows of more than WINDOW_BYTES (words
+without end) are scored but not drawn. A last logistic step calibrates the document scores
+of the whole sample, which tasks compute. Scoring needs only the weights (under 1 MB),
+which are broadcast.
 
 Cases: null and empty texts are one window of padding and get a score; labels that
 are null are not learned from; without labels of both kinds every score is the share
@@ -22,17 +24,25 @@ column, ``_score`` or, where that name is taken, ``_score`` with underscores app
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import textkernel as tk
-from parley.llm.common import free_name, row_slices, text_bytes
+from parley.llm.common import free_name, materialize, row_slices, text_bytes
 
-SAMPLE, SAMPLE_CHARS, PIECES, SPAN, STRIDE = 3000, 1 << 16, 8, 24, 12
+SAMPLE, SPAN, STRIDE = 3000, 24, 12
+#: Windows of a text for fitting, how many of them are the most typical ones, and their bytes.
+DRAWN, TYPICAL, WINDOW_BYTES = 32, 8, 1 << 14
+#: Words whose odds tell which windows are typical of toxic texts.
+TELLING = 1 << 14
 WORDS, GRAMS, EMBED, HIDDEN, ATTEND = 4096, 1 << 12, 8, 8, 8
 STEPS, BATCH, RATE = 260, 256, 0.01
+#: Clean documents should be left alone.
+FALSE_ALARM = 4
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -45,6 +55,7 @@ class Text:
     def __init__(self, data: np.ndarray, offs: np.ndarray) -> None:
         data = tk.LOWER[data]
         starts, ends, self.rows = tk.words(data, offs)
+        self.data, self.starts, self.ends = data, starts, ends
         self.n = len(offs) - 1
         keys = tk.span_hash(data, starts, ends)
         self.keys, rep, self.word = np.unique(keys, return_index=True, return_inverse=True)
@@ -71,6 +82,7 @@ class Text:
         at = first[:, None] + np.arange(SPAN)[None, :]
         self.mask = at < count[self.win_row][:, None]
         base = (np.cumsum(count) - count)[self.win_row]
+        self.win_first, self.win_words = base + first, np.minimum(count[self.win_row], SPAN)
         word = np.append(self.word, len(self.keys))
         self.windows = np.where(self.mask, word[np.minimum(base[:, None] + at, len(self.word))], len(self.keys))
 
@@ -184,29 +196,15 @@ class Network:
         return sigmoid(self.scale[0] * self.logits(t) + self.scale[1])
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Network | float:
-    """Train on labelled texts; with one kind of label only, the share of positives."""
-    toxic = np.asarray(toxic, bool)
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return float(toxic.mean()) if len(toxic) else 0.0
+def fit(vocab: np.ndarray, texts: list[str], toxic: np.ndarray, typical: np.ndarray, best: np.ndarray) -> Network:
+    """Train on drawn windows: the kind of their text, their most typical word's odds, and those of the text's best window."""
     data, offs = text_bytes(pa.array(texts, pa.string()))
     t = Text(data, offs)
-    pair = np.unique(t.rows * len(t.keys) + t.word)
-    row, word = pair // len(t.keys), pair % len(t.keys)
-    df1 = np.bincount(word[toxic[row]], minlength=len(t.keys))
-    df0 = np.bincount(word[~toxic[row]], minlength=len(t.keys))
-    odds = np.log((df1 + 0.5) / (toxic.sum() + 1)) - np.log((df0 + 0.5) / ((~toxic).sum() + 1))
-    odds[df1 + df0 < 3] = 0
-    often = np.argsort(-(df0 + df1), kind="stable")[: WORDS // 2]
-    telling = np.argsort(-np.abs(odds) * (df1 + df0 >= 3), kind="stable")[: WORDS // 2]
-    net = Network(np.unique(t.keys[np.union1d(often, telling)]))
-    typical = np.append(odds, -9)[t.windows].max(axis=1)
-    best = np.full(t.n, -np.inf)
-    np.maximum.at(best, t.win_row, typical)
-    positive = np.flatnonzero(toxic[t.win_row] & (typical >= np.maximum(0.7 * best[t.win_row], 1)))
+    net = Network(vocab)
+    positive = np.flatnonzero(toxic & (typical >= np.maximum(0.7 * best, 1)))
     if not len(positive):
-        positive = np.flatnonzero(toxic[t.win_row])
-    negative = np.flatnonzero(~toxic[t.win_row])
+        positive = np.flatnonzero(toxic)
+    negative = np.flatnonzero(~toxic)
     hard = negative[np.argsort(-typical[negative], kind="stable")[: max(256, len(negative) // 10)]]
     rng = np.random.default_rng(3)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -226,20 +224,23 @@ def fit(texts: list[str], toxic: np.ndarray) -> Network | float:
             m[k] += 0.1 * (d - m[k])
             v[k] += 0.01 * (d * d - v[k])
             net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    logits = net.logits(t)
+    return net
+
+
+def calibrate(net: Network, logits: np.ndarray, toxic: np.ndarray) -> None:
+    """Platt scaling of document logits, then the cut with the fewest errors as a score of one half."""
     a, b = 1.0, 0.0
-    for _ in range(400):  # Platt scaling of document scores
+    for _ in range(400):
         s = sigmoid(a * logits + b)
         a, b = a - 0.5 * float(((s - toxic) * logits).mean() / max(1e-6, (logits**2).mean())), b - 0.5 * float((s - toxic).mean())
-    cut = _best_cut(logits, toxic)
-    net.scale = (max(a, 0.3), -max(a, 0.3) * cut)
-    return net
+    net.scale = (max(a, 0.3), -max(a, 0.3) * _best_cut(logits, toxic))
 
 
 def _best_cut(logits: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the fewest errors on the sample, midway between neighbours."""
+    """The cut that costs least on the sample, a false alarm as much as FALSE_ALARM misses; midway between neighbours."""
     order = np.argsort(logits, kind="stable")
-    errors = np.concatenate([[(~toxic).sum()], (~toxic).sum() + np.cumsum(np.where(toxic[order], 1, -1))])
+    clean = FALSE_ALARM * (~toxic).sum()
+    errors = np.concatenate([[clean], clean + np.cumsum(np.where(toxic[order], 1, -FALSE_ALARM))])
     k = int(errors.argmin())
     x = logits[order]
     return float((x[max(0, k - 1)] + x[min(k, len(x) - 1)]) / 2)
@@ -254,14 +255,92 @@ def _subset(t: Text, words: np.ndarray) -> Text:
     return out
 
 
+def _texts(text: pa.Array) -> Iterator[tuple[int, int, Text]]:
+    data, offs = text_bytes(text)
+    for a, b in row_slices(offs):
+        yield a, b, Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each kind that hold a word."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy() == 1
+        for a, b, t in _texts(batch.column(2)):
+            pair = np.unique(t.rows * max(1, len(t.keys)) + t.word)
+            row, word = pair // max(1, len(t.keys)), pair % max(1, len(t.keys))
+            n = [np.bincount(word[toxic[a:b][row] == kind], minlength=len(t.keys)) for kind in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(t.keys.view(np.int64)), pa.array(n[0]), pa.array(n[1])], ["word", "n0", "n1"])
+
+
+def draw(t: Text, ids: np.ndarray, toxic: np.ndarray, words: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows to fit on, their odds and those of their text's best window. Texts are drawn from end to end."""
+    at = np.minimum(np.searchsorted(words, t.keys), max(0, len(words) - 1))
+    known = words[at] == t.keys if len(words) else np.zeros(len(t.keys), bool)
+    typical = np.append(np.where(known, odds[at] if len(odds) else 0.0, 0.0), -9)[t.windows].max(axis=1)
+    best = np.full(t.n, -np.inf)
+    np.maximum.at(best, t.win_row, typical)
+    size = np.zeros(len(t.win_row), np.int64)
+    some = t.win_words > 0
+    size[some] = t.ends[t.win_first[some] + t.win_words[some] - 1] - t.starts[t.win_first[some]]
+    fits = np.flatnonzero(some & (size <= WINDOW_BYTES))
+    row = t.win_row[fits]
+    chance = tk.mix(ids[row].astype(tk.U) * tk.U(0x9E3779B97F4A7C15) + t.win_first[fits].astype(tk.U)) >> tk.U(1)
+    by_odds, by_chance = np.lexsort((~chance, -typical[fits], row)), np.lexsort((chance, row))
+    rank = np.zeros((2, len(fits)), np.int64)
+    for r, order in zip(rank, (by_odds, by_chance)):
+        r[order] = np.arange(len(fits)) - np.searchsorted(row[order], row[order])
+    most = np.where(toxic[row], DRAWN, TYPICAL)
+    keep = fits[(rank[0] < most) | (rank[1] < DRAWN - most)]
+    return keep, typical[keep], best[t.win_row[keep]]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Network | float:
-    """Fit on a bounded sample of ``labels`` (doc_id, toxic) joined with their texts."""
-    pick = labels.where("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
-    part, size = SAMPLE_CHARS // PIECES, F.length("text")
-    at = [1 + F.floor((size - part) * k / (PIECES - 1)).cast("int") for k in range(PIECES)]
-    text = F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat_ws(" ", *(F.substring(F.col("text"), x, F.lit(part)) for x in at)))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(pick), "doc_id").orderBy("doc_id", "toxic", F.xxhash64("text")).limit(SAMPLE).toArrow()
-    return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), bool))
+    """Fit on a bounded sample of ``labels`` (doc_id, toxic) joined with their texts; with one
+    kind of label only, the share of positives."""
+    spark = docs.sparkSession
+    pick = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    sample = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), "text")
+    sample = materialize(sample, "toxic-sample")
+    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return float(n1 > 0)
+    counts = sample.mapInArrow(_count_words, "word long, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    counts = materialize(counts.select("word", (F.col("n0") + F.col("n1")).alias("n"), odds.alias("odds")), "toxic-words")
+    often = counts.orderBy(F.desc("n"), "word").limit(WORDS // 2).select("word").toArrow().column(0).to_numpy()
+    telling = counts.where("n >= 3").orderBy(F.desc(F.abs("odds")), "word").limit(TELLING).toArrow()
+    words, value = telling.column("word").to_numpy().view(tk.U), telling.column("odds").to_numpy()
+    vocab = np.union1d(often.view(tk.U), words[: WORDS // 2])
+    order = np.argsort(words)
+    shared = spark.sparkContext.broadcast((words[order], value[order]))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, toxic = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, t in _texts(batch.column(2)):
+                keep, typical, best = draw(t, ids[a:b], toxic[a:b] == 1, *shared.value)
+                text = [t.data[t.starts[i] : t.ends[i + k - 1]].tobytes().decode("utf-8", "replace") for i, k in zip(t.win_first[keep].tolist(), t.win_words[keep].tolist())]
+                cols = [ids[a:b][t.win_row[keep]], toxic[a:b][t.win_row[keep]], typical, best]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.string())], ["doc_id", "toxic", "typical", "best", "text"])
+
+    drawn = sample.mapInArrow(windows, "doc_id long, toxic int, typical double, best double, text string")
+    # rows of one doc_id can be more than the sample asked for
+    drawn = drawn.orderBy("doc_id", "toxic", F.xxhash64("text")).limit(SAMPLE * DRAWN).toArrow()
+    toxic = drawn.column("toxic").to_numpy() == 1
+    if toxic.all() or not toxic.any():
+        return n1 / (n0 + n1)
+    net = fit(vocab, drawn.column("text").to_pylist(), toxic, drawn.column("typical").to_numpy(), drawn.column("best").to_numpy())
+    shared_net = spark.sparkContext.broadcast(net)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [shared_net.value.logits(t) for _, _, t in _texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *each]))], ["doc_id", "toxic", "logit"])
+
+    got = sample.mapInArrow(logits, "doc_id long, toxic int, logit double").orderBy("doc_id", "toxic", "logit").limit(SAMPLE).toArrow()
+    calibrate(net, got.column("logit").to_numpy(), got.column("toxic").to_numpy() == 1)
+    return net
 
 
 def with_score(docs: DataFrame, net: Network | float) -> DataFrame:
@@ -272,8 +351,6 @@ def with_score(docs: DataFrame, net: Network | float) -> DataFrame:
         net = shared.value
         if isinstance(net, float):
             return pa.array(np.full(len(text), net))
-        data, offs = text_bytes(text)
-        parts = [net.score(Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])) for a, b in row_slices(offs)]
-        return pa.array(np.concatenate([np.zeros(0), *parts]))
+        return pa.array(np.concatenate([np.zeros(0), *(net.score(t) for _, _, t in _texts(text))]))
 
     return docs.withColumn(free_name(docs.columns, "_score"), F.arrow_udf(run, "double")(F.col("text")))

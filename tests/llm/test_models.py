@@ -11,6 +11,7 @@ import pytest
 pytest.importorskip("parley.llm")
 
 from parley.llm import katz, mixing, shard_kd, sp_wfst, toxicity  # noqa: E402
+from parley.llm import textkernel as tk  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +127,66 @@ def test_copies_of_rows_without_an_id(spark):
     assert abs(sum(r.copies for r in rows) - sum(r.rate for r in rows)) < 30 and len({r.copies for r in rows}) > 1
 
 
+def gates(net, x):
+    """The logit of one window of word vectors, with loops."""
+    h, n = toxicity.HIDDEN, len(x)
+    s = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((n, 2 * h))
+    for k, way in enumerate("fb"):
+        state = np.zeros(h)
+        for t in range(n) if way == "f" else range(n - 1, -1, -1):
+            a, r = x[t] @ net.p[f"in_{way}"] + net.p[f"bias_{way}"], state @ net.p[f"rec_{way}"]
+            z, reset = s(a[:h] + r[:h]), s(a[h : 2 * h] + r[h : 2 * h])
+            cand = np.tanh(a[2 * h :] + reset * r[2 * h :])
+            state = (1 - z) * cand + z * state
+            states[t, k * h : (k + 1) * h] = state
+    e = np.tanh(states @ net.p["att"] + net.p["att_b"]) @ net.p["att_v"]
+    w = np.exp(e - e.max()) if n else e
+    return (w / w.sum()) @ states @ net.p["out"] + net.p["out_b"][0] if n else net.p["out_b"][0]
+
+
+def test_document_score_is_that_of_its_worst_window(spark):
+    """Windows, word vectors and pooling in plain Python, over texts of one and of many windows."""
+    rng = np.random.default_rng(8)
+    vocab = ["w%d" % i for i in range(60)] + ["Ärger", "BAD", "x" * 40]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 5, 24, 25, 36, 37, 100, 131)] + [None, "\n \t"]
+    known = [w.lower() for w in vocab[:30]]
+    key = lambda w: tk.span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+    net = toxicity.Network(np.unique([key(w.encode()) for w in known]))
+    net.scale = (1.7, -0.4)
+
+    def vector(word):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in word.encode())
+        marked = [0, *b, 0]
+        grams = [int(tk.mix(np.array([marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2]], np.uint64))[0] >> np.uint64(52)) for i in range(len(b))]
+        at = np.searchsorted(net.vocab, key(b)) if key(b) in net.vocab else -1
+        return np.concatenate([net.p["word"][at + 1], net.p["gram"][grams].mean(axis=0)])
+
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        starts = [0] if len(w) <= 24 else [min(12 * k, len(w) - 24) for k in range(1 + -(-(len(w) - 24) // 12))]
+        worst = max(gates(net, np.array([vector(x) for x in w[s : s + 24]])) for s in starts)
+        return 1 / (1 + np.exp(-(1.7 * worst - 0.4)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for r in toxicity.with_score(df, net).collect():
+        assert r._score == pytest.approx(plain(r.text), rel=1e-4), r.doc_id
+
+
+def test_windows_are_drawn_from_all_of_a_text():
+    words = ["w%d" % (i % 50) for i in range(24 * 500)]
+    words[-3] = "telling"
+    data = " ".join(words).encode()
+    t = toxicity.Text(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    key = tk.span_hash(np.frombuffer(b"telling", np.uint8), np.array([0]), np.array([7]))
+    for toxic in (True, False):
+        keep, typical, best = toxicity.draw(t, np.array([5]), np.array([toxic]), key, np.array([3.0]))
+        assert toxicity.DRAWN - toxicity.TYPICAL <= len(keep) <= toxicity.DRAWN and best[0] == 3 and (typical == 3).any() and t.win_first[keep].max() == len(words) - 24
+        if not toxic:
+            assert np.ptp(t.win_first[keep]) > len(words) / 2
+    assert [len(x) for x in toxicity.draw(t, np.array([5]), np.array([True]), key[:0], np.zeros(0))] == [toxicity.DRAWN] * 3
+
+
 def test_network_forward():
     """One window through gates written out with loops."""
     net = toxicity.Network(np.zeros(0, np.uint64))

@@ -189,12 +189,13 @@ def test_toxicity(spark, docs):
     vocab = ["w%d" % i for i in range(300)]
     y = rng.random(400) < 0.3
     texts = [" ".join([*rng.choice(vocab, 30), *(["nastyword"] if t else []), *rng.choice(vocab, 30)]) for t in y]
-    net = toxicity.fit(texts[:300], y[:300])
+    known = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id long, text string")
+    net = toxicity.train(known, spark.createDataFrame([(i, int(t)) for i, t in enumerate(y[:300])], "doc_id long, toxic int"))
     df = spark.createDataFrame(list(enumerate(texts[300:])), "doc_id long, text string")
     got = {r.doc_id: r._score for r in toxicity.with_score(df, net).collect()}
     assert np.mean([(got[i] >= 0.5) == t for i, t in enumerate(y[300:])]) > 0.95
     assert all(0 <= r._score <= 1 for r in toxicity.with_score(docs, net).collect())
-    assert toxicity.fit([], np.zeros(0)) == 0.0
+    assert toxicity.train(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) == 0.0
 
 
 def test_digest_is_of_bytes():
