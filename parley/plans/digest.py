@@ -84,7 +84,10 @@ def markdown(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = Fal
         F.when(F.col("edit_count") > 0, _line("_[edited ", F.col("edit_count").cast("string"), "× — current text above]_")),
         F.lit(""),
     )
-    title = with_names(arch["chats"].where(F.col("jid") == chat), arch, "jid", "title").select("title", "kind").limit(1)
+    # a chat that is not among the chats still has a name, and its kind from its id
+    this = arch["chats"].sparkSession.range(1).select(F.lit(chat).alias("jid"))
+    kinds = arch["chats"].where(F.col("jid") == chat).select("jid", "kind").limit(1)
+    title = with_names(this.join(kinds, "jid", "left"), arch, "jid", "title").select(F.coalesce("title", F.lit(chat)).alias("title"), F.coalesce("kind", fx.jid_kind(F.lit(chat))).alias("kind"))
     span = rows.agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"))
     note = "- senders: pseudonymised (ME = owner, P1..PN = others)" if pseudonymise else f"- owner: {owner_name}"
     # two tables of one row each

@@ -263,37 +263,47 @@ def search_transcripts(arch: Archive, needle: str) -> DataFrame:
     return transcripts(arch).where(fx.contains_folded("transcript", needle)).orderBy("message_id")
 
 
+def _ambiguous(reference: str, names: Sequence[str]) -> LookupError:
+    return LookupError(f"{reference!r} is ambiguous: " + ", ".join(names[:10]))
+
+
 def resolve_chat(arch: Archive, reference: str, aliases: dict[str, str] | None = None, cache: Sequence[str] = ()) -> str:
     """A chat from an alias, a list number (up to 5 digits), an id, a subject, a contact
-    or a phone number; ambiguity is an error that names up to ten candidates."""
+    or a phone number that has a chat or messages; ambiguity is an error that names up to ten
+    candidates, the most recently active first."""
+    reference = reference.strip()
     if aliases and reference in aliases:
         return aliases[reference]
     if reference.isdigit() and len(reference) <= 5:
         if not 1 <= int(reference) <= len(cache):
-            raise LookupError(f"no chat number {reference}")
+            raise LookupError(f"no chat number {reference}" + ("" if cache else ": list the chats first"))
         return cache[int(reference) - 1]
     if "@" in reference:
         return reference
-    hits = arch["chats"].where(fx.contains_folded("subject", reference)).orderBy("subject", "jid").limit(11).collect()
+    activity = arch["messages"].groupBy(F.col("chat_jid").alias("jid")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    named = arch["chats"].where(fx.contains_folded("subject", reference)).select("jid", "subject")
+    hits = named.join(activity, "jid", "left").orderBy(F.desc_nulls_last("last"), "jid").limit(11).collect()
     if len(hits) == 1:
         return hits[0].jid
     if hits:
-        raise LookupError(f"{reference!r} is ambiguous: " + ", ".join(h.subject for h in hits[:10]))
+        raise _ambiguous(reference, [f"{h.subject} [{h.jid}]" for h in hits])
     people = effective_contacts(arch["contacts"]).where(fx.contains_folded("name", reference)).select("phone_jid", "name")
     linked = arch["identity_links"].join(people, "phone_jid").select(F.col("lid_jid").alias("jid"), F.lit(None).cast("string").alias("name"))
     ids = people.select(F.col("phone_jid").alias("jid"), "name").union(linked)
-    activity = arch["messages"].groupBy(F.col("chat_jid").alias("jid")).agg(F.count("*").alias("n"))
-    active = ids.join(arch["chats"].select("jid"), "jid", "left_semi").join(activity, "jid", "left").orderBy(F.desc_nulls_last("n"), "jid").limit(11).collect()
-    first = people.orderBy(F.lower("name"), "phone_jid").limit(2).collect()
+    active = ids.join(arch["chats"].select("jid").distinct(), "jid", "left_semi").join(activity, "jid").orderBy(F.desc("n"), F.desc_nulls_last("last"), "jid").limit(11).collect()
+    first = people.orderBy("name", "phone_jid").limit(11).collect()
     if len(first) > 1 and len({a.name for a in active}) > 1:
-        raise LookupError(f"{reference!r} is ambiguous: " + ", ".join(str(a.name) for a in active[:10]))
+        raise _ambiguous(reference, [f"{p.name} [{p.phone_jid}]" for p in first])
     if active:
         return active[0].jid
     if first:
         return first[0].phone_jid
-    found = arch["chats"].sparkSession.range(1).select(fx.phone_argument(F.lit(reference)).alias("p")).select("p.*").first()
-    if found.jid:
-        return found.jid
+    spark = arch["chats"].sparkSession
+    phone = spark.range(1).select(fx.number_to_jid(F.lit(reference)).alias("jid")).first().jid
+    if phone:
+        here = arch["chats"].select("jid").union(arch["messages"].select("chat_jid")).where(F.col("jid") == phone)
+        if here.limit(1).collect():
+            return phone
     raise LookupError(f"no chat matches {reference!r}")
 
 

@@ -13,9 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators import extract, merge
 from parley.operators.counts import Counts
+from parley.plans import contacts
 from parley.plans.names import Archive
 from parley.plans.queries import resolution_stats
 from parley.sources import sqlite
+from parley.sources.sidecars import Sidecars
 from parley.sources.store import Store
 from parley.streaming import media
 
@@ -43,12 +45,14 @@ def run(
     media_root: str | None = None,
     archive_root: str = "",
     checkpoint: str | None = None,
+    sidecars: Sidecars | None = None,
 ) -> int:
     """Extract a source into the next version, then mirror new media; returns the version's number.
 
     Every source table is read once, into copies that go when the run ends. Messages are read
     beyond the row id that the last version stored, their extension rows from ``look_back``
-    ids before it on. All tables, counts and the state become visible together, or not at
+    ids before it on. Names pinned by hand (``pins``, or those of ``sidecars``) are put back
+    first, also into an archive that lost its contacts. All tables, counts and the state become visible together, or not at
     all; another writer that changed them meanwhile makes this run fail. Media are mirrored
     after that as a stream that ends; its checkpoint lies in the archive if none is named."""
     at = at or datetime.now(UTC).replace(tzinfo=None)
@@ -57,8 +61,10 @@ def run(
     current = dict(stored)
     after = int(store.state().get("last_message_rowid", 0))
     run_ts = F.lit(at).cast("timestamp")
-    if pins is not None and "contacts" in current:
-        current["contacts"] = merge.restore_pins(current["contacts"], pins, run_ts)
+    if sidecars:
+        pins = sidecars.pinned()
+    if pins is not None:
+        current["contacts"] = merge.restore_pins(contacts.table_of(store, "contacts", contacts.CONTACTS), pins, run_ts)
     counts, folder = Counts(), f"staging/{uuid.uuid4().hex}"
     try:
         copy = extract.staged(replace(source, counts=counts), f"{store.root}/{folder}", extractors)

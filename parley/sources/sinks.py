@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +45,61 @@ def write_contact_starter(phones: DataFrame, path: str) -> None:
     contact_starter(phones).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_chat(arch: Archive, chat: str, path: str, last: int = 999_999, media: bool = True) -> None:
-    """A folder with the digest, its JSON Lines and the list of media files to copy."""
+COPIED = "relative string, status string, bytes long"
+
+
+def _copy_one(source: str, target: str) -> int | None:
+    """Copy a file between any two file systems; its bytes, None if it is not there. The copy
+    appears under its name when it is whole."""
+    from_fs, from_path = pa_fs.FileSystem.from_uri(source)
+    to_fs, to_path = pa_fs.FileSystem.from_uri(target)
+    if from_fs.get_file_info(from_path).type != pa_fs.FileType.File:
+        return None
+    to_fs.create_dir(to_path.rpartition("/")[0], recursive=True)
+    hidden, n = f"{to_path}.{uuid.uuid4().hex}", 0
+    with from_fs.open_input_stream(from_path) as read, to_fs.open_output_stream(hidden) as write:
+        while part := read.read(1 << 20):
+            write.write(part)
+            n += len(part)
+    to_fs.move(hidden, to_path)
+    return n
+
+
+def copy_media(files: DataFrame, media_root: str, target: str, partitions: int | None = None) -> DataFrame:
+    """Copy files (path, relative) in tasks; (relative, status, bytes) with ``copied`` or ``missing``.
+
+    A path that is not absolute lies below ``media_root``. A file that several rows name is
+    copied once; a task that runs again writes the same file again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for path, relative in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = path if path.startswith("/") or ":" in path.partition("/")[0] else f"{media_root.rstrip('/')}/{path}"
+                done.append(_copy_one(whole, f"{target.rstrip('/')}/{relative}"))
+            status = ["missing" if n is None else "copied" for n in done]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(status, pa.string()), pa.array(done, pa.int64())], ["relative", "status", "bytes"])
+
+    once = files.where("path is not null").groupBy("relative").agg(F.min("path").alias("path")).select("path", "relative")
+    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once.repartition(n, "relative").mapInArrow(run, COPIED)
+
+
+def export_chat(arch: Archive, chat: str, path: str, last: int = 999_999, media: bool = True, media_root: str | None = None) -> DataFrame | None:
+    """A folder with the digest, its JSON Lines and the media files of a chat.
+
+    With ``media_root`` the files are copied into ``media_files``; what became of each is
+    written to ``media`` and returned. Without it ``media`` lists the files to copy."""
     lines = digest.markdown(arch, chat, last).orderBy("idx")
     lines.select("line").coalesce(1).write.mode("overwrite").text(f"{path}/digest.md")
     rows = digest.jsonl(arch, chat, last).orderBy("idx")
     rows.select("json").coalesce(1).write.mode("overwrite").text(f"{path}/digest.jsonl")
-    if media:
-        write_json_lines(export_media(arch, chat, last), f"{path}/media")
+    if not media:
+        return None
+    files = export_media(arch, chat, last)
+    if media_root is None:
+        write_json_lines(files, f"{path}/media")
+        return None
+    # written first, so that looking at the result copies nothing again
+    copy_media(files.select("path", "relative"), media_root, f"{path}/media_files").write.mode("overwrite").json(f"{path}/media")
+    return lines.sparkSession.read.schema(COPIED).json(f"{path}/media")

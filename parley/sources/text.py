@@ -16,11 +16,13 @@ SKIPPED_ENDINGS = (".nomedia", ".tmp")
 
 
 def parse_vcards(files: DataFrame) -> DataFrame:
-    """(card, name, number) from whole vCard texts in ``value``: folded lines are joined, FN
-    wins over N, every TEL is a row, cards without a name or number are left out."""
+    """(path, card, line, name, number) from whole vCard texts in ``value``: folded lines are
+    joined, FN wins over N, every TEL is a row, cards without a name or number are left out.
+    ``card`` and ``line`` count from 0; ``path`` is null where the files have none."""
     unfolded = F.regexp_replace("value", "\r?\n[ \t]", "")
     cards = F.regexp_extract_all(unfolded, F.lit(r"(?is)BEGIN:VCARD(.*?)END:VCARD"), F.lit(1))
-    rows = files.select(F.posexplode(cards).alias("card", "body")).withColumn("lines", F.split("body", "\r?\n"))
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
+    rows = files.select(path.alias("path"), F.posexplode(cards).alias("card", "body")).withColumn("lines", F.split("body", "\r?\n"))
 
     def values(key: str):
         hit = F.filter("lines", lambda x: x.rlike(f"(?i)^([A-Za-z0-9-]+\\.)?{key}(;[^:]*)?:"))
@@ -28,12 +30,19 @@ def parse_vcards(files: DataFrame) -> DataFrame:
 
     n = F.split(F.get(values("N"), F.lit(0)), ";")
     from_n = F.nullif(F.trim(F.concat_ws(" ", F.nullif(F.get(n, F.lit(1)), F.lit("")), F.nullif(F.get(n, F.lit(0)), F.lit("")))), F.lit(""))
-    return rows.select("card", F.coalesce(F.get(values("FN"), F.lit(0)), from_n).alias("name"), F.explode(values("TEL")).alias("number")).where("name is not null")
+    return rows.select("path", "card", F.coalesce(F.get(values("FN"), F.lit(0)), from_n).alias("name"), F.posexplode(values("TEL")).alias("line", "number")).where("name is not null")
+
+
+def card_contacts(cards: DataFrame, country: str = "41") -> DataFrame:
+    """(phone_jid, name, place) of parsed cards; ``place`` orders them as they were read."""
+    rows = cards.select(fx.number_to_jid("number", country).alias("phone_jid"), "name", F.struct(F.coalesce("path", F.lit("")), "card", "line").alias("place"))
+    return rows.where("phone_jid is not null")
 
 
 def read_vcards(spark: SparkSession, path: str) -> DataFrame:
     """A .vcf file, or all of a folder."""
-    return parse_vcards(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.vcf"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.vcf")
+    return parse_vcards(files.select("value", F.col("_metadata.file_path").alias("path")))
 
 
 def read_contact_list(spark: SparkSession, path: str, country: str = "41") -> DataFrame:

@@ -96,7 +96,10 @@ def test_queries(arch):
     assert q.search_messages(arch, "ÜBER", limit=2).count() == 2
     assert q.timeline_for_member(arch, "Ada").count() == 2 and q.timeline_for_member(arch, "Nobody").count() == 0
     assert q.resolve_chat(arch, "team") == "5@g.us" and q.resolve_chat(arch, "Ada") == chat
-    assert q.resolve_chat(arch, "x", {"x": "5@g.us"}) == "5@g.us" and q.resolve_chat(arch, "41790000077") == "41790000077" + P
+    assert q.resolve_chat(arch, "x", {"x": "5@g.us"}) == "5@g.us" and q.resolve_chat({**arch, "contacts": arch["contacts"].limit(0)}, "079 000 00 01") == chat
+    for nobody in ("41790000077", "zzz", "3"):  # a number without a chat or messages is none
+        with pytest.raises(LookupError):
+            q.resolve_chat(arch, nobody)
     assert q.resolve_message(arch, "Ada:-2").endswith("k4") and q.resolve_message(arch, f"{chat}:1:k") == f"{chat}:1:k"
     assert [r.phone_jid[:11] for r in q.forgotten_contacts(arch, date(2024, 2, 1), 7).collect()] == ["41790000002", "41790000001"]
     assert q.list_chats(arch).first().display_name == "Ada"
