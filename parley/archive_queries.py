@@ -87,8 +87,18 @@ def search_messages(spark, d):
 
 @query("SELECT l_orderkey, list_sort(list(i)) AS indexes FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
 def poll_ordinals(spark, d):
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
-    return table(spark, d, "lineitem").select("l_orderkey", i.cast("long").alias("i")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("indexes"))
+    """Orders as polls, their lines as options."""
+    from parley.operators import extract as ex
+
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("message_row_id"), F.col("l_linenumber").cast("long").alias("_id"))
+    orders = lines.select("message_row_id").distinct()
+    source = ex.Source(spark, {
+        "jid": spark.createDataFrame([(1, "1@g.us")], "_id long, raw_string string"), "chat": spark.createDataFrame([(1, 1)], "_id long, jid_row_id long"),
+        "message": orders.select(F.col("message_row_id").alias("_id"), F.lit(1).alias("chat_row_id"), F.col("message_row_id").cast("string").alias("key_id")),
+        "message_poll": orders, "message_poll_option": lines,
+    })
+    options = ex.polls(source, {}, run_ts())["poll_options"].withColumn("l_orderkey", F.element_at(F.split("message_id", ":"), -1).cast("long"))
+    return options.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("option_index")).alias("indexes"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS message_id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
@@ -168,7 +178,12 @@ def pseudonyms(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("hash"))
+    """Documents as files of a mirrored folder."""
+    from parley.sources.text import media_files
+
+    path = F.concat(F.lit("/m/WhatsApp Documents/"), F.col("doc_id").cast("string"))
+    files = table(spark, d, "documents").select(path.alias("path"), F.length("text").cast("long").alias("length"), F.encode("text", "utf-8").alias("content"), F.current_timestamp().alias("modificationTime"))
+    return media_files(files).select(F.element_at(F.split("source_path", "/"), -1).cast("long").alias("doc_id"), F.col("file_hash").alias("hash"))
 
 
 @query("""SELECT DISTINCT jid, CASE WHEN ends_with(jid, '@g.us') THEN 'group' WHEN ends_with(jid, '@s.whatsapp.net') THEN 'user' WHEN ends_with(jid, '@lid') THEN 'lid' ELSE 'other' END AS kind, split_part(jid, '@', 1) AS user_part, split_part(jid, '@', 2) AS server_part
@@ -431,18 +446,23 @@ def unengaged_chats(spark, d):
 
 
 def _full(spark, d):
-    """The archive view with members, media, edits and empty tables for the rest."""
+    """The archive view with members and their past, media, quotes, link previews and edits."""
     arch = archive(spark, d)
     ev = table(spark, d, "events")
     m = arch["messages"]
-    none = spark.createDataFrame([], "message_id string, quoted_key_id string, quoted_text string, quoted_sender_jid string, url string, title string")
+    id_ = F.col("event_id").cast("string")
     arch["chat_members"] = m.groupBy("chat_jid", F.col("sender_jid").alias("member_jid")).agg((F.max("source_rowid") % 3).cast("int").alias("rank"), F.min("ts").alias("joined_ts"))
     arch["message_media"] = ev.where("event_id % 4 = 0").select(
         F.col("event_id").cast("string").alias("message_id"), F.concat(F.lit("Media/"), "event_type", F.lit("/"), F.col("event_id").cast("string")).alias("file_path"),
         F.lit(None).cast("string").alias("mirrored_path"), F.when(F.col("event_type") == "view", "seen").alias("caption"), F.when(F.col("event_type") != "error", "image/jpeg").alias("mime"), F.lit(3).alias("duration_s"),
     )
     arch["edits"] = ev.where("event_id % 6 = 0").select(F.col("event_id").cast("string").alias("message_id"))
-    return arch | {"message_quoted": none.select("message_id", "quoted_key_id", "quoted_text", "quoted_sender_jid"), "message_link_previews": none.select("message_id", "url", "title")}
+    # quotes of two lines and more than a digest shows of them
+    quote = F.concat("props", F.lit("\n"), F.repeat("props", 20))
+    arch["message_quoted"] = ev.where("event_id % 3 = 0").select(id_.alias("message_id"), F.concat(F.lit("q"), id_).alias("quoted_key_id"), F.when(F.col("event_type") != "error", quote).otherwise(F.col("props")).alias("quoted_text"), phone(F.col("event_id") % 150).alias("quoted_sender_jid"))
+    arch["message_link_previews"] = ev.where("event_id % 7 < 3").select(id_.alias("message_id"), F.concat(F.lit("https://x.org/"), id_).alias("url"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("title"))
+    arch["chat_members_history"] = m.where("source_rowid % 5 < 2").select("chat_jid", F.col("sender_jid").alias("member_jid"), F.when(F.col("source_rowid") % 5 == 0, "leave").otherwise("join").alias("op"), F.col("ts").alias("observed_at"))
+    return arch
 
 
 @query("""SELECT jid, coalesce(m.n, 0) AS message_count, coalesce(r.n, 0) AS reaction_count, m.a AS first_message_ts, m.z AS last_message_ts FROM chats
@@ -498,15 +518,20 @@ _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime({0}, '%f') = '0
 #: The last 20 messages of a chat with names, and reactions with names.
 _DIGEST = f"""nm AS ({NAMES}),
 lastm AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY ts, source_rowid) AS idx, count(*) OVER () AS total FROM msg WHERE chat_jid = '0@g.us') WHERE idx > total - 20),
-named AS (SELECT l.*, CASE WHEN from_me = 1 THEN {_OWNER} ELSE nm.name END AS sender, e.event_type AS et FROM lastm l JOIN nm ON nm.jid = l.sender_jid JOIN events e ON e.event_id = l.source_rowid),
+named AS (SELECT l.* EXCLUDE (quoted), CASE WHEN from_me = 1 THEN {_OWNER} ELSE nm.name END AS sender, e.event_type AS et, CASE WHEN source_rowid % 3 = 0 THEN quoted END AS quoted, quoted_jid, coalesce(qc.name, {_PRETTY.format('quoted_jid')}) AS quoted_sender
+    FROM (SELECT *, '4179' || lpad(CAST(source_rowid % 150 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS quoted_jid, CASE WHEN type <> 'error' THEN text || chr(10) || repeat(text, 20) ELSE text END AS quoted FROM lastm) l
+    JOIN nm ON nm.jid = l.sender_jid JOIN events e ON e.event_id = l.source_rowid LEFT JOIN contacts qc ON qc.phone_jid = quoted_jid),
 given AS (SELECT r.parent_key_id AS key_id, r.emoji, coalesce(c.name, {_PRETTY.format('r.sender_jid')}) AS who FROM reacts r LEFT JOIN contacts c ON c.phone_jid = r.sender_jid WHERE r.parent_chat_jid = '0@g.us')"""
 
 
 @query(f""", {_DIGEST},
 parts AS (SELECT key_id, string_agg(emoji || '×' || n || ' (' || names || ')', '  ' ORDER BY emoji) AS line FROM (SELECT key_id, emoji, count(*) AS n, array_to_string(list_sort(list(DISTINCT who)), ', ') AS names FROM given GROUP BY 1, 2) GROUP BY 1)
 SELECT 0 AS idx, '# Digest: <group 0>' || chr(10) || chr(10) || '- chat kind: group' || chr(10) || '- messages: ' || count(*) || chr(10) || '- range: ' || {_ISO.format('min(ts)')} || ' … ' || {_ISO.format('max(ts)')} || ' (UTC)' || chr(10) || '- owner: ' || {_OWNER} || chr(10) || chr(10) || '---' || chr(10) AS line FROM lastm
-UNION ALL SELECT idx, '**[#' || idx || '] [' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || sender || '** _(' || type || ')_  ' || chr(10) || '  ' || text || '  ' || chr(10)
+UNION ALL SELECT idx, '**[#' || idx || '] [' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '] ' || sender || '** _(' || type || ')_  ' || chr(10)
+    || CASE WHEN quoted IS NOT NULL THEN '  ↪ replying to ' || quoted_sender || ': "' || CASE WHEN length(trim(replace(quoted, chr(10), ' '))) > 140 THEN substr(trim(replace(quoted, chr(10), ' ')), 1, 140) || '…' ELSE trim(replace(quoted, chr(10), ' ')) END || '"  ' || chr(10) ELSE '' END
+    || '  ' || text || '  ' || chr(10)
     || CASE WHEN source_rowid % 4 = 0 THEN '  _[media: ' || CASE WHEN et = 'error' THEN '?' ELSE 'image/jpeg' END || CASE WHEN et = 'view' THEN ' caption="seen"' ELSE '' END || ' dur=3s file=Media/' || et || '/' || id || ']_  ' || chr(10) ELSE '' END
+    || CASE WHEN source_rowid % 7 < 3 THEN '  _[link: https://x.org/' || id || ']_  ' || chr(10) || CASE WHEN et <> 'click' THEN '  _title: ' || et || '_  ' || chr(10) ELSE '' END ELSE '' END
     || CASE WHEN line IS NOT NULL THEN '  _reactions: ' || line || '_  ' || chr(10) ELSE '' END
     || CASE WHEN source_rowid % 6 = 0 THEN '  _[edited 1× — current text above]_  ' || chr(10) ELSE '' END FROM named LEFT JOIN parts USING (key_id)""", True)
 def digest_markdown(spark, d):
@@ -517,6 +542,7 @@ def digest_markdown(spark, d):
 parts AS (SELECT key_id, to_json(list(struct_pack(emoji := emoji, sender_name := who) ORDER BY emoji, who)) AS line FROM given GROUP BY 1)
 SELECT idx, regexp_replace(CAST(to_json(struct_pack(idx := idx, id := id, ts := {_ISO.format('ts')}, from_me := from_me = 1, sender_jid := sender_jid, sender_name := sender, "type" := type, "text" := text)) AS VARCHAR), '\\}}$', '')
     || CASE WHEN source_rowid % 4 = 0 THEN ',"media":' || CAST(to_json(struct_pack(mime := CASE WHEN et <> 'error' THEN 'image/jpeg' END, caption := CASE WHEN et = 'view' THEN 'seen' END, duration_s := 3, file_path := 'Media/' || et || '/' || id, mirrored_path := CAST(NULL AS VARCHAR), file_size := CAST(NULL AS BIGINT))) AS VARCHAR) ELSE '' END
+    || CASE WHEN quoted IS NOT NULL THEN ',"quoted":' || CAST(to_json(struct_pack(sender_jid := quoted_jid, "text" := quoted)) AS VARCHAR) ELSE '' END
     || CASE WHEN line IS NOT NULL THEN ',"reactions":' || CAST(line AS VARCHAR) ELSE '' END || '}}' AS json FROM named LEFT JOIN parts USING (key_id)""", True)
 def digest_jsonl(spark, d):
     return digest.jsonl(_full(spark, d), "0@g.us", 20).select(F.col("idx").cast("long").alias("idx"), "json")
@@ -594,3 +620,89 @@ def phone_arguments(spark, d):
     raw = F.when(F.col("user_id") < 100, F.concat(F.lit("079 "), F.lpad(F.col("user_id").cast("string"), 7, "0"))).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@lid")))
     rows = table(spark, d, "events").select(F.col("event_id").alias("k"), fx.phone_argument(raw).alias("p"))
     return rows.select("k", F.col("p.jid").alias("jid"), F.when(F.col("p.error").isNotNull(), "x").alias("bad"))
+
+
+@query("SELECT id, ts, type FROM msg WHERE contains(lower(text), 'seen') OR (source_rowid % 4 = 0 AND type = 'view') ORDER BY ts DESC, id LIMIT 50", True)
+def search_captions(spark, d):
+    return q.search_messages(_full(spark, d), "SEEN").select("id", "ts", "type")
+
+
+#: A stretch of the events' time, bounds included, by whole days of the data.
+_BOUNDS = "(SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY AS a, date_trunc('day', min(ts)) + INTERVAL 9 DAY AS z FROM events)"
+
+
+def _bounds(spark, d):
+    row = table(spark, d, "events").agg(F.expr("date_trunc('day', min(ts)) + interval 2 days").alias("a"), F.expr("date_trunc('day', min(ts)) + interval 9 days").alias("z")).first()
+    return {"since": row.a, "until": row.z}
+
+
+@query(f"SELECT id, ts, type FROM msg, {_BOUNDS} WHERE ts >= a AND ts <= z AND contains(lower(text), '7') ORDER BY ts DESC, id LIMIT 50", True)
+def search_between(spark, d):
+    return q.search_messages(archive(spark, d), "7", **_bounds(spark, d)).select("id", "ts", "type")
+
+
+@query(f"""SELECT ts, text, type, m.chat_jid, sender_jid FROM msg m, {_BOUNDS} WHERE ts >= a AND ts <= z AND sender_jid IN (SELECT phone_jid FROM contacts WHERE contains(lower(name), '0000') UNION SELECT lid_jid FROM links WHERE phone_jid IN (SELECT phone_jid FROM contacts WHERE contains(lower(name), '0000')))
+ORDER BY ts DESC, source_rowid DESC LIMIT 50""", True)
+def timeline_between(spark, d):
+    return q.timeline_for_member(archive(spark, d), "0000", 50, **_bounds(spark, d)).select("ts", "text", "type", "chat_jid", "sender_jid")
+
+
+@query(f"SELECT jid, coalesce(n, 0) AS message_count, last_ts FROM chats JOIN (SELECT chat_jid, count(*) AS n, max(ts) AS last_ts FROM msg GROUP BY 1) ON chat_jid = jid, {_BOUNDS} WHERE last_ts >= a ORDER BY last_ts DESC, jid LIMIT 100", True)
+def chats_since(spark, d):
+    return q.list_chats(archive(spark, d), since=_bounds(spark, d)["since"], names=False).select("jid", "message_count", "last_ts")
+
+
+@query(f""", nm AS ({NAMES}), past AS (SELECT sender_jid, ts FROM msg WHERE chat_jid = '5@g.us' AND source_rowid % 5 = 0 ORDER BY ts DESC, sender_jid LIMIT 200)
+SELECT sender_jid AS jid, nm.name AS name, CASE max(source_rowid) % 3 WHEN 0 THEN 'member' WHEN 1 THEN 'admin' ELSE 'superadmin' END AS role, min(ts) AS joined_ts FROM msg JOIN nm ON nm.jid = sender_jid WHERE chat_jid = '5@g.us' GROUP BY 1, 2
+UNION ALL SELECT sender_jid, nm.name, 'left', ts FROM past JOIN nm ON nm.jid = sender_jid""", True)
+def members_with_past(spark, d):
+    return q.members_for(_full(spark, d), "5@g.us", include_history=True).select("jid", "name", "role", "joined_ts")
+
+
+@query(f"SELECT jid, name FROM ({NAMES}) WHERE jid IN (SELECT min(sender_jid) FROM msg WHERE sender_jid LIKE '%@lid' UNION SELECT max(sender_jid) FROM msg WHERE sender_jid LIKE '%@lid' UNION SELECT min(sender_jid) FROM msg WHERE sender_jid LIKE '%@s.whatsapp.net')", True)
+def explained_members(spark, d):
+    arch = _full(spark, d)
+    ends = arch["messages"].agg(*(F.expr(f"{f}(sender_jid) filter (where sender_jid like '%{s}')") for f, s in (("min", "@lid"), ("max", "@lid"), ("min", "@s.whatsapp.net")))).first()
+    return spark.createDataFrame([(jid, q.explain_member(arch, "0@g.us", jid)[0]) for jid in ends], "jid string, name string")
+
+
+@query("""SELECT 'team 7.' AS reference, min(jid) AS jid FROM (SELECT DISTINCT CAST(event_id % 20 AS VARCHAR) || '@g.us' AS jid FROM events WHERE event_id % 3 <> 0) WHERE 'Team ' || replace(jid, '@g.us', '.') = 'Team 7.'
+UNION ALL SELECT name, phone_jid FROM (SELECT c.name, c.phone_jid FROM contacts c WHERE phone_jid IN (SELECT '4179' || lpad(CAST(user_id % 100 AS VARCHAR), 7, '0') || '@s.whatsapp.net' FROM events WHERE event_id % 3 = 0) ORDER BY name LIMIT 1)
+UNION ALL SELECT DISTINCT '079 0000099', '41790000099@s.whatsapp.net' FROM events WHERE event_id % 3 = 0 AND user_id % 100 = 99
+UNION ALL SELECT 'x@g.us', 'x@g.us' UNION ALL SELECT 'nobody at all', NULL""", True)
+def resolve_chats(spark, d):
+    """References of every kind, over an archive with groups and chats of two."""
+    arch, ev = archive(spark, d), table(spark, d, "events")
+    two = phone(F.col("user_id") % 100)
+    arch["messages"] = ev.select(F.when(F.col("event_id") % 3 == 0, two).otherwise(F.concat((F.col("event_id") % 20).cast("string"), F.lit("@g.us"))).alias("chat_jid"), "ts")
+    ids = arch["messages"].select(F.col("chat_jid").alias("jid")).distinct()
+    arch["chats"] = ids.withColumn("subject", F.when(F.col("jid").endswith("@g.us"), F.concat(F.lit("Team "), fx.jid_user("jid"), F.lit("."))))
+    name = arch["contacts"].join(ids, F.col("phone_jid") == F.col("jid"), "left_semi").agg(F.min("name")).first()[0]
+
+    def found(reference):
+        try:
+            return q.resolve_chat(arch, reference)
+        except LookupError:
+            return None
+
+    return spark.createDataFrame([(r, found(r)) for r in ("team 7.", name, "079 0000099", "x@g.us", "nobody at all")], "reference string, jid string")
+
+
+@query("SELECT '4179' || lpad(CAST(c_custkey % 50 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS phone_jid, arg_max(c_name, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS name FROM customer GROUP BY 1")
+def vcard_order(spark, d):
+    """A file for each nation, and many cards for a number: the last one counts."""
+    from parley.sources.text import card_contacts, parse_vcards
+
+    c = table(spark, d, "customer")
+    card = F.concat(F.lit("BEGIN:VCARD\r\nFN:"), "c_name", F.lit("\r\nTEL:+41 79 "), F.lpad((F.col("c_custkey") % 50).cast("string"), 7, "0"), F.lit("\r\nEND:VCARD\r\n"))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("card")))), lambda x: x["card"])
+    files = c.groupBy(F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("path")).agg(F.array_join(cards, "").alias("value"))
+    none = spark.createDataFrame([], "phone_jid string, name string, source string, updated_at timestamp_ntz")
+    return merge.add_contacts(none, card_contacts(parse_vcards(files)), run_ts(), "vcard", ["place"])[0].select("phone_jid", "name")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '[' || CASE WHEN event_type <> 'error' THEN 'image/jpeg ' ELSE '' END || 'Media/' || event_type || '/' || event_id || ']' END AS tag FROM events")
+def media_tags(spark, d):
+    ev = table(spark, d, "events")
+    path = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Media/"), "event_type", F.lit("/"), F.col("event_id").cast("string")))
+    return ev.select("event_id", fx.media_tag(F.lit(None).cast("string"), path, F.when(F.col("event_type") != "error", "image/jpeg")).alias("tag"))

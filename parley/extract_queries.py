@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as fx
 from parley.operators import extract as ex
 from parley.plans.driver_views import phone, table
+from parley.plans.run import run, summary
+from parley.sources.store import Store
 
 QUERIES = {}
+RUN = datetime(2025, 1, 1)
 SQL: dict[str, str] = {}
 
 
@@ -31,7 +38,10 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
     ev = table(spark, sf_dir, "events").withColumn("e", F.col("event_id").cast("long")).withColumn("u", F.col("user_id").cast("long"))
     e, u = F.col("e"), F.col("u")
     raw = F.when(u < 100, phone(u)).otherwise(F.concat(u.cast("string"), F.lit("@lid")))
-    groups = spark.range(25).select((F.col("id") + 1_000_000).alias("_id"), F.concat(F.col("id").cast("string"), F.lit("@g.us")).alias("raw_string"))
+    # the chats of the events; the last one's identifier is not in the source
+    each = ev.groupBy((e % 25).alias("c")).agg(F.min("e").alias("first"), F.max("e").alias("last"), F.count("*").alias("n"))
+    c, known = F.col("c"), F.when(F.col("c") != 24, F.col("c") + 1_000_000)
+    groups = each.select((c + 1_000_000).alias("_id"), F.concat(c.cast("string"), F.lit("@g.us")).alias("raw_string"))
     tables: dict[str, DataFrame] = {
         "jid": ev.select((u + 1).alias("_id"), raw.alias("raw_string")).distinct().unionByName(groups),
         "message": ev.select(e.alias("_id"), (e % 25).alias("chat_row_id"), (u % 10 == 0).cast("long").alias("from_me"), F.when(e % 13 != 0, F.concat(F.lit("k"), (e % 5000).cast("string"))).alias("key_id"), (u + 1).alias("sender_jid_row_id"), (e * 1000).alias("timestamp"), (e % 100).alias("message_type"), F.col("props").alias("text_data")),
@@ -39,7 +49,7 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
         "message_add_on": ev.where(e % 3 == 0).select(e.alias("_id"), F.expr("e - e % 5").alias("parent_message_row_id"), (u + 1).alias("sender_jid_row_id"), F.concat(F.lit("r"), (e % 40).cast("string")).alias("key_id"), F.lit(0).alias("from_me")),
         "message_add_on_reaction": ev.where(e % 6 == 0).select(e.alias("message_add_on_row_id"), F.col("event_type").alias("reaction"), (e * 1000).alias("sender_timestamp")),
         "message_poll": ev.where(e % 5 == 0).select(e.alias("message_row_id"), F.lit(1).alias("selectable_options_count")),
-        "chat": spark.range(24).select(F.col("id").alias("_id"), (F.col("id") + 1_000_000).alias("jid_row_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("subject"), (F.col("id") * 1000).alias("created_timestamp"), (F.col("id") % 2).alias("archived")),
+        "chat": each.select(c.alias("_id"), known.alias("jid_row_id"), F.concat(F.lit("s"), c.cast("string")).alias("subject"), (F.col("first") * 1000).alias("created_timestamp"), (F.col("last") % 2).alias("archived")),
         "jid_map": ev.where("u >= 100").select((u + 1).alias("lid_row_id"), (u - 99).alias("jid_row_id"), e.alias("sort_id")),
         "group_participant_user": ev.select(e.alias("_id"), (1_000_000 + e % 25).alias("group_jid_row_id"), (u + 1).alias("user_jid_row_id"), (e % 3).alias("rank"), (e * 1000).alias("add_timestamp")),
         "message_system": ev.where(e % 9 == 0).select(e.alias("message_row_id"), (e % 110).alias("action_type")),
@@ -47,7 +57,7 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
         "call_log": ev.where(e % 7 == 0).select(e.alias("_id"), F.concat(F.lit("c"), (e % 1000).cast("string")).alias("call_id"), (u + 1).alias("jid_row_id"), (e * 1000).alias("timestamp"), (e % 2).alias("video_call")),
         "call_log_participant_v2": ev.where(e % 14 == 0).select(e.alias("call_log_row_id"), (u + 1).alias("jid_row_id"), (e % 6).alias("call_result")),
         "status_message_info": ev.where(e % 8 == 0).select(e.alias("message_row_id"), (e % 4).alias("audience_type")),
-        "newsletter": spark.range(24).select(F.col("id").alias("chat_row_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")),
+        "newsletter": each.select(c.alias("chat_row_id"), F.concat(F.lit("n"), F.col("n").cast("string")).alias("name"), F.col("n").alias("subscribers_count")),
         "newsletter_message_reaction": ev.where(e % 12 == 0).select(e.alias("_id"), e.alias("message_row_id"), F.col("event_type").alias("reaction"), u.alias("reaction_count")),
         "audio_data": ev.where(e % 16 == 0).select(e.alias("message_row_id"), F.when(e % 32 == 0, F.encode("props", "utf-8")).alias("waveform"), (e % 3).alias("transcription_status")),
         "transcription_segment": ev.select((e * 2).alias("_id"), F.expr("e - e % 5").alias("message_row_id"), (e % 4).alias("substring_start"), (e % 3).alias("substring_length")),
@@ -57,7 +67,7 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
         "ai_rich_response_message_core_info": ev.where(e % 30 == 0).select(e.alias("message_row_id"), (e % 4).alias("ai_rich_response_message_type")),
         "message_template": ev.where(e % 14 == 0).select(e.alias("message_row_id"), F.col("event_type").alias("content_text_data")),
         "message_template_button": ev.where(e % 14 < 3).select(e.alias("_id"), F.expr("e - e % 14").alias("message_row_id"), F.col("event_type").alias("text_data")),
-        "community_chat": spark.range(24).select(F.col("id").alias("chat_row_id"), (F.col("id") % 2).alias("closed")),
+        "community_chat": each.select(c.alias("chat_row_id"), (F.col("first") % 2).alias("closed")),
         "parent_group_participants": ev.select((1_000_000 + e % 25).alias("parent_group_jid_row_id"), (u + 1).alias("user_jid_row_id")).distinct(),
         "message_media": ev.where(e % 4 == 0).select(e.alias("message_row_id"), F.concat(F.lit("Media/"), e.cast("string")).alias("file_path"), F.lit("image/jpeg").alias("mime_type")),
         "message_mentions": ev.where(e % 6 == 0).select(e.alias("message_row_id"), (u + 1).alias("jid_row_id"), F.col("event_type").alias("display_name")),
@@ -105,7 +115,7 @@ def extract_skipped(spark, d):
     return ex.skipped(source(spark, d))
 
 
-@query(f"WITH {_M} SELECT DISTINCT who AS jid, CASE WHEN who LIKE '%@lid' THEN 'lid' ELSE 'user' END AS kind FROM m UNION ALL SELECT CAST(range AS VARCHAR) || '@g.us', 'group' FROM range(25)")
+@query(f"WITH {_M} SELECT DISTINCT who AS jid, CASE WHEN who LIKE '%@lid' THEN 'lid' ELSE 'user' END AS kind FROM m UNION ALL SELECT DISTINCT CAST(e % 25 AS VARCHAR) || '@g.us', 'group' FROM m")
 def extract_identities(spark, d):
     return ex.identities(source(spark, d), {}, run_ts())["identities"].select("jid", "kind")
 
@@ -115,7 +125,7 @@ def extract_identity_links(spark, d):
     return ex.identities(source(spark, d), {}, run_ts())["identity_links"].select("lid_jid", "phone_jid")
 
 
-@query("SELECT CAST(range AS VARCHAR) || '@g.us' AS jid, 's' || range AS subject, nullif(range * 1000, 0) AS created_ms, CAST(range % 2 AS INT) AS archived FROM range(24)")
+@query(f"WITH {_M} SELECT chat AS jid, 's' || replace(chat, '@g.us', '') AS subject, nullif(min(e) * 1000, 0) AS created_ms, CAST(max(e) % 2 AS INT) AS archived FROM m WHERE chat IS NOT NULL GROUP BY chat")
 def extract_chats(spark, d):
     return ex.chats(source(spark, d), {}, run_ts())["chats"].select("jid", "subject", F.unix_millis("created_ts").alias("created_ms"), "archived")
 
@@ -147,9 +157,9 @@ def extract_status_posts(spark, d):
     return ex.status_posts(source(spark, d), {}, run_ts())["status_posts"].select("message_id", "poster_jid", "audience_type")
 
 
-@query("SELECT CAST(range AS VARCHAR) || '@g.us' AS chat_jid, 'n' || range AS name FROM range(24)")
+@query(f"WITH {_M} SELECT chat AS chat_jid, 'n' || count(*) AS name, count(*) AS subscribers_count FROM m WHERE chat IS NOT NULL GROUP BY chat")
 def extract_newsletters(spark, d):
-    return ex.newsletter(source(spark, d), {}, run_ts())["newsletter_metadata"].select("chat_jid", "name")
+    return ex.newsletter(source(spark, d), {}, run_ts())["newsletter_metadata"].select("chat_jid", "name", "subscribers_count")
 
 
 @query(f"WITH {_M} SELECT id AS message_id, event_type AS emoji, CAST(arg_max(u, e) AS BIGINT) AS count FROM k JOIN ev USING (e) WHERE e % 12 = 0 GROUP BY 1, 2")
@@ -187,7 +197,7 @@ def extract_templates(spark, d):
     return rows.select("message_id", F.get_json_object("raw_json", "$.content").alias("content"), F.size(buttons).alias("buttons"), F.array_join(buttons["text"], ",").alias("labels"))
 
 
-@query(f"WITH {_M} SELECT CAST(range AS VARCHAR) || '@g.us' AS parent_jid, range % 2 AS closed, (SELECT count(DISTINCT who) FROM m WHERE e % 25 = range) AS participants FROM range(24)")
+@query(f"WITH {_M} SELECT chat AS parent_jid, min(e) % 2 AS closed, count(DISTINCT who) AS participants FROM m WHERE chat IS NOT NULL GROUP BY chat")
 def extract_communities(spark, d):
     rows = ex.communities(source(spark, d), {}, run_ts())["communities"]
     people = F.from_json(F.get_json_object("raw_json", "$.participants"), "array<string>")
@@ -222,21 +232,99 @@ def receipts_for(spark, d):
     return q.receipts_for(arch, src.tables, one).select("recipient_jid", "status", F.unix_millis("ts").alias("ts_ms"))
 
 
+def _store(spark: SparkSession) -> Store:
+    """A new archive in the folder that all executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return Store(spark, f"{where or tempfile.mkdtemp(prefix='parley-')}/parley-store-{uuid.uuid4().hex}")
+
+
 @query(f"WITH {_M}, a AS (SELECT id, max(e) AS e FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0 GROUP BY id) SELECT count(*) AS messages, CAST(2 AS BIGINT) AS version, CAST((SELECT max(e) FROM ev) AS VARCHAR) AS last_rowid FROM a")
 def stored_versions(spark, d):
     """Two runs over a stored archive: the second one starts at the stored row id and changes nothing."""
-    import uuid
-
-    from parley.sources.store import Store
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/parley"
-    store = Store(spark, f"{base}/parley-store-{uuid.uuid4().hex}")
-    full = source(spark, d)
+    store, full = _store(spark), source(spark, d)
     # messages only: the other tables have queries of their own
     src = ex.Source(spark, {t: full.tables[t] for t in ("jid", "chat", "message")})
     for _ in range(2):
-        current, state = store.open(), store.state()
-        tables = ex.messages(src, current, run_ts(), int(state.get("last_message_rowid", 0)))
-        newest = src.messages().agg(F.max("rowid")).first()[0]
-        store.commit({"messages": tables["messages"]}, {"last_message_rowid": str(newest)})
+        run(store, src, RUN, extractors=[ex.messages])
     return store.open()["messages"].agg(F.count("*").alias("messages")).select("messages", F.lit(store.version()).cast("long").alias("version"), F.lit(store.state()["last_message_rowid"]).alias("last_rowid"))
+
+
+@query(f"""WITH {_M}, n AS (SELECT * FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0),
+media AS (SELECT id, 'media' AS kind, 'Media/' || e AS value FROM n WHERE e % 4 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY e DESC) = 1),
+mention AS (SELECT DISTINCT id, 'mention' AS kind, who AS value FROM n WHERE e % 6 = 0)
+SELECT id AS message_id, kind, value FROM media UNION ALL SELECT * FROM mention""")
+def late_extension_rows(spark, d):
+    """Media and mentions that reach the source after their messages were stored, or change."""
+    store, full = _store(spark), source(spark, d)
+    tables = {t: full.tables[t] for t in ("jid", "chat", "message", "message_media", "message_mentions")}
+    media, mentions = tables["message_media"], tables["message_mentions"]
+    early = tables | {"message_media": media.where("message_row_id % 8 = 0").withColumn("file_path", F.concat("file_path", F.lit(".part"))), "message_mentions": mentions.where("message_row_id % 12 = 0")}
+    run(store, ex.Source(spark, early), RUN, extractors=[ex.messages])
+    run(store, ex.Source(spark, tables), RUN, extractors=[ex.messages], look_back=None)
+    arch = store.open()
+    own = arch["message_media"].select("message_id", F.lit("media").alias("kind"), F.col("file_path").alias("value"))
+    return own.unionByName(arch["message_mentions"].select("message_id", F.lit("mention").alias("kind"), F.col("mentioned_jid").alias("value")).distinct())
+
+
+@query(f"""WITH {_M}, good AS (SELECT * FROM k WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0),
+r AS (SELECT x.e, p.chat, p.key FROM ev x JOIN m p ON p.e = x.e - x.e % 5 WHERE x.e % 6 = 0)
+SELECT 'messages' AS name, (SELECT count(*) FROM m WHERE e > 0) AS read, count(*) AS attempts, count(DISTINCT id) AS inserts, (SELECT count(*) FROM m WHERE e > 0) - count(*) AS skipped FROM good
+UNION ALL SELECT 'reactions', (SELECT count(*) FROM ev WHERE e % 6 = 0), count(*) FILTER (chat IS NOT NULL AND key IS NOT NULL), count(DISTINCT (chat, key, e % 40)) FILTER (chat IS NOT NULL AND key IS NOT NULL), (SELECT count(*) FROM ev WHERE e % 6 = 0) - count(*) FILTER (chat IS NOT NULL AND key IS NOT NULL) FROM r
+UNION ALL SELECT 'edits', count(*), count(*) FILTER (key IS NOT NULL AND e % 2 = 0), count(DISTINCT (coalesce(chat, 'unknown'), me, key, e)) FILTER (key IS NOT NULL AND e % 2 = 0), count(*) FILTER (key IS NULL OR e % 2 <> 0) FROM m WHERE e % 11 = 0
+UNION ALL SELECT 'calls', count(*), count(*), count(DISTINCT e % 1000), 0 FROM m WHERE e % 7 = 0
+UNION ALL SELECT 'newsletter', count(DISTINCT e % 25), count(DISTINCT e % 25) FILTER (chat IS NOT NULL), count(DISTINCT chat), count(DISTINCT e % 25) FILTER (chat IS NULL) FROM m""")
+def run_summary(spark, d):
+    """What the summary of a run counts: attempts are rows offered, inserts rows that were new."""
+    store, full = _store(spark), source(spark, d)
+    tables = ("jid", "chat", "message", "message_add_on", "message_add_on_reaction", "message_edit_info", "call_log", "newsletter")
+    run(store, ex.Source(spark, {t: full.tables[t] for t in tables}), RUN, extractors=[ex.messages, ex.reactions, ex.edits, ex.calls, ex.newsletter])
+    return summary(store).where("read is not null").select("name", "read", "attempts", "inserts", "skipped")
+
+
+def status_source(spark: SparkSession, sf_dir: str) -> ex.Source:
+    """The events again, every eighth in the chat of statuses."""
+    src = source(spark, sf_dir)
+    t = src.tables
+    one = lambda ddl, *row: spark.createDataFrame([row], ddl)
+    return ex.Source(spark, t | {
+        "jid": t["jid"].unionByName(one("_id long, raw_string string", 2_000_000, ex.STATUS_CHAT)),
+        "chat": t["chat"].unionByName(one("_id long, jid_row_id long", 25, 2_000_000), allowMissingColumns=True),
+        "message": t["message"].withColumn("chat_row_id", F.when(F.col("_id") % 8 == 0, 25).otherwise(F.col("chat_row_id"))),
+    })
+
+
+_OWN = f"{_M}, own AS (SELECT *, 'status@broadcast:1:' || key AS status_id FROM m WHERE e % 8 = 0 AND me = 1 AND key IS NOT NULL)"
+
+
+@query(f"WITH {_OWN} SELECT status_id AS id, 'own' AS kind, arg_max(who, e) AS sender_jid, arg_max(CASE e % 100 {_TYPES} ELSE 'unknown_' || CAST(e % 100 AS VARCHAR) END, e) AS type, nullif(max(e) * 1000, 0) AS ts_ms, arg_max(props, e) AS text, arg_max(e % 4, e) AS audience_type FROM own GROUP BY 1")
+def extract_own_statuses(spark, d):
+    rows = ex.status_archive(status_source(spark, d), {}, run_ts())["status_archive"]
+    return rows.select("id", "kind", "sender_jid", "type", F.unix_millis("ts").alias("ts_ms"), "text", "audience_type")
+
+
+@query(f"WITH {_OWN} SELECT status_id, 'Media/' || max(e) AS file_path, 'image/jpeg' AS mime FROM own GROUP BY 1")
+def extract_own_status_media(spark, d):
+    return ex.status_archive(status_source(spark, d), {}, run_ts())["status_archive_media"].select("status_id", "file_path", "mime")
+
+
+@query(f"WITH {_OWN} SELECT status_id, v.who AS viewer_jid, nullif(max(v.e) * 1000, 0) AS received_ms, CASE WHEN max(v.e) % 2 = 0 THEN max(v.e) * 1000 + 7 END AS last_read, nullif(max(v.e), 0) AS last FROM own JOIN m v ON v.e - v.e % 50 = own.e GROUP BY 1, 2")
+def extract_own_status_views(spark, d):
+    rows = ex.status_archive(status_source(spark, d), {}, run_ts())["status_archive_views"]
+    return rows.select("status_id", "viewer_jid", F.unix_millis("received_ts").alias("received_ms"), F.unix_millis("read_ts").alias("last_read"), (F.unix_millis("received_ts") / 1000).cast("long").alias("last"))
+
+
+@query(f"""WITH {_M}, s AS (SELECT *, 'status_recv:' || who || ':' || CASE WHEN e % 10 <> 0 THEN 'u' || (e % 4000) ELSE '?' END AS id FROM m)
+SELECT id, 'received' AS kind, arg_max(who, e) AS sender_jid, arg_max(CAST(e % 25 AS VARCHAR) || '@g.us', e) AS chat_jid, arg_max(CASE e % 100 {_TYPES} ELSE 'unknown_' || CAST(e % 100 AS VARCHAR) END, e) AS type, max(e) AS last, arg_max(props, e) AS text, arg_max(e % 2, e) AS is_archived FROM s GROUP BY id""")
+def extract_received_statuses(spark, d):
+    """The events as a backup of statuses."""
+    ev = table(spark, d, "events").withColumn("e", F.col("event_id").cast("long")).withColumn("u", F.col("user_id").cast("long"))
+    e, u = F.col("e"), F.col("u")
+    who = F.when(u < 100, phone(u)).otherwise(F.concat(u.cast("string"), F.lit("@lid")))
+    backup = ex.Source(spark, {
+        "status": ev.select(e.alias("row_id"), (e % 25).alias("status_info_row_id"), F.when(e % 10 != 0, F.concat(F.lit("u"), (e % 4000).cast("string"))).alias("uuid"), who.alias("sender_user_jid"), (e % 100).alias("type"), (e * 1000).alias("timestamp"), F.col("props").alias("text_data"), (e % 2).alias("is_archived")),
+        "status_info": ev.select((e % 25).alias("row_id"), F.concat((e % 25).cast("string"), F.lit("@g.us")).alias("chat_jid")).distinct(),
+    })
+    rows = ex.received_statuses(backup, {}, run_ts())["status_archive"]
+    return rows.select("id", "kind", "sender_jid", "chat_jid", "type", F.coalesce((F.unix_millis("ts") / 1000).cast("long"), F.lit(0)).alias("last"), "text", "is_archived")

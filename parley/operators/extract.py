@@ -261,12 +261,12 @@ def _add_ons(source: Source) -> DataFrame:
     """Reactions and votes with the message they belong to."""
     rows = source.read("message_add_on", "_id long, parent_message_row_id long, sender_jid_row_id long, key_id string, from_me long").withColumnsRenamed({"key_id": "add_on_key", "from_me": "add_on_from_me"})
     rows = source.jid_of(rows, "sender_jid_row_id", "who")
-    parents = source.messages().select(F.col("rowid").alias("parent_message_row_id"), F.col("message_id").alias("parent_id"), F.col("chat_jid").alias("parent_chat_jid"), F.col("key_id").alias("parent_key_id"))
+    parents = source.messages().select(F.lit(True).alias("parent_found"), F.col("rowid").alias("parent_message_row_id"), F.col("message_id").alias("parent_id"), F.col("chat_jid").alias("parent_chat_jid"), F.col("key_id").alias("parent_key_id"))
     return rows.join(parents, "parent_message_row_id", "left")
 
 
 def _parentless() -> dict[str, Column]:
-    return {"no message": F.col("parent_id").isNull() & F.col("parent_key_id").isNull(), "no chat": _blank("parent_chat_jid"), "no key": F.col("parent_key_id").isNull()}
+    return {"no message": F.col("parent_found").isNull(), "no chat": _blank("parent_chat_jid"), "no key": F.col("parent_key_id").isNull()}
 
 
 def reactions(source: Source, current: Tables, run_ts: Column) -> Tables:
