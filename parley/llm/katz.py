@@ -5,7 +5,7 @@ over all training texts, and no word or pair is left out:
 
 * ``unigrams``: every word with its count, in a table partitioned by hash bucket;
 * ``bigrams``: the count of every (history, event) pair, in a table partitioned by
-  history (a frequent history is divided by event into SUB buckets).
+  history (a frequent history is divided by event into as many buckets as its count fills).
 
 Both levels are Good-Turing discounted (counts to 5; absolute discounting where
 the counts of counts do not allow it), and each history's backoff weight is
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from parley.llm import textkernel as tk
 from parley.llm.common import BLOBS, blob_batch, materialize, pack, portions, row_slices, text_column, unpack, unpack_all
 
-CACHE, PAIR_CACHE, TOP_COUNT, SUB, PARTS = 1 << 19, 1 << 19, 5, 8, 64
+CACHE, PAIR_CACHE, TOP_COUNT, PARTS = 1 << 19, 1 << 19, 5, 64
 #: Share of the Witten-Bell estimate that every history leaves to unseen events at least.
 FLOOR = 0.25
 END = int(tk.mix(np.array([20_24], tk.U))[0])
@@ -179,6 +179,12 @@ def weights(c: np.ndarray, cut: np.ndarray, seen: np.ndarray, types: np.ndarray)
     return alpha, np.where(open_, kept, c) / np.maximum(cut, 1e-300)
 
 
+def shares_of(counts: np.ndarray, total: int, buckets: int) -> np.ndarray:
+    """Buckets over which the pairs of a cached history are spread: about two for each bucket's
+    worth of tokens that it has, so that no bucket holds much more of a hot one than of others."""
+    return np.clip(np.ceil(2.0 * counts * buckets / max(1, total)), 1, buckets).astype(np.int64)
+
+
 def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -232,7 +238,9 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
     order = np.argsort(words)
     words, counts = words[order], top.column("c").to_numpy()[order]
     n_top = len(words) + 1
-    vocab = sc.broadcast((words, np.concatenate([[0], counts]), np.concatenate([[0.0], uni.p(counts)])))
+    texts = counts[words == tk.U(END)]  # a text's beginning is as frequent as its end
+    shares = shares_of(np.concatenate([texts if len(texts) else [0], counts]), uni.total, buckets)
+    vocab = sc.broadcast((words, np.concatenate([[0], counts]), np.concatenate([[0.0], uni.p(counts)]), shares))
 
     def codes_of(h: np.ndarray) -> np.ndarray:
         words = vocab.value[0]
@@ -249,7 +257,8 @@ def train_and_score(docs: DataFrame, learn: F.Column | None = None) -> DataFrame
         return history, event
 
     def pair_bucket(history: np.ndarray, event: np.ndarray) -> np.ndarray:
-        sub = np.where(history < RARE, tk.mix(event) & tk.U(SUB - 1), tk.U(0))
+        share = vocab.value[3][np.where(history < RARE, history, BEGIN).astype(np.int64)].astype(tk.U)
+        sub = np.where(history < RARE, tk.mix(event) % share, tk.U(0))
         return ((tk.mix(tk.mix(history) + sub) >> tk.U(33)) % tk.U(buckets)).astype(np.int64)
 
     # 2. exact bigram counts

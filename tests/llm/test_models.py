@@ -87,6 +87,16 @@ def least_squares(a, b):
     return x
 
 
+def test_hot_histories_are_spread_by_their_counts():
+    """At any size, no bucket gets more of one history than about its share of all pairs."""
+    for buckets in (64, 5000):
+        counts = np.array([10**9 // 3, 10**9 // 20, 5, 0])
+        shares = katz.shares_of(counts, 10**9, buckets)
+        assert (counts / shares <= 10**9 / buckets).all() and shares.max() <= buckets and shares[2] == shares[3] == 1
+        assert shares[0] >= 2 * buckets // 3
+    assert katz.shares_of(np.array([0]), 0, 64).tolist() == [1]
+
+
 # the last three kinds of posteriors often cannot meet their targets, or only just
 @pytest.mark.parametrize("kind, n, seed", [([2, 0.5, 0.3], 400, 5), ([1, 1, 1], 200, 1), ([30, 1, 1], 12, 2), ([0.1, 0.1, 0.1], 7, 3), ([5, 5, 5], 9, 4), ([3, 9, 9], 40, 6)])
 def test_rates_are_the_least_squares_optimum(spark, kind, n, seed):
