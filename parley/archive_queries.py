@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -706,3 +708,114 @@ def media_tags(spark, d):
     ev = table(spark, d, "events")
     path = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Media/"), "event_type", F.lit("/"), F.col("event_id").cast("string")))
     return ev.select("event_id", fx.media_tag(F.lit(None).cast("string"), path, F.when(F.col("event_type") != "error", "image/jpeg")).alias("tag"))
+
+
+@query(f", top AS (SELECT jid, max(ts) AS last_ts, count(ts) AS message_count FROM chats LEFT JOIN msg ON chat_jid = jid GROUP BY 1 ORDER BY last_ts DESC NULLS LAST, jid LIMIT 12) SELECT jid, message_count, '<group ' || replace(jid, '@g.us', '') || '>' AS display_name FROM top", True)
+def chat_list_named(spark, d):
+    return q.list_chats(archive(spark, d), limit=12).select("jid", "message_count", "display_name")
+
+
+#: Calling codes by customer, and what a number of each looks like.
+_CODES = {
+    "49": ("lpad(k, 9, '1')", "'+49 ' || substr(r, 1, 3) || ' ' || substr(r, 4)"), "1": ("lpad(k, 10, '2')", "'+1 ' || substr(r, 1, 3) || ' ' || substr(r, 4, 3) || ' ' || substr(r, 7)"),
+    "44": ("lpad(k, 10, '7')", "'+44 ' || substr(r, 1, 1) || ' ' || substr(r, 2, 3) || ' ' || substr(r, 5, 3) || ' ' || substr(r, 8)"), "352": ("lpad(k, 8, '6')", "'+352 ' || substr(r, 1, 2) || ' ' || substr(r, 3, 3) || ' ' || substr(r, 6)"),
+    "7": ("lpad(k, 10, '9')", "'+7 ' || substr(r, 1, 1) || ' ' || substr(r, 2, 3) || ' ' || substr(r, 5, 3) || ' ' || substr(r, 8)"), "0": ("lpad(k, 9, '5')", "'+0' || r"),
+}
+
+
+@query("WITH c AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer) " + " UNION ALL ".join(f"SELECT c_custkey, '{'' if cc == '0' else cc}' AS code, {look} AS pretty FROM (SELECT c_custkey, {rest} AS r FROM c WHERE c_custkey % 6 = {n})" for n, (cc, (rest, look)) in enumerate(_CODES.items())))
+def pretty_phone_codes(spark, d):
+    c = table(spark, d, "customer").withColumn("k", F.col("c_custkey").cast("string"))
+    digits = F.coalesce(*(F.when(F.col("c_custkey") % 6 == n, F.concat(F.lit(cc), F.expr(rest))) for n, (cc, (rest, _)) in enumerate(_CODES.items())))
+    return c.select("c_custkey", fx.country_code(digits).alias("code"), fx.pretty_phone(F.concat(digits, F.lit(fx.PHONE_SERVER))).alias("pretty"))
+
+
+@query(f"SELECT event_id AS k, CAST(to_json(struct_pack(event_id := event_id, ts := {_ISO.format('ts')}, event_type := CASE WHEN event_type <> 'error' THEN event_type END, props := props)) AS VARCHAR) AS value FROM events")
+def json_lines(spark, d):
+    from parley.sources.sinks import json_lines as lines
+
+    rows = table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type"), "props")
+    return lines(rows).select(F.get_json_object("value", "$.event_id").cast("long").alias("k"), "value")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CASE WHEN event_type <> 'error' THEN event_type ELSE '' END AS event_type FROM events")
+def table_rows(spark, d):
+    from parley.sources.sinks import table_rows as shown
+
+    return shown(table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_type") != "error", F.col("event_type")).alias("event_type")))
+
+
+@query(f"SELECT {_PRETTY.format('phone_jid')} AS phone, '' AS name FROM contacts", True)
+def contact_starter(spark, d):
+    from parley.sources.text import contact_starter as starter
+
+    return starter(archive(spark, d)["contacts"])
+
+
+def _scratch(spark) -> str:
+    """A new place in the folder that all executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{where or tempfile.mkdtemp(prefix='parley-')}/parley-check-{uuid.uuid4().hex}"
+
+
+_PIN = "SELECT *, CASE WHEN c_custkey % 7 = 0 THEN 'empty phone' WHEN c_custkey % 13 = 0 THEN 'empty name' WHEN c_custkey % 11 = 0 THEN 'not a phone number' END AS reason, row_number() OVER (ORDER BY c_custkey) + 1 AS line FROM customer"
+
+
+@query(f"SELECT CASE WHEN reason IS NULL THEN '4179' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '@s.whatsapp.net' END AS phone_jid, CASE WHEN reason IS NULL THEN 'B, \"' || c_name || '\"' END AS name, CASE WHEN reason IS NOT NULL THEN line END AS line, reason FROM ({_PIN})")
+def csv_pins(spark, d):
+    """Customers as a CSV of pins, some of them unusable."""
+    from parley.sources.text import read_pins
+
+    c, at = table(spark, d, "customer"), _scratch(spark)
+    k = F.col("c_custkey")
+    number = F.when(k % 7 == 0, "").when(k % 11 == 0, "abc").otherwise(F.concat(F.lit("079 "), F.lpad(k.cast("string"), 7, "0")))
+    name = F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit('"B, ""'), "c_name", F.lit('"""')))
+    rows = c.select(k, F.concat(number, F.lit(","), name).alias("value"))
+    head = spark.createDataFrame([(-1, "Phone,Display Name")], "c_custkey long, value string")
+    head.unionByName(rows.select(k.cast("long").alias("c_custkey"), "value")).orderBy("c_custkey").coalesce(1).select("value").write.text(at)
+    good, bad = read_pins(spark, at)
+    line, reason = F.lit(None).cast("long"), F.lit(None).cast("string")
+    return good.select("phone_jid", "name", line.alias("line"), reason.alias("reason")).unionByName(bad.select(reason.alias("phone_jid"), reason.alias("name"), F.col("line").cast("long").alias("line"), "reason"))
+
+
+@query("SELECT '4179' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS phone_jid, c_name AS name FROM customer WHERE c_custkey % 5 <> 0")
+def contact_list(spark, d):
+    """Customers as contact lists, one for each nation."""
+    from parley.sources.text import read_contact_list
+
+    c, at = table(spark, d, "customer"), _scratch(spark)
+    number = F.when(F.col("c_custkey") % 5 == 0, "x").otherwise(F.concat(F.lit("079 "), F.lpad(F.col("c_custkey").cast("string"), 7, "0")))
+    lists = c.groupBy(F.col("c_nationkey").alias("n")).agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit(" "), "c_name").alias("name"), number.alias("number")))).alias("value"))
+    lists.write.partitionBy("n").text(at)
+    return read_contact_list(spark, at)
+
+
+@query("SELECT phone_jid, name, 'address_book' AS source FROM contacts", True)
+def migrated_contacts(spark, d):
+    """Contacts stored before they had a source, opened with the newest schema."""
+    from parley.sources.store import Store
+
+    at = _scratch(spark)
+    Store(spark, at, {1: lambda tables: tables}).commit({"contacts": archive(spark, d)["contacts"].select("phone_jid", "name")}, {})
+    return Store(spark, at).open()["contacts"]
+
+
+@query("SELECT user_id, event_type, 'history' AS seen FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT user_id, event_type, 'new' FROM events WHERE event_type <> 'click'")
+def append_new(spark, d):
+    ev = table(spark, d, "events").select("user_id", "event_type")
+    return merge.append_new(ev.where("event_type = 'click'").withColumn("seen", F.lit("history")), ev.withColumn("seen", F.lit("new")), ["user_id", "event_type"])
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def first_sightings(spark, d):
+    return merge.first_wins(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(f""", {_ST}, top AS (SELECT st.id FROM st LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE kind = 'own' ORDER BY coalesce(n, 0) DESC, ts DESC, id LIMIT 1)
+SELECT viewer_jid, seen_at FROM (SELECT '4179' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 7, '0') || '@s.whatsapp.net' AS viewer_jid, o_orderdate AS seen_at FROM orders JOIN top ON top.id = 'status@broadcast:1:' || o_custkey) ORDER BY seen_at DESC NULLS LAST, viewer_jid LIMIT 10""", True)
+def latest_viewers(spark, d):
+    """Who saw the most viewed own status last; the order is by an expression."""
+    arch = _status_archive(spark, d)
+    return q.views_for_status(arch, q.resolve_own_status_id(arch, "top")).limit(10).select("viewer_jid", F.coalesce("read_ts", "received_ts").alias("seen_at"))

@@ -72,6 +72,16 @@ def source(spark: SparkSession, sf_dir: str) -> ex.Source:
         "message_media": ev.where(e % 4 == 0).select(e.alias("message_row_id"), F.concat(F.lit("Media/"), e.cast("string")).alias("file_path"), F.lit("image/jpeg").alias("mime_type")),
         "message_mentions": ev.where(e % 6 == 0).select(e.alias("message_row_id"), (u + 1).alias("jid_row_id"), F.col("event_type").alias("display_name")),
         "receipt_user": ev.select(e.alias("_id"), F.expr("e - e % 50").alias("message_row_id"), (u + 1).alias("receipt_user_jid_row_id"), (e * 1000).alias("receipt_timestamp"), F.when(e % 2 == 0, e * 1000 + 7).alias("read_timestamp"), F.lit(None).cast("long").alias("played_timestamp")),
+        "message_quoted": ev.where(e % 7 == 0).select(e.alias("message_row_id"), F.concat(F.lit("q"), e.cast("string")).alias("key_id"), F.col("props").alias("text_data"), (u + 1).alias("sender_jid_row_id")),
+        "message_text": ev.where(e % 10 == 1).select(e.alias("message_row_id"), F.when(e % 20 == 1, "").otherwise(F.concat(F.lit("https://x.org/"), e.cast("string"))).alias("url"), F.col("event_type").alias("page_title")),
+        "message_forwarded": ev.where(e % 9 == 2).select(e.alias("message_row_id"), (e % 5).alias("forward_score")),
+        "message_revoked": ev.where(e % 12 == 5).select(e.alias("message_row_id"), F.when(e % 24 != 5, F.concat(F.lit("k"), e.cast("string"))).alias("revoked_key_id"), (u + 1).alias("admin_jid_row_id"), e.alias("revoke_timestamp")),
+        "message_album": ev.where(e % 15 == 4).select(e.alias("message_row_id"), (e % 6).alias("image_count")),
+        "message_view_once_media": ev.where(e % 16 == 6).select(e.alias("message_row_id"), F.when(e % 32 != 6, e % 3).alias("state")),
+        "message_ephemeral": ev.where(e % 18 == 7).select(e.alias("message_row_id"), e.alias("duration"), (e * 10).alias("expire_timestamp")),
+        "message_location": ev.where(e % 21 == 8).select(e.alias("message_row_id"), (e % 90).cast("double").alias("latitude"), F.col("event_type").alias("place_name")),
+        "message_add_on_poll_vote": ev.where((e % 3 == 0) & (e % 2 == 1)).select(e.alias("message_add_on_row_id"), (e * 1000).alias("sender_timestamp")),
+        "message_add_on_poll_vote_selected_option": ev.where((e % 3 == 0) & (e % 2 == 1)).select(e.alias("message_add_on_row_id"), F.explode(F.expr("array(2 * (e - e % 5 + 1), 2 * (e - e % 5))")).alias("message_poll_option_id")),
         "message_poll_option": ev.where(e % 5 < 3).select((e * 2).alias("_id"), F.expr("e - e % 5").alias("message_row_id"), F.col("event_type").alias("option_name"), u.alias("vote_total")),
     }
     return ex.Source(spark, tables)
@@ -328,3 +338,35 @@ def extract_received_statuses(spark, d):
     })
     rows = ex.received_statuses(backup, {}, run_ts())["status_archive"]
     return rows.select("id", "kind", "sender_jid", "chat_jid", "type", F.coalesce((F.unix_millis("ts") / 1000).cast("long"), F.lit(0)).alias("last"), "text", "is_archived")
+
+
+#: Archive table: which events have a row, those it needs, and what is compared, in SQL and in Spark.
+_EXTENSIONS = {
+    "message_quoted": ("e % 7 = 0", "'q' || e || '|' || who", ("quoted_key_id", "quoted_sender_jid")),
+    "message_link_previews": ("e % 20 = 11", "'https://x.org/' || e", ("url",)),
+    "message_forwarded": ("e % 9 = 2", "CAST(e % 5 AS VARCHAR)", ("forward_score",)),
+    "message_revoked": ("e % 24 = 17", "'k' || e || '|' || who || '|' || e", ("revoked_key_id", "admin_jid", "revoke_ts")),
+    "message_albums": ("e % 15 = 4", "CAST(e % 6 AS VARCHAR)", ("image_count",)),
+    "message_view_once": ("e % 32 = 22", "CAST(e % 3 AS VARCHAR)", ("state",)),
+    "message_ephemeral": ("e % 18 = 7", "e || '|' || e * 10", ("expire_seconds", "ephemeral_setting_ts")),
+    "message_locations": ("e % 21 = 8", "(e % 90) || '.0|' || event_type", ("latitude", "place_name")),
+}
+
+
+@query(f"WITH {_M}, n AS (SELECT k.*, event_type FROM k JOIN ev USING (e) WHERE chat IS NOT NULL AND e % 100 <> 90 AND e > 0) " + " UNION ALL ".join(f"SELECT '{t}' AS part, id AS message_id, {value} AS value FROM n WHERE {where} QUALIFY row_number() OVER (PARTITION BY id ORDER BY e DESC) = 1" for t, (where, value, _) in _EXTENSIONS.items()))
+def extract_extensions(spark, d):
+    """The child tables of one row beside media."""
+    tables, out = ex.messages(source(spark, d), {}, run_ts()), None
+    for name, (_, _, columns) in _EXTENSIONS.items():
+        shown = [(F.unix_millis(c) if c.endswith("_ts") else F.col(c)).cast("string") for c in columns]
+        part = tables[name].select(F.lit(name).alias("part"), "message_id", F.concat_ws("|", *shown).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {_M}, opt AS (SELECT ev.e AS oe, row_number() OVER (PARTITION BY id ORDER BY k.e, ev.e) - 1 AS i FROM ev JOIN k ON k.e = ev.e - ev.e % 5 WHERE ev.e % 5 < 3),
+v AS (SELECT e, e - e % 5 AS p, who FROM m WHERE e % 3 = 0 AND e % 2 = 1), s AS (SELECT v.e, list_sort(list(i)) AS chosen FROM v JOIN opt ON oe IN (v.p, v.p + 1) GROUP BY v.e)
+SELECT k.id AS parent_message_id, v.who AS voter_jid, v.e * 1000 AS sender_ms, coalesce(chosen, []) AS selected_indexes FROM v JOIN k ON k.e = v.p LEFT JOIN s ON s.e = v.e WHERE k.chat IS NOT NULL""")
+def extract_votes(spark, d):
+    rows = ex.polls(source(spark, d), {}, run_ts())["poll_votes"]
+    return rows.select("parent_message_id", "voter_jid", F.unix_millis("sender_ts").alias("sender_ms"), "selected_indexes")
