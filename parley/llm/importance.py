@@ -259,7 +259,10 @@ def draw(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
     return reached.select(columns).unionByName(later.select(columns)).unionByName(scored.where(~pool).withColumn(name, none).select(columns))
 
 
-def resample(docs: DataFrame, target: DataFrame, order: int = 1, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED) -> DataFrame:
-    """All documents with weight, score and rank against the texts of ``target``."""
+def resample(docs: DataFrame, target: DataFrame, order: int = 1, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED, texts: bool = True) -> DataFrame:
+    """All documents with weight, score and rank against the texts of ``target``.
+
+    Ranking moves what the documents carry; without ``texts`` that is all but their text."""
     gain = gains(bucket_counts(docs, order, buckets), bucket_counts(target, order, buckets))
-    return draw(with_scores(docs, gain, order, seed), percent, least_words)
+    scored = with_scores(docs, gain, order, seed)
+    return draw(scored if texts else scored.drop("text"), percent, least_words)

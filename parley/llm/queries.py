@@ -82,7 +82,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), texts=False)
     return out.select("doc_id", *(f"{out.columns[-1]}.{c}" for c in ("n_features", "weight", "score", "rank")))
 
 
