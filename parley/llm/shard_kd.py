@@ -13,6 +13,9 @@ share a handful of small jobs and no row moves. Only the histogram of at most
 (nodes x 1024) rows reaches the driver. Slots are numbered within small chunks of a
 shard whose offsets come from an aggregate, so no task holds a whole shard.
 
+Copies of one text can lie in several shards: equal sizes would not hold otherwise. A text
+of more bytes than a shard makes its shard that much larger.
+
 Cases: null texts weigh 8 bytes and have the CRC of the empty text; null ``lang`` or
 ``source`` are values of their own; rows that share a ``doc_id`` are placed each on
 its own; with fewer documents than shards some shards stay empty; an empty table
@@ -113,11 +116,12 @@ def shard(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the leaf of every document.
 
     Fix ``n_shards`` from a target size with ``shards_for``."""
-    points = materialize(metadata(docs), "kd")
+    # rows without an id are told apart for their slots only
+    points = materialize(metadata(docs).withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "kd")
     tree = Tree(n_shards)
     while tree.open_nodes():
         tree.split(find_cuts(points, tree))
-    placed = points.select("doc_id", "size", "text_crc32", tree.column(F.lit).alias("leaf"), tree.column(lambda n: F.lit(tree.leaves[n][0])).alias("shard"))
+    placed = points.select("doc_id", "size", "text_crc32", "salt", tree.column(F.lit).alias("leaf"), tree.column(lambda n: F.lit(tree.leaves[n][0])).alias("shard"))
     return _with_slots(placed, n_shards)
 
 
@@ -130,7 +134,7 @@ def shards_for(docs: DataFrame, target_bytes: int) -> int:
 def _with_slots(placed: DataFrame, n_shards: int) -> DataFrame:
     rows = placed.count()
     chunks = max(1, rows // (n_shards * CHUNK_ROWS))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(chunks)).cast("int"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "salt", F.lit(5)), F.lit(chunks)).cast("int"))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -218,6 +218,16 @@ def test_sharding(docs, rows):
     assert Counter((r.doc_id, r["size"]) for r in out) == Counter((i, len((t or "").encode()) + 8) for i, t in rows)
 
 
+def test_slots_of_rows_without_an_id(spark, monkeypatch):
+    """They are numbered in many chunks, not in one of each shard; copies and one huge text among them."""
+    monkeypatch.setattr(shard_kd, "CHUNK_ROWS", 10)
+    docs = spark.createDataFrame([(None, "copy", None, None)] * 300 + [(None, f"own {i}", "en", "s") for i in range(100)] + [(1, "x" * 50_000, None, "s")], "doc_id long, text string, lang string, source string")
+    out = shard_kd.shard(docs, 4).collect()
+    assert len(out) == 401
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_vectors_under_one_id(spark):
     x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(1, x, "p"), (1, y, "p"), (2, x, "p"), (3, [0.0, 0.0, 1.0], "p"), (4, y, "p"), (5, y, "p"), (None, x, "p"), (6, x, None)]
