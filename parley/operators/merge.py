@@ -156,4 +156,7 @@ def unpin(current: DataFrame, phones: DataFrame, run_ts: Column) -> tuple[DataFr
 def effective_contacts(contacts: DataFrame) -> DataFrame:
     """One name for each phone: manual, then vcard, then address book."""
     rank = F.when(F.col("source") == "manual", 0).when(F.col("source") == "vcard", 1).otherwise(2)
-    return first_wins(contacts.withColumn("_r", rank), ["phone_jid"], ["_r", "name"]).drop("_r")
+    rest = [c for c in contacts.columns if c not in ("phone_jid", "name")]
+    # a minimum is combined before the shuffle, a window is not
+    best = F.min(F.struct(rank.alias("_r"), F.col("name").isNull().alias("_n"), "name", *rest)).alias("_best")
+    return contacts.groupBy("phone_jid").agg(best).select(*(c if c == "phone_jid" else F.col(f"_best.{c}").alias(c) for c in contacts.columns))

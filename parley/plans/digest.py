@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as fx
-from parley.plans.names import Archive, owner, with_names
+from parley.plans.names import Archive, owner, resolved, with_names
 from parley.plans.queries import numbered_messages, reaction_groups
 
 
@@ -17,34 +17,47 @@ def pseudonyms(rows: DataFrame) -> DataFrame:
     return first.select("chat_jid", "sender_jid", F.concat(F.lit("P"), n.cast("string")).alias("pseudonym"))
 
 
+def last_messages(arch: Archive, chat: str, last: int) -> DataFrame:
+    one = {**arch, "messages": arch["messages"].where(F.col("chat_jid") == chat)}
+    return numbered_messages(one).where(F.col("idx") > F.col("total") - last)
+
+
+def people_of(arch: Archive, rows: DataFrame, said: DataFrame, given: DataFrame, owner_name: str) -> DataFrame:
+    """(jid, name) of all who sent, are quoted or reacted."""
+    people = [rows.select(F.col("sender_jid").alias("jid")), said.select(F.col("quoted_sender_jid").alias("jid")), given.select(F.col("sender_jid").alias("jid"))]
+    return resolved(arch, people[0].union(people[1]).union(people[2]), owner_name)
+
+
 def digest_rows(arch: Archive, chat: str, last: int = 200, pseudonymise: bool = False, owner_name: str | None = None) -> DataFrame:
     """One row for each of the last messages with all that a digest shows."""
     owner_name = owner_name or owner_of(arch)
-    one = {**arch, "messages": arch["messages"].where(F.col("chat_jid") == chat)}
-    rows = numbered_messages(one).where(F.col("idx") > F.col("total") - last)
+    rows = last_messages(arch, chat, last)
+    shown = rows.select(F.col("id").alias("message_id"))
+    # only what the messages shown have; all their people are resolved at once
+    said = arch["message_quoted"].join(shown, "message_id", "left_semi")
+    given = arch["reactions"].where(F.col("parent_chat_jid") == chat).join(rows.select(F.col("key_id").alias("parent_key_id")), "parent_key_id", "left_semi")
+    known = None if pseudonymise else people_of(arch, rows, said, given, owner_name)
     if pseudonymise:
         rows = rows.join(pseudonyms(rows), ["chat_jid", "sender_jid"], "left").withColumn("sender", F.when(F.col("from_me") == 1, "ME").otherwise(F.coalesce("pseudonym", F.lit("?"))))
     else:
-        rows = with_names(rows, arch, "sender_jid", "sender", "from_me", owner_name)
+        rows = with_names(rows, arch, "sender_jid", "sender", "from_me", owner_name, known)
     have = arch["message_media"].columns
     parts = ("mime", "caption", "duration_s", "file_path", "mirrored_path", "file_size")
     fields = [F.col(c) if c in have else F.lit(None).cast("long" if c in ("duration_s", "file_size") else "string").alias(c) for c in parts]
     media = arch["message_media"].select(F.col("message_id").alias("id"), F.struct(*fields).alias("media"))
     if pseudonymise:  # of people who only were quoted or reacted nothing is shown
-        quoted_names = arch["message_quoted"].withColumn("quoted_sender", F.lit("?"))
+        said = said.withColumn("quoted_sender", F.lit("?"))
     else:
-        quoted_names = with_names(arch["message_quoted"], arch, "quoted_sender_jid", "quoted_sender")
-    arch = {**arch, "message_quoted": quoted_names}
-    quoted = arch["message_quoted"].select(F.col("message_id").alias("id"), F.struct("quoted_key_id", "quoted_text", "quoted_sender_jid", "quoted_sender").alias("quoted"))
+        said = with_names(said, arch, "quoted_sender_jid", "quoted_sender", known=known)
+    quoted = said.select(F.col("message_id").alias("id"), F.struct("quoted_key_id", "quoted_text", "quoted_sender_jid", "quoted_sender").alias("quoted"))
     links = arch["message_link_previews"].select(F.col("message_id").alias("id"), F.struct("url", "title").alias("link"))
     edits = arch["edits"].groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("edit_count"))
-    given = arch["reactions"].where(F.col("parent_chat_jid") == chat)
     if pseudonymise:
         who = F.when(F.col("sender_from_me") == 1, "ME").otherwise(F.coalesce("pseudonym", F.lit("?")))
         people = pseudonyms(rows).drop("chat_jid")
         reacts = given.join(people, "sender_jid", "left").groupBy("parent_key_id", "emoji").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(who)).alias("names"))
     else:
-        reacts = reaction_groups({**arch, "reactions": given}, owner_name)
+        reacts = reaction_groups({**arch, "reactions": given}, owner_name, known)
     reacts = reacts.groupBy(F.col("parent_key_id").alias("key_id")).agg(F.array_sort(F.collect_list(F.struct("emoji", "n", "names"))).alias("reactions"))
     for part in (media, quoted, links, edits):
         rows = rows.join(part, "id", "left")

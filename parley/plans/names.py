@@ -55,9 +55,12 @@ def resolved(arch: Archive, jids: DataFrame, owner_name: str | Column = "Me") ->
     return out.select("jid", name.alias("name"))
 
 
-def with_names(df: DataFrame, arch: Archive, column: str, to: str, from_me: str | None = None, owner_name: str = "Me") -> DataFrame:
-    """``df`` plus the name of ``column``; own rows have the owner's, null is ``?``."""
-    names = resolved(arch, df.select(F.col(column).alias("jid")), owner_name).select(F.col("jid").alias(column), F.col("name").alias("_name"))
+def with_names(df: DataFrame, arch: Archive, column: str, to: str, from_me: str | None = None, owner_name: str = "Me", known: DataFrame | None = None) -> DataFrame:
+    """``df`` plus the name of ``column``; own rows have the owner's, null is ``?``.
+
+    ``known`` are names that were resolved before, for plans that need several columns of them."""
+    names = resolved(arch, df.select(F.col(column).alias("jid")), owner_name) if known is None else known
+    names = names.select(F.col("jid").alias(column), F.col("name").alias("_name"))
     name = F.coalesce("_name", F.lit("?"))
     if from_me:
         name = F.when(F.coalesce(F.col(from_me), F.lit(0)) == 1, F.lit(owner_name)).otherwise(name)

@@ -231,9 +231,9 @@ def resolution_stats(arch: Archive) -> DataFrame:
     return phones.join(known, "phone_jid", "left").agg(F.count("*").alias("total"), F.count("k").alias("resolved"))
 
 
-def reaction_groups(arch: Archive, owner_name: str = "Me") -> DataFrame:
+def reaction_groups(arch: Archive, owner_name: str = "Me", known: DataFrame | None = None) -> DataFrame:
     """Reactions of a message by emoji: how many, and the distinct names."""
-    named = with_names(arch["reactions"], arch, "sender_jid", "sender_name", "sender_from_me", owner_name)
+    named = with_names(arch["reactions"], arch, "sender_jid", "sender_name", "sender_from_me", owner_name, known)
     return named.groupBy("parent_chat_jid", "parent_key_id", "emoji").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("sender_name")).alias("names"))
 
 
