@@ -33,6 +33,14 @@ STATUS_CHAT = "status@broadcast"
 MESSAGE_COLUMNS = "timestamp long, received_timestamp long, message_type long, text_data string, status long, origin long, starred long"
 
 
+@dataclass
+class Delta:
+    """Rows that a merge gives a table, and the keys of what they replace there."""
+
+    rows: DataFrame
+    keys: list[str]
+
+
 @dataclass
 class Source:
     """Source tables by name; absent tables are empty and absent columns are null."""
@@ -40,6 +48,8 @@ class Source:
     spark: SparkSession
     tables: Mapping[str, DataFrame] = field(default_factory=dict)
     counts: Counts | None = None
+    #: Filled by extractors that read beyond a row id: what their tables get, by name.
+    deltas: dict[str, Delta] | None = None
 
     def _table(self, name: str, columns: Sequence[str]) -> DataFrame | None:
         """A table with at least those of ``columns`` that it has."""
@@ -216,6 +226,7 @@ def messages(source: Source, current: Tables, run_ts: Column, after: int = 0, lo
     that is gone from the source stays in the archive."""
     new = new_messages(source, after)
     out = _replaced(current, "messages", new.withColumn("_o", F.col("source_rowid")), ["id"], ["_o"])
+    deltas = {"messages": Delta(merge.last_wins(new, ["id"], ["source_rowid"]), ["id"])}
     since = 0 if look_back is None else max(0, after - look_back)
     known = new
     if since < after:  # the messages that late rows may belong to
@@ -231,11 +242,15 @@ def messages(source: Source, current: Tables, run_ts: Column, after: int = 0, lo
         if since < after and name in current:
             rows = _changed(current[name], merge.last_wins(rows, ["message_id"], ["_o"]))
         out |= _replaced(current, name, rows, ["message_id"], ["_o"])
+        deltas[name] = Delta(merge.last_wins(rows, ["message_id"], ["_o"]).drop("_o"), ["message_id"])
     mentions = source.jid_of(source.read("message_mentions", "message_row_id long, jid_row_id long, display_name string").where(F.col("message_row_id") > since), "jid_row_id", "mentioned_jid")
     mentions = ids.join(mentions.withColumnRenamed("message_row_id", "_o"), "_o").where("mentioned_jid is not null").select("message_id", "mentioned_jid", "display_name")
     if since < after and "message_mentions" in current:
         late = _changed(current["message_mentions"], mentions).select("message_id").distinct()
         mentions = mentions.join(late, "message_id", "left_semi")
+    deltas["message_mentions"] = Delta(mentions, ["message_id"])
+    if source.deltas is not None:
+        source.deltas.update(deltas)
     return out | {"message_mentions": merge.clear_insert(now(current, "message_mentions", mentions), mentions, ["message_id"])}
 
 
@@ -254,7 +269,13 @@ def system_events(source: Source, current: Tables, run_ts: Column) -> Tables:
     first = F.get("_people", F.lit(0))
     events = rows.select("message_id", "action_type", "kind", fx.system_body("kind", "_people", "old_value", "new_value").alias("body"), F.when(fx.jid_kind(first).isin("user", "lid"), first).alias("actor_jid"), F.col("people").alias("affected_jids"), "old_value", "new_value", F.col("rowid").alias("_o"))
     stubs = rows.where("chat_jid is not null and coalesce(timestamp, 0) <> 0").select(F.col("message_id").alias("id"), F.col("rowid").alias("source_rowid"), "chat_jid", "from_me", fx.ms_to_ts("timestamp").alias("ts"), F.lit("system").alias("type"), F.lit(7).cast("long").alias("type_raw"), "key_id", F.lit(0).alias("starred"))
-    return _replaced(current, "system_events", events, ["message_id"], ["_o"]) | {"messages": merge.insert_ignore(now(current, "messages", new_messages(replace(source, counts=None))), stubs, ["id"], ["source_rowid"])}
+    have = now(current, "messages", new_messages(replace(source, counts=None)))
+    if source.deltas and "messages" in source.deltas:
+        # what the messages get so far is in ``have`` already
+        gaps = merge.first_wins(stubs, ["id"], ["source_rowid"]).join(have.select("id"), "id", "left_anti")
+        rows = source.deltas["messages"].rows
+        source.deltas["messages"] = Delta(rows.unionByName(gaps, allowMissingColumns=True).select(rows.columns), ["id"])
+    return _replaced(current, "system_events", events, ["message_id"], ["_o"]) | {"messages": merge.insert_ignore(have, stubs, ["id"], ["source_rowid"])}
 
 
 def _add_ons(source: Source) -> DataFrame:
@@ -502,7 +523,7 @@ def staged(source: Source, folder: str, extractors: Sequence[Extractor] | None =
         if have is not None:
             have.select(*(c for c in have.columns if c in columns)).write.parquet(f"{folder}/{name}")
             tables[name] = spark.read.parquet(f"{folder}/{name}")
-    out = Staged(spark, tables, source.counts)
+    out = Staged(spark, tables, source.counts, source.deltas)
     if "message" in tables:
         out.messages(MESSAGE_COLUMNS).write.parquet(f"{folder}/_messages")
         out.resolved = spark.read.parquet(f"{folder}/_messages")

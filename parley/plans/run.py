@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import replace
 from datetime import UTC, datetime
 
@@ -18,11 +20,13 @@ from parley.plans.names import Archive
 from parley.plans.queries import resolution_stats
 from parley.sources import sqlite
 from parley.sources.sidecars import Sidecars
-from parley.sources.store import Store
+from parley.sources.store import WRITERS, CommitConflict, Store
 from parley.streaming import media
 
 #: Row ids before the last stored one whose extension rows are read again.
 LOOK_BACK = 100_000
+#: Folders of a table after which it is rewritten as one.
+MOST_PARTS = 32
 #: The table whose rows an extractor counts, where it is not named like the extractor.
 MAIN_TABLE = {"group_members": "chat_members", "newsletter": "newsletter_metadata", "transcriptions": "message_audio", "vcards": "message_vcards", "templates": "template_messages", "received_statuses": "status_archive"}
 SUMMARY = "name string, read long, attempts long, inserts long, skipped long, rows long, note string"
@@ -34,6 +38,33 @@ def resolution_percent(arch: Archive) -> DataFrame:
     return resolution_stats(arch).withColumn("percent", share)
 
 
+def additions(stored: Archive, deltas: dict[str, extract.Delta], folder: str) -> dict[str, DataFrame | None]:
+    """Tables that need not be written anew, since none of their new rows replaces one: the
+    rows to add, or None where there are none. The new rows are written to ``folder`` first."""
+
+    def look(item: tuple[str, extract.Delta]) -> tuple[str, DataFrame | None, bool]:
+        name, delta = item
+        have = stored[name]
+        same = [(F.col(f.name) if f.name in delta.rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in have.schema]
+        delta.rows.select(same).write.parquet(f"{folder}/_new/{name}")
+        rows = have.sparkSession.read.schema(have.schema).parquet(f"{folder}/_new/{name}")
+        if rows.isEmpty():
+            return name, None, True
+        return name, rows, rows.select(delta.keys).join(have.select(delta.keys), delta.keys, "left_semi").isEmpty()
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        found = pool.map(look, [(name, d) for name, d in deltas.items() if name in stored])
+        return {name: rows for name, rows, free in found if free}
+
+
+def compact(store: Store, names: set[str]) -> None:
+    """Rewrite tables that have come to lie in many folders, unless another writer is at them."""
+    for name in names:
+        if store.parts(name) > MOST_PARTS:
+            with suppress(CommitConflict):
+                store.compact(name)
+
+
 def run(
     store: Store,
     source: extract.Source,
@@ -51,7 +82,8 @@ def run(
 
     Every source table is read once, into copies that go when the run ends. Messages are read
     beyond the row id that the last version stored, their extension rows from ``look_back``
-    ids before it on. Names pinned by hand (``pins``, or those of ``sidecars``) are put back
+    ids before it on; a table of theirs whose new rows replace nothing only gets these rows
+    added. Names pinned by hand (``pins``, or those of ``sidecars``) are put back
     first, also into an archive that lost its contacts. All tables, counts and the state become visible together, or not at
     all; another writer that changed them meanwhile makes this run fail. Media are mirrored
     after that as a stream that ends; its checkpoint lies in the archive if none is named."""
@@ -67,13 +99,17 @@ def run(
         current["contacts"] = merge.restore_pins(contacts.table_of(store, "contacts", contacts.CONTACTS), pins, run_ts)
     counts, folder = Counts(), f"staging/{uuid.uuid4().hex}"
     try:
-        copy = extract.staged(replace(source, counts=counts), f"{store.root}/{folder}", extractors)
+        copy = extract.staged(replace(source, counts=counts, deltas={}), f"{store.root}/{folder}", extractors)
         backup = replace(backup, counts=counts) if backup else None
         tables = extract.extract_all(copy, current, run_ts, after, backup, look_back, extractors)
         newest = copy.messages().agg(F.max("rowid")).first()[0]
         state = {"last_run_ts": at.isoformat(), "last_message_rowid": str(max(after, newest or 0))}
         tables = {name: t for name, t in tables.items() if t is not stored.get(name)}
-        number = store.commit(tables, state, base, lambda: {"counts": counts.values(), "before": before})
+        added = additions(stored, copy.deltas, f"{store.root}/{folder}")
+        tables = {name: t for name, t in tables.items() if name not in added}
+        added = {name: rows for name, rows in added.items() if rows is not None}
+        number = store.commit(tables, state, base, lambda: {"counts": counts.values(), "before": before}, added)
+        compact(store, set(added))
     finally:
         store.files.delete(folder)
     if media_root is not None:

@@ -130,6 +130,33 @@ def test_late_extension_rows(spark, tmp_path):
     assert content(store) == state
 
 
+def test_new_rows_are_added_and_replacing_ones_rewrite(spark, tmp_path, monkeypatch):
+    ddl, rows = TABLES["message"]
+    tables = {n: spark.createDataFrame(r, d) for n, (d, r) in TABLES.items()}
+    upto = lambda n, more=(): tables | {"message": spark.createDataFrame([r for r in rows if r[0] <= n] + list(more), ddl)}
+    some = [ex.messages, ex.system_events]
+    store, whole = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    go = lambda day, t, **kw: run(store, ex.Source(spark, t), datetime(2025, 1, day), extractors=some, **kw)
+    go(1, upto(3))
+    assert store.parts("messages") == 1 and store.rows()["messages"] == 3
+    go(2, upto(4))  # one new message
+    assert store.parts("messages") == 2 and store.parts("message_media") == 1 and store.rows()["messages"] == 4
+    before = store._commit(store.version())["tables"]
+    go(3, upto(4))  # nothing new: the tables of messages are not touched
+    after = store._commit(store.version())["tables"]
+    assert {n for n in before if before[n] != after[n]} == {"system_events"}
+    go(4, tables)  # row 9 sends the message of row 1 again
+    assert store.parts("messages") == 1
+    run(whole, ex.Source(spark, tables), datetime(2025, 1, 4), extractors=some)
+    assert content(store) == content(whole) and store.rows()["messages"] == store.open()["messages"].count()
+    import parley.plans.run as plan
+
+    monkeypatch.setattr(plan, "MOST_PARTS", 1)
+    go(5, tables | {"message": spark.createDataFrame([*rows, (13, 1, 0, "z", None, 9000, 0, 0, "last", 0)], ddl)})
+    assert store.parts("messages") == 1 and store.rows()["messages"] == store.open()["messages"].count() == 7
+    assert summary(store, store.versions()[-2]).where("name = 'messages'").first().inserts == 1
+
+
 def test_following_a_file_equals_one_run(spark, tmp_path):
     path = str(tmp_path / "s.db")
     some = [ex.identities, ex.chats, ex.messages, ex.reactions]
