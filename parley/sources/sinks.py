@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from parley.functions import text as fx
 from parley.plans import digest
 from parley.plans.names import Archive
 from parley.plans.queries import export_media
+from parley.sources.files import copy_one
 from parley.sources.text import contact_starter
 
 
@@ -48,23 +47,6 @@ def write_contact_starter(phones: DataFrame, path: str) -> None:
 COPIED = "relative string, status string, bytes long"
 
 
-def _copy_one(source: str, target: str) -> int | None:
-    """Copy a file between any two file systems; its bytes, None if it is not there. The copy
-    appears under its name when it is whole."""
-    from_fs, from_path = pa_fs.FileSystem.from_uri(source)
-    to_fs, to_path = pa_fs.FileSystem.from_uri(target)
-    if from_fs.get_file_info(from_path).type != pa_fs.FileType.File:
-        return None
-    to_fs.create_dir(to_path.rpartition("/")[0], recursive=True)
-    hidden, n = f"{to_path}.{uuid.uuid4().hex}", 0
-    with from_fs.open_input_stream(from_path) as read, to_fs.open_output_stream(hidden) as write:
-        while part := read.read(1 << 20):
-            write.write(part)
-            n += len(part)
-    to_fs.move(hidden, to_path)
-    return n
-
-
 def copy_media(files: DataFrame, media_root: str, target: str, partitions: int | None = None) -> DataFrame:
     """Copy files (path, relative) in tasks; (relative, status, bytes) with ``copied`` or ``missing``.
 
@@ -76,7 +58,7 @@ def copy_media(files: DataFrame, media_root: str, target: str, partitions: int |
             done = []
             for path, relative in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 whole = path if path.startswith("/") or ":" in path.partition("/")[0] else f"{media_root.rstrip('/')}/{path}"
-                done.append(_copy_one(whole, f"{target.rstrip('/')}/{relative}"))
+                done.append(copy_one(whole, f"{target.rstrip('/')}/{relative}"))
             status = ["missing" if n is None else "copied" for n in done]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(status, pa.string()), pa.array(done, pa.int64())], ["relative", "status", "bytes"])
 

@@ -1,4 +1,5 @@
-"""Continuous media ingestion: a stream over the media folders that keeps a ledger.
+"""Continuous media ingestion: a stream over the media folders that copies new files into the
+archive and keeps a ledger of them.
 
 The ledger is the table ``media_mirror`` of the store. A batch appends its rows as a folder
 of its own, so it costs what it holds; the commit carries the stream's query id and batch
@@ -10,14 +11,17 @@ that way stands in the ledger twice until ``ledger`` or a compaction takes its l
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.operators import merge
+from parley.sources.files import copy_one
 from parley.sources.store import CommitConflict, Files, Store
 from parley.sources.text import media_files
 
@@ -34,6 +38,19 @@ def mirrored(files: DataFrame, media_root: str, archive_root: str, now: Column)
     return rows.withColumn("archive_path", F.concat(F.lit(archive_root.rstrip("/") + "/"), rest)).withColumn("mirrored_at", now)
 
 
+def copied(rows: DataFrame) -> DataFrame:
+    """Copy the files of ledger rows in tasks; rows of files that are gone by then are left out.
+
+    A task that runs again copies again, over its own copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = zip(batch.column("source_path").to_pylist(), batch.column("archive_path").to_pylist())
+            yield batch.filter(pa.array([copy_one(a, b) is not None for a, b in places], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The last row of each source path."""
     return merge.last_wins(rows, ["source_path"], ["source_modified_ts", "mirrored_at"])
@@ -72,13 +89,14 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def watch(spark: SparkSession, store: Store, media_root: str, archive_root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Start the stream; read the result with ``ledger``."""
+    """Start the stream; read the result with ``ledger``. Both roots must be where all executors see them."""
 
     def add(batch: DataFrame, number: int) -> None:
         key = f"media_batch:{query_id(spark, checkpoint)}"
         if int(store.state().get(key, -1)) >= number:
             return  # committed before a failure; the stream offers it again
-        store.append(LEDGER, mirrored(batch, media_root, archive_root, F.current_timestamp()), {key: str(number)})
+        rows = copied(mirrored(batch, media_root, archive_root, F.current_timestamp()))
+        store.append(LEDGER, rows, {key: str(number)})
         if store.parts(LEDGER) > MOST_PARTS:
             with suppress(CommitConflict):  # another stream added to it: the next batch tries again
                 store.compact(LEDGER, latest)

@@ -43,7 +43,7 @@ def archive(spark, database, tmp_path_factory):
     (photos / "x.jpg").write_bytes(b"x")
     backup = ex.Source(spark, {"status": spark.createDataFrame([(1, "u", ADA, 0, 1000)], "row_id long, uuid string, sender_user_jid string, type long, timestamp long")})
     store = Store(spark, str(root / "a"))
-    go = lambda day: run(store, read_source(spark, database), datetime(2025, 1, day), backup, media_root=str(root / "Media"), archive_root="/mirror")
+    go = lambda day: run(store, read_source(spark, database), datetime(2025, 1, day), backup, media_root=str(root / "Media"), archive_root=str(root / "mirror"))
     go(1)
     first, at = content(store), store.version()
     go(2)
@@ -53,7 +53,9 @@ def archive(spark, database, tmp_path_factory):
 def test_second_run_changes_nothing(archive):
     store, first, _ = archive
     assert content(store) == first and len(first) > 40
-    assert ledger(store).count() == 1 and not store.files.names("staging")
+    assert not store.files.names("staging")
+    copy = ledger(store).collect()
+    assert len(copy) == 1 and open(copy[0].archive_path, "rb").read() == b"x"
     assert store.state()["last_run_ts"].startswith("2025-01-02") and store.state()["last_message_rowid"] == "12"
 
 

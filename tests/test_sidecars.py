@@ -109,10 +109,10 @@ def test_contact_changes_of_two_writers(spark, tmp_path):
 
 def test_media_are_copied_and_missing_ones_counted(spark, tmp_path):
     root = tmp_path / "store"
-    for name, data in {"Media/x/a.jpg": b"a" * 10, "Media/b.jpg": b"", "elsewhere/c.jpg": b"ccc"}.items():
+    for name, data in {"Media/x/a.jpg": b"a" * 10, "Media/b.jpg": b"", "else where/c 50%.jpg": b"ccc"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
-    rows = [("Media/x/a.jpg", "x/a.jpg"), ("Media/x/a.jpg", "x/a.jpg"), ("Media/b.jpg", "b.jpg"), (f"file:{root}/elsewhere/c.jpg", "c.jpg"), ("Media/gone.jpg", "gone.jpg"), (None, None)]
+    rows = [("Media/x/a.jpg", "x/a.jpg"), ("Media/x/a.jpg", "x/a.jpg"), ("Media/b.jpg", "b.jpg"), (f"file:{root}/else where/c 50%.jpg", "c.jpg"), ("Media/gone.jpg", "gone.jpg"), (None, None)]
     files = spark.createDataFrame(rows, "path string, relative string")
     got = sorted((r.relative, r.status, r.bytes) for r in sinks.copy_media(files, str(root), str(tmp_path / "out")).collect())
     assert got == [("b.jpg", "copied", 0), ("c.jpg", "copied", 3), ("gone.jpg", "missing", None), ("x/a.jpg", "copied", 10)]

@@ -208,11 +208,13 @@ def test_media_stream_keeps_each_file_once(spark, tmp_path, monkeypatch):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     store = Store(spark, str(tmp_path / "archive"))
-    go = lambda cp="cp": watch(spark, store, str(root), "/mirror", str(tmp_path / cp)).awaitTermination()
+    go = lambda cp="cp": watch(spark, store, str(root), str(tmp_path / "mirror"), str(tmp_path / cp)).awaitTermination()
     assert ledger(store) is None
     go()
     rows = {r.archive_path: (r.file_size, r.is_status) for r in ledger(store).collect()}
-    assert rows == {"/mirror/WhatsApp Images/a.jpg": (1, 0), "/mirror/.Statuses/b.jpg": (1, 1)}
+    mirror = tmp_path / "mirror"
+    assert rows == {f"{mirror}/WhatsApp Images/a.jpg": (1, 0), f"{mirror}/.Statuses/b.jpg": (1, 1)}
+    assert (mirror / ".Statuses" / "b.jpg").read_bytes() == b"y" and not (mirror / "Other").exists()
     version = store.version()
     go()
     assert store.version() == version  # nothing new, nothing written
