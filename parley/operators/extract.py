@@ -15,6 +15,7 @@ row ids of old messages too and takes what is new or differs from the archive.""
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,8 @@ Tables = dict[str, DataFrame]
 # Message types that are no messages of their own, and the chat of statuses.
 SKIPPED_TYPES = (90,)
 STATUS_CHAT = "status@broadcast"
+#: Source tables that are copied at the same time.
+READERS = 4
 #: Columns of a message beside its identity.
 MESSAGE_COLUMNS = "timestamp long, received_timestamp long, message_type long, text_data string, status long, origin long, starred long"
 
@@ -517,12 +520,16 @@ class Staged(Source):
 
 def staged(source: Source, folder: str, extractors: Sequence[Extractor] | None = None) -> Staged:
     """Read every table that the extractors need once, with their columns only, into ``folder``."""
-    spark, tables = source.spark, {}
-    for name, columns in asked(spark, extractors).items():
-        have = source._table(name, columns)
-        if have is not None:
-            have.select(*(c for c in have.columns if c in columns)).write.parquet(f"{folder}/{name}")
-            tables[name] = spark.read.parquet(f"{folder}/{name}")
+    spark = source.spark
+    found = {name: (source._table(name, columns), columns) for name, columns in asked(spark, extractors).items()}
+    found = {name: have.select(*(c for c in have.columns if c in columns)) for name, (have, columns) in found.items() if have is not None}
+
+    def copy(name: str) -> DataFrame:
+        found[name].write.parquet(f"{folder}/{name}")
+        return spark.read.schema(found[name].schema).parquet(f"{folder}/{name}")
+
+    with ThreadPoolExecutor(READERS) as pool:
+        tables = dict(zip(found, pool.map(copy, found)))
     out = Staged(spark, tables, source.counts, source.deltas)
     if "message" in tables:
         out.messages(MESSAGE_COLUMNS).write.parquet(f"{folder}/_messages")
