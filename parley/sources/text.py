@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as fx
@@ -51,22 +51,35 @@ def read_contact_list(spark: SparkSession, path: str, country: str = "41") -> Da
     return rows.select(fx.number_to_jid("number", country).alias("phone_jid"), F.trim("name").alias("name")).where("phone_jid is not null and name <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, header, text) of a text file, or of all in a folder: lines count from 1 in
+    each file, ``header`` is the first one that is not blank (null if all are). Large files are
+    read in blocks: the lines of the blocks before give each line its number."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+    # two scans may cut files differently; an RDD is cut once, so that both sides see the same blocks
+    text = spark.createDataFrame(text.rdd, text.schema, verifySchema=False).withColumn("at", F.monotonically_increasing_id())
+    filled = F.when(F.trim("text") != "", F.col("at"))
+    blocks = text.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min(filled).alias("filled"))
+    file = Window.partitionBy("file")
+    before = F.sum("n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("shift", F.coalesce(before, F.lit(0)) - F.col("first") + 1)
+    blocks = blocks.select("file", "block", "shift", F.min(F.col("filled") + F.col("shift")).over(file).alias("header"))
+    return text.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "header", "text")
+
+
 def read_pins(spark: SparkSession, path: str, country: str = "41") -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of a CSV with a phone and a name column under any known header.
 
-    Rejects carry the line of the file they stand on, the first being 1. A pin is one line,
-    and a file is read by one task: such files are written by hand."""
+    Rejects carry the line of the file they stand on, the first being 1. A pin is one line."""
     columns = spark.read.csv(path, header=True, encoding="UTF-8").columns
     fold = [c.replace("\ufeff", "").strip().lower().replace(" ", "_") for c in columns]
     phone = next((i for i, f in enumerate(fold) if f in PHONE_HEADERS), None)
     name = next((i for i, f in enumerate(fold) if f in NAME_HEADERS), None)
     if phone is None or name is None:
         raise ValueError("the header needs a phone and a name column")
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r\n|\r|\n").alias("lines"))
-    header = F.array_position(F.transform("lines", lambda x: F.trim(x) != ""), True)
-    lines = lines.select(header.alias("header"), F.posexplode("lines").alias("at", "text")).where("at >= header and trim(text) <> ''")
+    lines = numbered_lines(spark, path).where("line > header and trim(text) <> ''")
     cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(columns))), {"escape": '"'})
-    rows = lines.select((F.col("at") + 1).alias("line"), cells.alias("c")).select("line", F.trim(f"c.c{phone}").alias("value"), F.trim(f"c.c{name}").alias("name"))
+    rows = lines.select("line", cells.alias("c")).select("line", F.trim(f"c.c{phone}").alias("value"), F.trim(f"c.c{name}").alias("name"))
     rows = rows.withColumn("p", fx.phone_argument("value", country))
     reason = F.when(F.coalesce("value", F.lit("")) == "", "empty phone").when(F.coalesce("name", F.lit("")) == "", "empty name").otherwise(F.col("p.error"))
     rows = rows.withColumn("reason", reason)

@@ -115,3 +115,26 @@ def test_text_sources(spark, tmp_path):
     good, bad = read_pins(spark, str(f))
     assert [tuple(r) for r in good.collect()] == [("41790000001" + P, 'Bo "B", Jr')]
     assert [(r.line, r.value, r.reason) for r in bad.orderBy("line").collect()] == [(4, None, "empty phone"), (5, "12", "not a phone number")]
+
+
+def test_pins_of_a_large_file(spark, tmp_path):
+    """Lines are numbered through all blocks of a file, whatever ends them; every file has its header."""
+    ends = ["\n", "\r\n", "\r", "\n\n"]
+    lines, at, want, wrong = ["\n  \nPhone,Name\n"], 3, [], []
+    for i in range(3000):
+        at += 1
+        usable = i % 5 > 0
+        (want if usable else wrong).append((f"4179{i:07d}{P}", f"N{i}") if usable else (at, "x", f"N{i}"))
+        lines.append(f"{f'079 {i:07d}' if usable else 'x'},N{i}{ends[i % 4]}")
+        at += i % 4 == 3
+    (tmp_path / "a.csv").write_bytes("".join(lines).encode())
+    (tmp_path / "b.csv").write_bytes(b"Phone,Name\ny,Bo")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        good, bad = read_pins(spark, str(tmp_path))
+        assert good.rdd.getNumPartitions() > 10  # no task holds all of a file
+        assert sorted(map(tuple, good.collect())) == want
+        assert sorted(tuple(r)[:3] for r in bad.collect()) == sorted([*wrong, (2, "y", "Bo")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
