@@ -231,9 +231,8 @@ def messages(source: Source, current: Tables, run_ts: Column, after: int = 0, lo
     out = _replaced(current, "messages", new.withColumn("_o", F.col("source_rowid")), ["id"], ["_o"])
     deltas = {"messages": Delta(merge.last_wins(new, ["id"], ["source_rowid"]), ["id"])}
     since = 0 if look_back is None else max(0, after - look_back)
-    known = new
-    if since < after:  # the messages that late rows may belong to
-        known = new_messages(replace(source, counts=None), since)
+    # the messages that extension rows may belong to; they are counted where they are written
+    known = new_messages(replace(source, counts=None), since)
     ids = known.select(F.col("source_rowid").alias("_o"), F.col("id").alias("message_id"))
     for name, (table, ddl, renamed, jids, times) in EXTENSIONS.items():
         rows = source.read(table, f"message_row_id long, {ddl}").where(F.col("message_row_id") > since)

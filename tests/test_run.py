@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import extract as ex
+from parley.operators.counts import Counts
 from parley.plans.run import follow, run, summary
 from parley.sources.sqlite import read_source
 from parley.sources.store import CommitConflict, Store
@@ -87,6 +88,19 @@ def test_counts(archive):
     assert all(r.inserts == 0 for n, r in again.items() if r.inserts is not None), [r for r in again.values() if r.inserts]
 
 
+def test_counts_whichever_job_ends_first(spark):
+    """A job whose rows meet an empty table is cut short: the counts are not lost with it."""
+    source = ex.Source(spark, {n: spark.createDataFrame(TABLES[n][1], TABLES[n][0]) for n in ("jid", "chat", "message")}, Counts())
+    out = ex.messages(source, {}, ts("2025-01-01"))
+    counts = Counts()
+    some = counts.rows("some", spark.range(10), {"odd": F.col("id") % 2 == 1})
+    for rows in (out["message_media"], out["messages"], some.join(spark.createDataFrame([], "id long"), "id"), some):
+        rows.write.format("noop").mode("overwrite").save()
+    skipped = {"no chat": 1, "no key": 1, "no time": 1, "no type": 1, "skipped type": 1}
+    assert counts.values() == {"some": {"read": 10, "attempts": 5, "orphans": 0, "skipped": {"odd": 5}}}
+    assert source.counts.values() == {"messages": {"read": 12, "attempts": 7, "orphans": 0, "skipped": skipped}}
+
+
 def test_every_source_table_is_read_once(spark, tmp_path):
     opened = []
 
